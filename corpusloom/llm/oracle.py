@@ -22,10 +22,10 @@ down AS (
   SELECT c.id, c.role, d.good AND c.role IN ('user', 'assistant') AND c.role <> d.role, d.seen AND c.seen FROM down d JOIN m c ON c.parent = d.id),
 lost AS (SELECT id, parent FROM m WHERE id NOT IN (SELECT id FROM down)),
 walk AS (
-  SELECT id AS start, parent AS at, 1 AS steps FROM lost
+  SELECT id AS start, parent AS here, 1 AS steps FROM lost
   UNION
-  SELECT w.start, l.parent, w.steps + 1 FROM walk w JOIN lost l ON l.id = w.at WHERE w.at <> w.start AND w.steps < 200),
-ring AS (SELECT DISTINCT start AS id FROM walk WHERE at = start),
+  SELECT w.start, l.parent, w.steps + 1 FROM walk w JOIN lost l ON l.id = w.here WHERE w.here <> w.start AND w.steps < 200),
+ring AS (SELECT DISTINCT start AS id FROM walk WHERE here = start),
 leaf AS (SELECT id FROM m WHERE id NOT IN (SELECT parent FROM m WHERE parent IS NOT NULL))
 SELECT l.id AS message_id, CASE WHEN d.id IS NULL OR NOT d.good THEN 'broken' WHEN NOT d.seen THEN 'empty' ELSE 'no_reply' END AS reason
 FROM leaf l LEFT JOIN down d USING (id) WHERE d.id IS NULL OR NOT d.good OR NOT d.seen OR d.role = 'user'
