@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import containers, encode, language, ledger, mixing, threads
+from corpusloom.llm import containers, encode, language, ledger, mixing, sentences, threads
 from corpusloom.llm.common import table
 
 
@@ -94,11 +94,21 @@ def p8_report(spark: SparkSession, d: str) -> DataFrame:
     return containers.container_report(containers.pack_documents(table(spark, d, "documents")))
 
 
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    """Place of every sentence of every document."""
+    return sentences.sentences(table(spark, d, "documents"))
+
+
+def p9_sentences(spark: SparkSession, d: str) -> DataFrame:
+    """Every sentence of every document with its text."""
+    return sentences.sentences(table(spark, d, "documents"), with_text=True)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
         for f in (
             p1_found, p1_shares, p1_mix, p2_found, p2_documents, p2_stretches, p3_found, p3_records,
-            p6_found, p6_conversations, p6_links, p7_ids, p7_decoded, p8_containers, p8_report,
+            p6_found, p6_conversations, p6_links, p7_ids, p7_decoded, p8_containers, p8_report, p9_found, p9_sentences,
         )
     }
