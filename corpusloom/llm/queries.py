@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import containers, encode, language, ledger, mixing, sentences, threads
+from corpusloom.llm import budget, containers, encode, language, ledger, mixing, pairs, sentences, threads
 from corpusloom.llm.common import table
 
 
@@ -59,6 +59,24 @@ def p3_records(spark: SparkSession, d: str) -> DataFrame:
     return ledger.collapse(keyed(spark, d))
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    """Defective pairs with their defect."""
+    p = language.fit_on(table(spark, d, "documents"), table(spark, d, "language_codes"))
+    return pairs.defective_pairs(table(spark, d, "training_records"), p)
+
+
+def p5_budget(spark: SparkSession, d: str) -> DataFrame:
+    """Tokens by table, source, language, role and domain."""
+    docs = table(spark, d, "documents")
+    slices = budget.record_slices(table(spark, d, "training_records")).unionByName(budget.document_slices(docs))
+    return budget.token_budget(slices, language.fit_on(docs, table(spark, d, "language_codes")))
+
+
+def p5_documents(spark: SparkSession, d: str) -> DataFrame:
+    """Tokens of every document."""
+    return table(spark, d, "documents").select("doc_id", containers.count_udf()(F.col("text")).alias("tokens"))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     """Conversations to drop, with the reason."""
     return threads.dropped_conversations(table(spark, d, "oasst1"))
@@ -108,7 +126,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
         for f in (
-            p1_found, p1_shares, p1_mix, p2_found, p2_documents, p2_stretches, p3_found, p3_records,
+            p1_found, p1_shares, p1_mix, p2_found, p2_documents, p2_stretches, p3_found, p3_records, p4_found, p5_budget, p5_documents,
             p6_found, p6_conversations, p6_links, p7_ids, p7_decoded, p8_containers, p8_report, p9_found, p9_sentences,
         )
     }
