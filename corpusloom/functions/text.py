@@ -110,13 +110,34 @@ def is_english(c: Column, min_ratio: float, min_letters: int = 8, when_short: bo
     return F.when(letters < min_letters, F.lit(when_short)).otherwise(F.regexp_count(c, F.lit("[A-Za-z]")) / letters >= min_ratio)
 
 
+def matches_any(c: Column, phrases: tuple[str, ...]) -> Column:
+    """Whether a text holds one of some literal phrases."""
+    return reduce(lambda a, p: a | F.contains(c, F.lit(p)), phrases[1:], F.contains(c, F.lit(phrases[0])))
+
+
+def coerce_text(c: Column) -> Column:
+    """Text of a VARIANT: null → '', strings as they are, lists line by line without nulls, objects as JSON.
+
+    Lists are flattened one level; deeper values come as JSON.
+    """
+    kind = F.schema_of_variant(c)
+    items = F.try_variant_get(c, "$", "array<variant>")
+    lines = F.transform(F.filter(items, lambda x: ~F.is_variant_null(x)), lambda x: F.coalesce(F.try_variant_get(x, "$", "string"), F.to_json(x)))
+    return F.when(c.isNull() | F.is_variant_null(c), "").when(kind.startswith("ARRAY"), F.array_join(lines, "\n")).when(kind.startswith("OBJECT"), F.to_json(c)).otherwise(F.try_variant_get(c, "$", "string"))
+
+
+def interactive_prompt(c: Column) -> Column:
+    """A bare prompt as a chat prompt; text that has role labels already is kept."""
+    return F.when(c.rlike(r"(?im)^(user|assistant|system|用户|助手|系统)\s*[:：]"), c).otherwise(F.concat(F.lit("User: "), strip(c), F.lit("\nAssistant: ")))
+
+
 def cjk_count(c: Column) -> Column:
     return F.regexp_count(c, F.lit(CJK))
 
 
 def cjk_ratio(c: Column) -> Column:
-    """CJK characters over characters that aren't white space; 0 for texts without any."""
-    n = F.length(F.regexp_replace(c, SPACE, ""))
+    """CJK characters over CJK characters and ASCII letters and digits; 0 for texts without any."""
+    n = cjk_count(c) + F.regexp_count(c, F.lit("[A-Za-z0-9]"))
     return F.when(n > 0, cjk_count(c) / n).otherwise(F.lit(0.0))
 
 
