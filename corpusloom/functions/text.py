@@ -154,7 +154,7 @@ def tighten_cjk(c: Column) -> Column:
 def clean_lines(c: Column, compose: bool = True) -> Column:
     """Keep lines, right-trim each, at most one empty line in a row, no empty line at either end."""
     t = unify_newlines(nfc(c) if compose else c)
-    t = F.regexp_replace(t, r"[\x0b\x0c\x1c-\x1e\x85  ]", "\n")
+    t = F.regexp_replace(t, r"[\x0b\x0c\x1c-\x1e\x85\u2028\u2029]", "\n")
     t = F.regexp_replace(t, r"[\t \x1f\p{Zs}]+(?=\n|$)", "")
     return strip(F.regexp_replace(t, r"\n{3,}", "\n\n"))
 

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as X
+from corpusloom.functions.numeric import let
 from corpusloom.schema import ROLE_LABELS, SEGMENTS_DDL
 
 
@@ -69,18 +70,21 @@ def compact(segments: Column, **kw) -> Column:
 
 def last_index(segments: Column, role: str) -> Column:
     """Place of the last segment of a role, -1 if there is none."""
-    return F.aggregate(F.transform(segments, lambda s, i: F.when(s["role"] == role, i).otherwise(-1)), F.lit(-1), lambda a, x: F.greatest(a, x))
+    return F.coalesce(F.array_max(F.transform(segments, lambda s, i: F.when(s["role"] == role, i))), F.lit(-1))
 
 
 def first_index(segments: Column, cond: Callable[[Column], Column]) -> Column:
     """Place of the first segment that meets a condition; the size if there is none."""
-    return F.aggregate(F.transform(segments, lambda s, i: F.when(cond(s), i).otherwise(F.size(segments))), F.size(segments), lambda a, x: F.least(a, x))
+    return let(segments, lambda v: F.coalesce(F.array_min(F.transform(v, lambda s, i: F.when(cond(s), i))), F.size(v)))
 
 
 def retarget_last_assistant(segments: Column) -> Column:
     """Only the last assistant segment trains."""
-    last = last_index(segments, "assistant")
-    return F.transform(segments, lambda s, i: segment(s["role"], s["content"], (s["role"] == "assistant") & (i == last)))
+
+    def body(v: Column) -> Column:
+        return let(last_index(v, "assistant"), lambda last: F.transform(v, lambda s, i: segment(s["role"], s["content"], (s["role"] == "assistant") & (i == last))))
+
+    return let(segments, body)
 
 
 def turn_count(segments: Column) -> Column:
@@ -127,12 +131,15 @@ def context_windows(df: DataFrame, sizes: list[int], col: str = "segments", pref
     s, i = F.col(col), F.col("turn")
     start = F.greatest(F.lit(0), i - F.col("size") + 1)
     cut = F.slice(s, start + 1, i - start + 1)
-    skip = first_index(cut, lambda x: x["role"] != "assistant")
-    body = F.slice(cut, skip + 1, F.greatest(F.size(cut) - skip, F.lit(0)))
-    w = w.withColumn("window", retarget_last_assistant(body)).where(F.size("window") > 0)
+    w = w.withColumn("window", retarget_last_assistant(let(cut, drop_leading_answers))).where(F.size("window") > 0)
     return w if prefix is None else w.withColumn("window", F.concat(F.col(prefix), "window"))
 
 
+def drop_leading_answers(segments: Column) -> Column:
+    """Without the assistant segments at the start."""
+    return let(first_index(segments, lambda x: x["role"] != "assistant"), lambda n: F.slice(segments, n + 1, F.greatest(F.size(segments) - n, F.lit(0))))
+
+
 def single_turns(df: DataFrame, col: str = "segments", prefix: str | None = None) -> DataFrame:
     """Each assistant segment with the user segment directly before it."""
     w = targets(df, col).where((F.col("turn") > 0) & (F.get(F.col(col), F.col("turn") - 1)["role"] == "user"))
@@ -230,10 +237,8 @@ def trim_budget(segments: Column, max_turns: int, max_chars: int) -> Column:
         )
 
     kept = F.aggregate(segments, init, step, lambda a: a["out"])
-    end = last_index(kept, "assistant")
-    head = F.slice(kept, F.lit(1), end + 1)
-    skip = first_index(head, lambda x: x["role"] != "assistant")
-    return F.slice(head, skip + 1, F.greatest(F.size(head) - skip, F.lit(0)))
+    head = let(kept, lambda k: F.slice(k, F.lit(1), last_index(k, "assistant") + 1))
+    return let(head, drop_leading_answers)
 
 
 def alternating(turns: Column, first: str = "user") -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.functions.numeric import log_softmax, smoothed_nll
+from corpusloom.functions.numeric import let, log_softmax, smoothed_nll
 
 
 def accuracy(df: DataFrame, label: str, predicted: str, by: list[str] | None = None) -> DataFrame:
@@ -49,8 +49,13 @@ def gather_embeddings(tokens: DataFrame, key: str, ids: str, vectors: DataFrame,
 
 def draw_index(probs: Column, u: Column) -> Column:
     """Place of the first cumulative probability above u; the last one if rounding leaves none."""
-    cum = F.aggregate(probs, F.array().cast("array<double>"), lambda a, p: F.concat(a, F.array(F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(0.0)) + p)))
-    return F.least(F.size(F.filter(cum, lambda c: c <= u)), F.size(probs) - 1)
+    init = F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("below"))
+
+    def step(acc: Column, p: Column) -> Column:
+        total = acc["sum"] + p
+        return F.struct(total.alias("sum"), (acc["below"] + F.when(total <= u, 1).otherwise(0)).cast("int").alias("below"))
+
+    return let(probs, lambda v: F.least(F.aggregate(v, init, step)["below"], F.size(v) - 1))
 
 
 def ema(values: Column, keep: float = 0.9) -> Column:

@@ -77,7 +77,7 @@ def parse_labels(df: DataFrame, key: list[str], text: str, out: str = "segments"
 
     Lines before the first label are dropped.  The fold stays within the row.
     """
-    lines = F.split(X.unify_newlines(X.strip_special_tokens(F.coalesce(text, F.lit("")))), "[\n\x0b\x0c\x1c-\x1e\x85  ]")
+    lines = F.split(X.unify_newlines(X.strip_special_tokens(F.coalesce(text, F.lit("")))), r"[\n\x0b\x0c\x1c-\x1e\x85\u2028\u2029]")
 
     def step(acc: Column, line: Column) -> Column:
         hit = line.rlike(LABEL)

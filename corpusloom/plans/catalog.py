@@ -1,11 +1,401 @@
-"""Queries of the core operators, by name, with their DuckDB twins."""
+"""Queries of the core operators by name; `oracle` holds their DuckDB twins."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries():
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from corpusloom.functions import numeric as N
+from corpusloom.functions import text as X
+from corpusloom.operators import dedup as U
+from corpusloom.operators import dialog as D
+from corpusloom.operators import generate as G
+from corpusloom.operators import metrics as M
+from corpusloom.operators import packing as K
+from corpusloom.operators import quality as Q
+from corpusloom.operators import records as R
+from corpusloom.operators import tree as TR
+from corpusloom.operators import vocabulary as V
+from corpusloom.operators import wordpiece as W
+from corpusloom.plans import pipelines as P
+from corpusloom.plans.oracle import oracle_sql
+from corpusloom.sources import readers as S
+from corpusloom.sources import sinks as K2
 
-def oracle_sql():
-    return {}
+__all__ = ["oracle_sql", "queries"]
+
+BOUNDS = Q.Bounds(max_record_chars=2000, max_prompt_chars=1200, max_response_chars=600, min_english_ratio=0.6)
+DAILY = Q.Bounds(max_record_chars=900, max_response_chars=400)
+CHINESE = Q.Bounds(min_record_chars=20, max_record_chars=900, min_response_chars=12, max_response_chars=300, min_cjk_ratio=0.6, min_cjk_chars=2, max_ascii_letters=24)
+
+
+def table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def base(spark: SparkSession, d: str) -> DataFrame:
+    return P.dialogs(table(spark, d, "training_records"))
+
+
+def _shown(w: DataFrame, *extra: str) -> DataFrame:
+    s = F.col("window")
+    text = F.array_join(F.transform(s, lambda x: F.concat(x["role"], F.lit(":"), x["content"], F.lit(":"), x["train"].cast("int").cast("string"))), "|")
+    return w.select("id", "turn", *extra, F.size(s).alias("n"), F.sha2(text, 256).alias("digest"))
+
+
+def dialog_segments(spark, d):
+    s = F.col("segments")
+    text = F.array_join(F.transform(s, lambda x: F.concat(x["role"], F.lit(":"), x["content"])), "|")
+    return base(spark, d).select("id", "source", F.size(s).alias("n"), D.turn_count(s).alias("turns"), F.sha2(text, 256).alias("digest"))
+
+
+def prefix_windows(spark, d):
+    return _shown(D.prefix_windows(base(spark, d), 8))
+
+
+def context_windows_2_4_6(spark, d):
+    return _shown(D.context_windows(base(spark, d), [2, 4, 6]), "size")
+
+
+def sliding_window_3(spark, d):
+    return _shown(D.context_windows(base(spark, d), [3]))
+
+
+def single_turn_pairs(spark, d):
+    return _shown(D.single_turns(base(spark, d)))
+
+
+def full_dialog(spark, d):
+    return _shown(D.expand(base(spark, d), "full"))
+
+
+def _windows(spark, d, bounds=BOUNDS, kind="quality"):
+    cfg = P.BuildConfig(kind=kind, max_turns=8, flat=True, bounds=bounds)
+    return P.reasoned(P.windows(base(spark, d), cfg), cfg)
+
+
+def prompt_dedup_first_valid(spark, d):
+    w = U.first_valid(_windows(spark, d), "prompt_hash", ["id", "turn"])
+    return w.select("id", "turn", "prompt_hash", "reason", "status")
+
+
+def dedup_counters(spark, d):
+    return U.counters(U.first_valid(_windows(spark, d), "prompt_hash", ["id", "turn"]), ["source"], reason=None)
+
+
+def skip_reason_hist(spark, d):
+    return _windows(spark, d).groupBy("source", "reason").agg(F.count(F.lit(1)).alias("n"))
+
+
+def daily_reason_hist(spark, d):
+    return _windows(spark, d, DAILY, "daily").groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+
+
+def chinese_reason_hist(spark, d):
+    return _windows(spark, d, CHINESE, "chinese").groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+
+
+def source_quota(spark, d):
+    w = U.first_valid(_windows(spark, d), "prompt_hash", ["id", "turn"]).where("status = 'accepted'")
+    return U.source_quota(w.select("source", "id", "turn"), "source", ["id", "turn"], 20)
+
+
+def merge_fold(spark, d):
+    w = _windows(spark, d).select("id", "turn", "source", "prompt_hash", "valid")
+    src = [(s, w.where(F.col("source") == s).drop("source"), q) for s, q in (("worldtalk", 40), ("smalltalkzh", 1000), ("lanternchat", 0), ("orchardpairs", 25))]
+    return U.fold_sources(src, "prompt_hash", ["id", "turn"]).select("source_name", "id", "turn", "rank")
+
+
+def english_ratio(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.round(X.ascii_letter_ratio(F.col("text")), 6).alias("ratio"), X.is_english(F.col("text"), 0.7).alias("is_english"))
+
+
+def cjk_ratio(spark, d):
+    return table(spark, d, "documents").select("doc_id", X.cjk_count(F.col("text")).alias("cjk"), F.round(X.cjk_ratio(F.col("text")), 6).alias("ratio"))
+
+
+def bad_prompts(spark, d):
+    return D.prefix_windows(base(spark, d)).select("id", "turn", Q.bad_prompt(F.col("window")).alias("bad"))
+
+
+def language_gate(spark, d):
+    return table(spark, d, "documents").select("doc_id", Q.language_ok(F.col("lang")).alias("ok"))
+
+
+def message_filter(spark, d):
+    return table(spark, d, "oasst1").where(Q.message_ok()).select("message_id", "ingested_at")
+
+
+def text_records(spark, d):
+    return P.text_records(table(spark, d, "documents"), 100, 400).select("doc_id", F.length("text").alias("chars"), F.sha2("text", 256).alias("digest"))
+
+
+def char_budget(spark, d):
+    r = K.limit_chars(P.text_records(table(spark, d, "documents")).select("doc_id", "text"), "text", ["doc_id"], 50_000)
+    return r.select("doc_id", F.length("kept").alias("chars"), "cut")
+
+
+def doc_chunks(spark, d):
+    c = table(spark, d, "documents").select("doc_id", F.posexplode(R.chunk_paragraphs(F.col("text"), 300)).alias("chunk", "content"))
+    return c.select("doc_id", "chunk", F.length("content").alias("chars"), F.sha2("content", 256).alias("digest"))
+
+
+def word_freq_topk(spark, d):
+    return V.top_tokens(V.token_frequencies(table(spark, d, "documents"), "text", "doc_id"), 100)
+
+
+def source_vocabulary(spark, d):
+    """Word and character types of the documents in order of first occurrence, as a source vocabulary."""
+    f = V.token_frequencies(table(spark, d, "documents"), "text", "doc_id")
+    words = f.select("token", F.col("first.o").alias("o"), F.col("first.p").alias("p"))
+    pieces = words.where(F.length("token") > 4).select(F.concat(F.lit("##"), F.substring("token", -3, 3)).alias("token"), "o", "p")
+    one = words.unionByName(pieces).groupBy("token").agg(F.min(F.struct("o", "p")).alias("at"))
+    return U.number(one.select("token", F.col("at.o").alias("o"), F.col("at.p").alias("p")), "%d", ["o", "p", "token"], col="ord").select("token", F.col("ord").cast("bigint").alias("ord"))
+
+
+def vocab_prune(spark, d):
+    freq = V.token_frequencies(table(spark, d, "documents"), "text", "doc_id")
+    return V.prune(source_vocabulary(spark, d), 1200, {"cjk": 300, "word": 500, "piece": 100}, freq=freq)
+
+
+def _wordpiece(spark, d) -> W.WordPiece:
+    """At most 1,200 tokens reach the driver."""
+    return W.WordPiece([r["token"] for r in vocab_prune(spark, d).orderBy("id").collect()])
+
+
+def token_counts(spark, d):
+    wp = _wordpiece(spark, d)
+    return table(spark, d, "documents").select("doc_id", F.size(W.encode_udf(wp)(F.col("text"))).alias("tokens"))
+
+
+def packed_records(spark, d):
+    wp = _wordpiece(spark, d)
+    r = W.encode_records(base(spark, d).where("size(segments) > 1"), wp)
+    r = K.spans(r.withColumn("n", F.size("tokens")).withColumn("weight", K.trainable(F.col("mask"))), "n", ["id"])
+    return r.select("id", "start", "end", "weight")
+
+
+def sampled_windows(spark, d):
+    wp = _wordpiece(spark, d)
+    r = W.encode_records(base(spark, d).where("size(segments) > 1"), wp).select("id", "tokens", "mask")
+    w = K.sample_windows(r, 500, 64, 7, ["id"])
+    return w.select("draw_id", "id", F.size("x").alias("n"), F.size(F.filter("y", lambda t: t != -100)).alias("targets"))
+
+
+def record_spans(spark, d):
+    t = table(spark, d, "documents").select("doc_id", F.length(F.coalesce("text", F.lit(""))).alias("n"))
+    return K.spans(t, "n", ["doc_id"]).select("doc_id", F.col("start").cast("bigint").alias("start"), F.col("end").cast("bigint").alias("end"))
+
+
+def draw_lookup(spark, d):
+    t = table(spark, d, "documents").select("doc_id", F.length(F.coalesce("text", F.lit(""))).cast("bigint").alias("w"))
+    w = K.cumulative_weights(t, "w", ["doc_id"])
+    draws = table(spark, d, "orders").select("o_orderkey", (F.col("o_orderkey") * 7919 % 200_000).alias("draw"))
+    return K.draw_lookup(draws, "draw", w).select("o_orderkey", "draw", "doc_id")
+
+
+def preference_pairs(spark, d):
+    r = table(spark, d, "training_records").where("id is not null and size(rejected_segments) > 0").dropDuplicates(["id"])
+    seg = lambda c: D.make_segments(F.col(c), clean=lambda x: X.clean_flat(x, False))
+    r = r.select("id", "source", seg("segments").alias("good"), seg("rejected_segments").alias("bad"))
+    out = R.preference_record(r, F.col("id"), X.name_key(F.col("source")), F.array().cast("array<struct<role:string,content:string,train:boolean>>"), F.col("good"), F.col("bad"))
+    return out.select("id", "source", "task", F.size("segments").alias("n"), F.size("rejected_segments").alias("rejected"))
+
+
+def canonical_records(spark, d):
+    r = P.deliveries(table(spark, d, "training_records"))
+    t = table(spark, d, "training_records").groupBy("id").agg(F.min_by(F.struct("task", "rejected_segments"), "ingested_at").alias("t"))
+    j = r.join(t, "id")
+    out = R.make_record(j, F.col("id"), X.name_key(F.col("source")), F.col("segments"), task=F.col("t.task"), rejected=F.col("t.rejected_segments"))
+    return out.select("schema", "id", "source", "task", F.size("segments").alias("n"), F.coalesce(F.size("rejected_segments"), F.lit(0)).alias("rejected"))
+
+
+def raw_payloads(spark, d):
+    raw = table(spark, d, "raw_records")
+    p = R.parse_payloads(raw.where("line is not null"), "line", "raw_id")
+    return p.select("raw_id", "kind", X.name_key(F.col("source")).alias("source"), F.size("segments").alias("n"))
+
+
+def role_hist(spark, d):
+    s = table(spark, d, "training_records").select(F.explode("segments").alias("s"))
+    return s.groupBy(X.normalize_role(F.col("s.role")).alias("role")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def reply_tree_paths(spark, d):
+    m = table(spark, d, "oasst1")
+    p = TR.answer_paths(latest(m))
+    text = F.array_join(F.transform("segments", lambda x: F.concat(x["role"], F.lit(":"), x["content"])), "|")
+    return p.select("leaf", "score", "n", F.sha2(text, 256).alias("digest"))
+
+
+def latest(m: DataFrame) -> DataFrame:
+    """The last delivery of each message."""
+    cols = [c for c in m.columns if c != "message_id"]
+    return m.groupBy("message_id").agg(F.max_by(F.struct(*cols), "ingested_at").alias("m")).select("message_id", "m.*")
+
+
+def children_lists(spark, d):
+    c = TR.children(latest(table(spark, d, "oasst1")))
+    return c.select("parent_id", F.size("children").alias("n"), F.array_join("children", ",").alias("children"))
+
+
+def line_id_join(spark, d):
+    docs = table(spark, d, "documents")
+    conv = docs.select(F.col("doc_id").alias("conv"), F.array(F.col("doc_id"), F.col("doc_id") + 7, F.col("doc_id") + 10_000_000, F.col("doc_id") + 3).alias("ids"))
+    j = R.line_id_join(conv, "conv", "ids", docs.select(F.col("doc_id").alias("line"), "text"), "line", "text")
+    roles = F.array_join(F.transform("segments", lambda s: F.substring(s["role"], 1, 1)), "")
+    return j.select("conv", roles.alias("roles"), F.aggregate("segments", F.lit(0), lambda a, s: a + F.length(s["content"])).alias("chars"))
+
+
+def persona_reset(spark, d):
+    e = table(spark, d, "events")
+    n = (F.col("event_id") % 5) + 1
+    body = F.when(n == 1, F.concat(F.lit("your persona: "), F.col("event_type"))).otherwise(F.concat(F.lit("q "), F.col("event_id").cast("string"), F.lit("\t"), F.lit("a "), F.col("event_type")))
+    lines = e.select((F.col("user_id") % 16).alias("file"), F.col("event_id").alias("line_no"), F.concat(n.cast("string"), F.lit(" "), body).alias("value"))
+    return R.persona_conversations(lines).select("file", "conv", F.size("segments").alias("n"), F.size("persona").alias("personas"))
+
+
+def speaker_roles(spark, d):
+    e = table(spark, d, "events")
+    s = R.speaker_roles(e, ["user_id"], "event_id", "event_type", "event_type")
+    return s.select("user_id", F.array_join(F.transform("segments", lambda x: F.substring(x["role"], 1, 1)), "").alias("roles"))
+
+
+def label_parse(spark, d):
+    t = base(spark, d).select("id", D.render(F.col("segments")).alias("text"))
+    p = R.parse_labels(t, ["id"], "text")
+    return p.select("id", F.size("segments").alias("n"), F.sha2(F.array_join(F.transform("segments", lambda x: F.concat(x["role"], F.lit(":"), x["content"])), "|"), 256).alias("digest"))
+
+
+def html_articles(spark, d):
+    html = F.concat(F.lit("<html><body><div><h1>"), F.coalesce("title", F.lit("")), F.lit("</h1><p>"), F.regexp_replace(F.regexp_replace(F.coalesce("text", F.lit("")), "[<>&]", " "), r"\n\n", "</p><p>"), F.lit("</p></div></body></html>"))
+    a = table(spark, d, "documents").select("doc_id", S.article_udf()(html).alias("a"))
+    return a.select("doc_id", F.length("a.title").alias("title"), F.length("a.content").alias("chars"))
+
+
+def category_accuracy(spark, d):
+    docs = table(spark, d, "documents").select(X.name_key(F.col("category")).alias("label"), X.name_key(F.col("source")).alias("predicted"))
+    return M.accuracy(docs.select(F.when(F.col("label") != "", F.col("label")).alias("label"), F.when(F.col("predicted") != "", F.col("predicted")).alias("predicted")), "label", "predicted").select("n", F.round("accuracy", 6).alias("accuracy"))
+
+
+def crawl_metadata(spark, d):
+    r = K2.crawl_metadata(table(spark, d, "documents"))
+    return r.select("total", F.array_join("categories", ",").alias("categories"), F.array_join("sources", ",").alias("sources"))
+
+
+def char_stats(spark, d):
+    docs = table(spark, d, "documents")
+    return docs.groupBy(X.name_key(F.col("source")).alias("source")).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("chars"), F.count_if(F.length("text") >= 200).alias("long"))
+
+
+def regression_errors(spark, d):
+    e = M.errors(table(spark, d, "lineitem").select((F.col("l_extendedprice") / 1000).alias("y"), F.col("l_quantity").alias("p")), "y", "p")
+    return e.select(F.round("mae", 6).alias("mae"), F.round("sae", 2).alias("sae"), F.round("mse", 4).alias("mse"))
+
+
+def masked_loss(spark, d):
+    e = table(spark, d, "embeddings").select(F.transform("embedding", lambda x: x.cast("double")).alias("logits"), F.when(F.col("vec_id") % 3 == 0, -100).otherwise(F.col("label") % 10).cast("int").alias("gold"))
+    m = M.masked_loss(e, "logits", "gold", smoothing=0.1)
+    return m.select(F.round("loss", 6).alias("loss"), F.round("smoothed", 6).alias("smoothed"), F.round("gold_prob", 6).alias("gold_prob"), "valid")
+
+
+def scatter_add(spark, d):
+    r = M.scatter_add(table(spark, d, "lineitem"), "l_linenumber", "l_quantity")
+    return r.select("l_linenumber", F.round("total", 2).alias("total"))
+
+
+def embedding_gather(spark, d):
+    t = table(spark, d, "orders").select(F.col("o_orderkey").alias("key"), F.array(F.col("o_orderkey") % 300, F.col("o_custkey") % 300).alias("ids"))
+    g = M.gather_embeddings(t, "key", "ids", table(spark, d, "embeddings").select("vec_id", "embedding"), "vec_id", "embedding", 2.0)
+    return g.select("key", "pos", F.round(F.get("vector", F.lit(0)).cast("double"), 5).alias("v0"))
+
+
+def learning_rates(spark, d):
+    o = table(spark, d, "orders").select("o_orderkey")
+    s = F.col("o_orderkey")
+    return o.select(
+        "o_orderkey", F.round(N.warmup_cosine(s, 0.01, 1000, 12000, 0.001), 9).alias("cosine"), F.round(N.inverse_sqrt(s, 512, 4000), 9).alias("inverse"),
+        F.round(N.step_decay(s, 0.1, 3000, 0.5), 9).alias("decay"), F.round(N.ramp(s, 100, 1100), 9).alias("alpha"),
+    )
+
+
+def numbered_ids(spark, d):
+    return U.number(table(spark, d, "customer").select("c_custkey", "c_mktsegment"), "row-%07d", ["c_mktsegment", "c_custkey"])
+
+
+def full_batches(spark, d):
+    b = U.full_batches(table(spark, d, "orders").select("o_orderkey"), 64, ["o_orderkey"])
+    return b.groupBy("batch").agg(F.count(F.lit(1)).alias("n"), F.min("o_orderkey").alias("first"))
+
+
+def value_ema(spark, d):
+    e = table(spark, d, "events").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("event_id", "value"))).alias("v"))
+    return e.select("user_id", F.round(M.ema(F.transform("v", lambda x: x["value"])), 6).alias("ema"))
+
+
+def softmax_draws(spark, d):
+    e = table(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("l"))
+    p = N.softmax(N.top_k_mask(F.col("l"), 5), 0.7)
+    u = F.pmod(F.xxhash64(F.lit(3), "vec_id"), F.lit(1_000_000)) / 1e6
+    return e.select("vec_id", M.draw_index(p, u).alias("drawn"), (F.array_position("l", F.array_max("l")) - 1).cast("int").alias("best"))
+
+
+def token_set_algebra(spark, d):
+    w = lambda c: F.array_distinct(F.split(F.lower(c), " "))
+    p = table(spark, d, "part")
+    a, b = w(F.col("p_name")), w(F.col("p_type"))
+    show = lambda x: F.array_join(F.array_sort(x), " ")
+    return p.select("p_partkey", show(F.array_union(a, b)).alias("both"), show(F.array_intersect(a, b)).alias("shared"), show(F.array_except(a, b)).alias("own"))
+
+
+def tightened_text(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.sha2(X.clean_chinese(F.col("text"), False), 256).alias("digest"), F.length(X.clean_chinese(F.col("text"), False)).alias("chars"))
+
+
+def first_paragraphs(spark, d):
+    p = F.filter(F.split(X.unify_newlines(F.col("text")), "\n\n"), lambda x: F.length(x) > 50)
+    return table(spark, d, "documents").where("text is not null").select("doc_id", F.size(F.slice(p, 1, 5)).alias("n"), F.aggregate(F.slice(p, 1, 5), F.lit(0), lambda a, x: a + F.length(x)).alias("chars"))
+
+
+def trimmed_dialogs(spark, d):
+    t = base(spark, d).select("id", D.trim_budget(F.col("segments"), 4, 600).alias("s"))
+    return t.select("id", F.size("s").alias("n"), F.aggregate("s", F.lit(0), lambda a, x: a + F.length(x["content"])).alias("chars"))
+
+
+def quality_build(spark, d):
+    cfg = P.BuildConfig(max_turns=8, flat=True, quota=200, bounds=BOUNDS, id_pattern="quality-%07d")
+    r, _ = P.build(table(spark, d, "training_records"), cfg)
+    return r.select("id", "source", "task", F.size("segments").alias("n"))
+
+
+def merge_corpora(spark, d):
+    r = P.deliveries(table(spark, d, "training_records")).select("source", "segments")
+    parts = [(s, r.where(X.name_key(F.col("source")) == s)) for s in ("worldtalk", "lanternchat", "smalltalkzh")]
+    _, stats = P.merge_corpora([*parts, ("again", parts[0][1])])
+    return stats
+
+
+def chat_mix(spark, d):
+    r = P.deliveries(table(spark, d, "training_records"))
+    parts = [(s, r.where(X.name_key(F.col("source")) == s), q) for s, q in (("lanternchat", 150), ("feedbacknotes", 100))]
+    return P.chat_mix(parts).select("source_name", "id", F.size("segments").alias("n"), "rank")
+
+
+def reasoning_examples(spark, d):
+    return G.reasoning_examples(spark, 1000, 0)
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {
+        f.__name__: f
+        for f in (
+            dialog_segments, prefix_windows, context_windows_2_4_6, sliding_window_3, single_turn_pairs, full_dialog, prompt_dedup_first_valid, dedup_counters,
+            skip_reason_hist, daily_reason_hist, chinese_reason_hist, source_quota, merge_fold, english_ratio, cjk_ratio, bad_prompts, language_gate, message_filter,
+            text_records, char_budget, doc_chunks, word_freq_topk, vocab_prune, token_counts, packed_records, sampled_windows, record_spans, draw_lookup, preference_pairs,
+            canonical_records, raw_payloads, role_hist, reply_tree_paths, children_lists, line_id_join, persona_reset, speaker_roles, label_parse, html_articles, category_accuracy,
+            crawl_metadata, char_stats, regression_errors, masked_loss, scatter_add, embedding_gather, learning_rates, numbered_ids, full_batches, value_ema, softmax_draws,
+            token_set_algebra, tightened_text, first_paragraphs, trimmed_dialogs, quality_build, merge_corpora, chat_mix, reasoning_examples,
+        )
+    }
