@@ -25,11 +25,11 @@ def leaf_paths(nodes: DataFrame, id_col: str, parent_col: str, max_rounds: int =
     reach = cut_lineage(edges.join(parents, "id", "left_anti").select(F.col("id").alias("leaf"), F.lit(0).cast("bigint").alias("steps"), "id"))
     jump, step = edges.where("up is not null"), 1
     for _ in range(max_rounds):
-        more = reach.join(jump, "id").select("leaf", (F.col("steps") + step).alias("steps"), F.col("up").alias("id"))
-        more = cut_lineage(more.where(F.col("leaf") != F.col("id")))
-        if more.isEmpty():
+        more = reach.join(jump, "id").select("leaf", (F.col("steps") + step).alias("steps"), F.col("up").alias("id")).where(F.col("leaf") != F.col("id"))
+        fresh = cut_lineage(more.groupBy("leaf", "id").agg(F.min("steps").alias("steps")).join(reach.select("leaf", "id"), ["leaf", "id"], "left_anti").select("leaf", "steps", "id"))
+        if fresh.isEmpty():  # the end of the longest path, or only cycles go on
             break
-        reach = cut_lineage(reach.unionByName(more).groupBy("leaf", "id").agg(F.min("steps").alias("steps")).select("leaf", "steps", "id"))
+        reach = cut_lineage(reach.unionByName(fresh))
         nxt = jump.select(F.col("id").alias("up"), F.col("up").alias("up2"))
         jump = cut_lineage(jump.join(nxt, "up").select("id", F.col("up2").alias("up")))
         step *= 2

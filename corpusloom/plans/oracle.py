@@ -179,8 +179,8 @@ def oracle_sql() -> dict[str, str]:
     sql["role_hist"] = f"WITH s AS (SELECT unnest(segments) AS s FROM training_records) SELECT {role("s['role']")} AS role, count(*) AS n FROM s GROUP BY 1"
     sql["reply_tree_paths"] = f"""WITH RECURSIVE {LATEST}, k AS (SELECT * FROM m WHERE {MESSAGE_OK}),
         leaf AS (SELECT message_id FROM k WHERE message_id NOT IN (SELECT parent_id FROM k WHERE parent_id IS NOT NULL)),
-        walk AS (SELECT l.message_id AS leaf, l.message_id AS id, 0 AS steps FROM leaf l
-          UNION ALL SELECT w.leaf, p.message_id, w.steps + 1 FROM walk w JOIN k c ON c.message_id = w.id JOIN k p ON p.message_id = c.parent_id WHERE w.steps < 300 AND p.message_id <> w.leaf),
+        walk AS (SELECT l.message_id AS leaf, l.message_id AS id, 0 AS steps, [l.message_id] AS seen FROM leaf l
+          UNION ALL SELECT w.leaf, p.message_id, w.steps + 1, list_append(w.seen, p.message_id) FROM walk w JOIN k c ON c.message_id = w.id JOIN k p ON p.message_id = c.parent_id WHERE NOT list_contains(w.seen, p.message_id)),
         full_path AS (SELECT w.leaf, w.steps, k.role, k.text, coalesce(k.rank, 1000) AS rank FROM walk w JOIN k ON k.message_id = w.id),
         g AS (SELECT leaf, sum(CASE WHEN role = 'assistant' THEN rank ELSE 0 END)::BIGINT AS score, count(*)::INT AS n,
           sha256(string_agg(({role('role')}) || ':' || {strip(newlines('text'))}, '|' ORDER BY steps DESC)) AS digest, max({role('role')}) FILTER (WHERE steps = 0) AS last FROM full_path GROUP BY leaf)
