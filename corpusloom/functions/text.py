@@ -15,6 +15,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corpusloom.functions.numeric import let
 from corpusloom.schema import DIALOG_ROLE_ALIASES, ROLE_ALIASES, TASK_SYNONYMS
 
 #: White space as Python's str.split and str.strip see it.
@@ -62,9 +63,9 @@ def visible(c: Column) -> Column:
 
 def normalize_role(c: Column, dialog: bool = False) -> Column:
     """Canonical role name; unknown names come back trimmed and in lower case; null counts as ''."""
-    key = F.lower(strip(F.coalesce(c, F.lit(""))))
     aliases = ROLE_ALIASES | (DIALOG_ROLE_ALIASES if dialog else {})
-    return reduce(lambda acc, kv: acc.when(key == kv[0], F.lit(kv[1])), list(aliases.items())[1:], F.when(key == next(iter(aliases)), F.lit(next(iter(aliases.values()))))).otherwise(key)
+    names = F.create_map(*[F.lit(x) for kv in aliases.items() for x in kv])
+    return let(F.lower(strip(F.coalesce(c, F.lit("")))), lambda k: F.coalesce(F.try_element_at(names, k), k))
 
 
 def default_train(role: Column) -> Column:

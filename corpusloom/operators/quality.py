@@ -12,6 +12,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as X
+from corpusloom.functions.numeric import let
 from corpusloom.operators import dialog as D
 
 # Phrases of prompts that ask for overlong answers.
@@ -70,12 +71,12 @@ def bad_prompt(segments: Column) -> Column:
     """A phrase asking for an overlong answer, or a last user text without content."""
     users = F.filter(segments, lambda s: (s["role"] == "user") & ~s["train"])
     last = F.coalesce(D.flat_lower(F.try_element_at(users, F.lit(-1))["content"]), F.lit(""))
-    return X.matches_any(visible_prompt(segments), BAD_PROMPT_PHRASES) | last.isin(*GENERIC_PROMPTS)
+    return let(visible_prompt(segments), lambda p: X.matches_any(p, BAD_PROMPT_PHRASES)) | let(last, lambda x: x.isin(*GENERIC_PROMPTS))
 
 
 def bad_template(segments: Column) -> Column:
     said = F.lower(F.array_join(F.transform(F.filter(segments, lambda s: s["role"] == "assistant"), lambda s: s["content"]), "\n"))
-    return X.matches_any(said, BAD_ASSISTANT_PHRASES)
+    return let(said, lambda t: X.matches_any(t, BAD_ASSISTANT_PHRASES))
 
 
 def ends_with_answer(segments: Column) -> Column:
