@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusloom.llm.common import TOKENIZERS, byte_encoder
-from corpusloom.operators.skew import cut_lineage
+from corpusloom.operators.skew import cut_lineage, spread
 
 
 def count_udf(folder: str = TOKENIZERS, name: str = "byte_bpe_50k"):
@@ -145,7 +145,7 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     A document up to the capacity is one item; a longer one is split into full
     pieces and a rest.  Null and empty texts are items of 0 tokens in container 0.
     """
-    n = docs.select(F.col(id_col), count_udf(folder, name)(F.col(text_col)).alias("n"))
+    n = spread(docs.select(id_col, text_col)).select(F.col(id_col), count_udf(folder, name)(F.col(text_col)).alias("n"))
     return fill_containers(split_oversize(n, capacity), [id_col, "part"], capacity, buckets)
 
 

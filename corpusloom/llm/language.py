@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusloom.functions.text import strip
+from corpusloom.operators.skew import spread
 
 # ISO 639-2 codes (terminological and bibliographic) of the ISO 639-1 codes.
 THREE_LETTERS = {
@@ -368,7 +369,7 @@ def fit_profiles(labelled: DataFrame, codes: list[tuple[str, str, str]], sample_
                 most = np.argsort(-times, kind="stable")[: 20 * size]
                 yield pd.DataFrame({"lang": lang, "key": keys[most], "n": times[most]})
 
-    counted = ok.mapInPandas(grams, "lang string, key bigint, n bigint").groupBy("lang", "key").agg(F.sum("n").alias("n"))
+    counted = spread(ok).mapInPandas(grams, "lang string, key bigint, n bigint").groupBy("lang", "key").agg(F.sum("n").alias("n"))
     first = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "key"))
     best = counted.withColumn("r", first).where(F.col("r") <= size).collect()  # languages x size
     rows = [(x["lang"], x["key"], float(np.log2(x["r"]))) for x in best]
@@ -398,7 +399,7 @@ def detect(df: DataFrame, profiles: Profiles, text_col: str, keep: list[str], la
             yield out
 
     schema = T.StructType([*[df.schema[c] for c in keep], T.StructField("lang", T.StringType()), T.StructField("confidence", T.DoubleType())])
-    return df.select(*cols).mapInPandas(run, schema)
+    return spread(df.select(*cols)).mapInPandas(run, schema)
 
 
 STRETCHES = "id string, seg_idx int, start int, `end` int, lang string, confidence double, whole boolean"
@@ -424,7 +425,7 @@ def stretches(records: DataFrame, profiles: Profiles, mixed_only: bool = False)
                     out += [(i, k, a, b, p.langs[x], c, w) for a, b, x, c, w in st]
             yield pd.DataFrame(out, columns=["id", "seg_idx", "start", "end", "lang", "confidence", "whole"])
 
-    return rows.where("content is not null").mapInPandas(run, STRETCHES)
+    return spread(rows.where("content is not null")).mapInPandas(run, STRETCHES)
 
 
 def fit_on(documents: DataFrame, language_codes: DataFrame, **kw) -> Profiles:
