@@ -60,7 +60,7 @@ def decode_text(s: pd.Series) -> pd.Series:
 
 
 def whole_texts(spark: SparkSession, path: str) -> DataFrame:
-    """(path, text): one row per file, whatever its encoding."""
+    """(path, text): one row per file that has any bytes, whatever its encoding."""
     return spark.read.format("binaryFile").load(path).select("path", decode_text("content").alias("text"))
 
 
