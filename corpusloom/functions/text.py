@@ -90,9 +90,18 @@ def name_key(c: Column) -> Column:
     return F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"[^\p{L}\p{Nd}]", "")
 
 
+# Small letters whose case folding is another letter or several.
+FOLDED = {"ß": "ss", "ς": "σ", "ſ": "s", "ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st"}
+
+
 def fold_case(c: Column) -> Column:
-    """Case folding: the upper-case mapping first, so that ß and SS, or the two small sigmas, agree."""
-    return F.lower(F.upper(c))
+    """Case folding: ß and SS, or the two small sigmas, agree."""
+
+    def body(t: Column) -> Column:
+        folded = reduce(lambda a, kv: F.replace(a, F.lit(kv[0]), F.lit(kv[1])), FOLDED.items(), t)
+        return F.when(t.rlike(f"[{''.join(FOLDED)}]"), folded).otherwise(t)
+
+    return let(F.lower(F.upper(c)), body)
 
 
 def strip_special_tokens(c: Column) -> Column:

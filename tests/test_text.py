@@ -33,6 +33,12 @@ def test_roles_tasks_names(spark):
     assert one(spark, None, X.name_key) == ""
 
 
+def test_case_folding(spark):
+    for a, b in (("Grüße", "GRÜSSE"), ("ΣΊΣΥΦΟΣ", "σίσυφος"), ("ﬁn", "FIN"), ("", "")):
+        assert one(spark, a, X.fold_case) == one(spark, b, X.fold_case)
+    assert one(spark, None, X.fold_case) is None
+
+
 def test_ratios_and_visibility(spark):
     assert one(spark, "abcéabcé", X.ascii_letter_ratio) == 0.75
     assert one(spark, "12", X.ascii_letter_ratio) is None
