@@ -53,10 +53,10 @@ def hash_bucket(c: Column, n: int | Column, seed: int = 0) -> Column:
     return F.pmod(F.xxhash64(F.lit(seed), c), F.lit(n) if isinstance(n, int) else n).cast("int")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Rows over all cores where the scan has fewer splits than the cluster has cores; large inputs pass as they are.
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows of a scan over all cores, by `keys` if given, where it has fewer splits than there are; large inputs pass as they are.
 
     For operators that spend far more on a row in Python than a shuffle of it costs.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df

@@ -77,12 +77,12 @@ def _windows(spark, d, bounds=BOUNDS, kind="quality"):
 
 
 def prompt_dedup_first_valid(spark, d):
-    w = U.first_valid(_windows(spark, d), "prompt_hash", ["id", "turn"])
+    w = U.first_valid(P.judged(_windows(spark, d), ["id", "turn"]), "prompt_hash", ["id", "turn"])
     return w.select("id", "turn", "prompt_hash", "reason", "status")
 
 
 def dedup_counters(spark, d):
-    return U.counters(U.first_valid(_windows(spark, d), "prompt_hash", ["id", "turn"]), ["source"], reason=None)
+    return U.counters(U.first_valid(P.judged(_windows(spark, d), ["id", "turn"]), "prompt_hash", ["id", "turn"]), ["source"], reason=None)
 
 
 def skip_reason_hist(spark, d):
@@ -98,12 +98,12 @@ def chinese_reason_hist(spark, d):
 
 
 def source_quota(spark, d):
-    w = U.first_valid(_windows(spark, d), "prompt_hash", ["id", "turn"]).where("status = 'accepted'")
+    w = U.first_valid(P.judged(_windows(spark, d), ["id", "turn"]), "prompt_hash", ["id", "turn"]).where("status = 'accepted'")
     return U.source_quota(w.select("source", "id", "turn"), "source", ["id", "turn"], 20)
 
 
 def merge_fold(spark, d):
-    w = _windows(spark, d).select("id", "turn", "source", "prompt_hash", "valid")
+    w = P.judged(_windows(spark, d), ["id", "turn"]).drop("reason")
     src = [(s, w.where(F.col("source") == s).drop("source"), q) for s, q in (("worldtalk", 40), ("smalltalkzh", 1000), ("lanternchat", 0), ("orchardpairs", 25))]
     return U.fold_sources(src, "prompt_hash", ["id", "turn"]).select("source_name", "id", "turn", "rank")
 

@@ -13,6 +13,7 @@ from corpusloom.operators import dedup as U
 from corpusloom.operators import dialog as D
 from corpusloom.operators import quality as Q
 from corpusloom.operators import records as R
+from corpusloom.operators.skew import cut_lineage, spread
 from corpusloom.operators.wordpiece import WordPiece, encode_udf
 
 
@@ -39,7 +40,7 @@ class BuildConfig:
 def deliveries(records: DataFrame) -> DataFrame:
     """One row (id, source, segments) per id: the earliest delivery; null ids are left out."""
     first = F.min_by(F.struct("source", "segments"), F.struct("ingested_at", F.xxhash64("source", "segments")))
-    return records.where(F.col("id").isNotNull()).groupBy("id").agg(first.alias("r")).select("id", "r.source", "r.segments")
+    return spread(records.where(F.col("id").isNotNull()).select("id", "source", "segments", "ingested_at"), "id").groupBy("id").agg(first.alias("r")).select("id", "r.source", "r.segments")
 
 
 def dialogs(records: DataFrame, flat: bool = True, compose: bool = False) -> DataFrame:
@@ -76,6 +77,11 @@ def reasoned(w: DataFrame, cfg: BuildConfig, wp: WordPiece | None = None) -> Dat
     return w.withColumn("valid", F.col("reason") == "ok")
 
 
+def judged(w: DataFrame, order: list[str]) -> DataFrame:
+    """The narrow part of reasoned windows, written once, so that they aren't built twice."""
+    return cut_lineage(w.select("source", *order, "prompt_hash", "reason", "valid"))
+
+
 def order_of(cfg: BuildConfig) -> list[str]:
     return ["id", "turn", "size"] if cfg.mode == "window" else ["id", "turn"]
 
