@@ -88,8 +88,8 @@ def p6_conversations(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_links(spark: SparkSession, d: str) -> DataFrame:
-    """Likeliest parent of every reply."""
-    return threads.likely_parents(table(spark, d, "oasst1"))
+    """Likeliest parent of every reply, however long after it."""
+    return threads.likely_parents(table(spark, d, "oasst1"), hours=None)
 
 
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:

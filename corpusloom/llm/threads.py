@@ -51,28 +51,71 @@ def link_score(child: Column, parent: Column, hours: float) -> Column:
     return time + overlap + F.when(named, 1.0).otherwise(0.0)
 
 
-def reply_links(live: DataFrame, hours: float = 6.0) -> DataFrame:
+def _hour() -> Column:
+    return F.floor(F.unix_micros("created_date") / 3.6e9).cast("bigint")
+
+
+def reply_window(live: DataFrame, least: float = 6.0) -> float:
+    """Whole hours that cover the gap of every stated reply link, `least` at least; one row reaches the driver."""
+    above = live.select(F.col("message_id").alias("parent_id"), F.col("created_date").alias("before"))
+    gap = F.unix_micros("created_date") - F.unix_micros("before")
+    longest = live.select("parent_id", "created_date").join(above, "parent_id").agg(F.max(gap)).first()[0]
+    return max(least, float(-(-(longest or 0) // 3_600_000_000)))
+
+
+def last_before(lost: DataFrame, live: DataFrame) -> DataFrame:
+    """(message_id, parent): the latest message of another role in the same tree dated in an hour before that of each of `lost`.
+
+    An exact as-of search by equal joins: the hours before an hour are a union of blocks
+    of 1, 2, 4, … hours, one per bit set in it, and every block knows the last message of
+    each role.  Neither a tree nor its messages meet in one task.  Ties go to the larger id.
+    """
+    first, end = live.agg(F.min(_hour()), F.max(_hour())).first()
+    levels = F.sequence(F.lit(0), F.lit(max(1, ((end or 0) - (first or 0)).bit_length()) - 1))
+    up = lambda: F.expr("shiftright(h, level)")
+    at = (_hour() - F.lit(first or 0)).alias("h")
+    last = F.max(F.struct("created_date", "message_id"))
+    hours = live.where("created_date is not null").join(lost.select("message_tree_id").distinct(), "message_tree_id", "left_semi").groupBy("message_tree_id", "role", at).agg(last.alias("last"))
+    blocks = hours.select("*", F.explode(levels).alias("level")).groupBy("message_tree_id", "role", "level", up().alias("block")).agg(F.max("last").alias("last"))
+    seek = lost.where("created_date is not null").select("message_id", "message_tree_id", F.col("role").alias("own"), at).select("*", F.explode(levels).alias("level"))
+    seek = seek.where(up() % 2 == 1).select("message_id", "message_tree_id", "own", "level", (up() - 1).alias("block"))
+    met = seek.join(blocks, ["message_tree_id", "level", "block"]).where("role != own")
+    return met.groupBy("message_id").agg(F.max("last").alias("last")).select("message_id", F.col("last.message_id").alias("parent"))
+
+
+def reply_links(live: DataFrame, hours: float | None = 6.0) -> DataFrame:
     """(message_id, parent, stated, score): the likeliest parent of each message that isn't a root.
 
     `parent` is null where neither the stated parent exists nor the channel offers a
     candidate: a message of the other speaker in the same message tree, dated up to
     `hours` before.  Candidates are met by (tree, hour), never as all pairs of a tree;
-    ties go to the later, then to the smaller id.
+    ties go to the later, then to the smaller id.  With `hours` None the window covers
+    the gaps of all stated links, and a message without a candidate inside it gets the
+    latest earlier one of its tree.
     """
+    limit = reply_window(live) if hours is None else hours
     child = live.where(F.col("parent_id").isNotNull())
     ids = live.select(F.col("message_id").alias("parent_id"), F.lit(True).alias("known"))
     c = child.join(ids, "parent_id", "left")
     stated = c.where("known").select("message_id", F.col("parent_id").alias("parent"), F.lit(True).alias("stated"), F.lit(STATED).alias("score"))
     cols = ["message_id", "message_tree_id", "role", "text", "created_date"]
-    hour = F.floor(F.unix_micros("created_date") / 3.6e9).cast("bigint")
+    hour = _hour()
     lost = c.where("known is null").select(*cols)
-    seek = lost.select("message_tree_id", F.explode(F.sequence(hour - F.lit(int(hours) + 1), hour)).alias("hour"), F.struct(*cols).alias("child"))
+    if hours is None:
+        lost = cut_lineage(lost)
+    seek = lost.select("message_tree_id", F.explode(F.sequence(hour - F.lit(int(limit) + 1), hour)).alias("hour"), F.struct(*cols).alias("child"))
     offer = live.select("message_tree_id", hour.alias("hour"), F.struct(*cols).alias("cand"))
     a, b = F.col("child"), F.col("cand")
     gap = F.unix_micros(a["created_date"]) - F.unix_micros(b["created_date"])
-    met = seek.join(offer, ["message_tree_id", "hour"]).where((gap >= 0) & (gap <= int(hours * 3.6e9)) & (a["role"] != b["role"]) & (a["message_id"] != b["message_id"]))
-    scored = met.select(a["message_id"].alias("message_id"), link_score(a, b, hours).alias("score"), (-gap).alias("near"), b["message_id"].alias("parent"))
+    met = seek.join(offer, ["message_tree_id", "hour"]).where((gap >= 0) & (gap <= int(limit * 3.6e9)) & (a["role"] != b["role"]) & (a["message_id"] != b["message_id"]))
+    scored = met.select(a["message_id"].alias("message_id"), link_score(a, b, limit).alias("score"), (-gap).alias("near"), b["message_id"].alias("parent"))
     best = scored.groupBy("message_id").agg(F.max_by(F.struct("parent", "score"), F.struct("score", "near", "parent")).alias("best"))
+    if hours is None:
+        best = cut_lineage(best)
+        rest = lost.join(best, "message_id", "left_anti")
+        back = last_before(rest, live).join(live.select(F.col("message_id").alias("parent"), F.struct(*cols).alias("cand")), "parent")
+        back = rest.select("message_id", F.struct(*cols).alias("child")).join(back, "message_id")
+        best = best.unionByName(back.select("message_id", F.struct("parent", link_score(a, b, limit).alias("score")).alias("best")))
     found = lost.select("message_id").join(best, "message_id", "left").select("message_id", F.col("best.parent").alias("parent"), F.lit(False).alias("stated"), F.col("best.score").alias("score"))
     return stated.unionByName(found)
 
@@ -178,6 +221,6 @@ def conversations(messages: DataFrame, hours: float = 6.0) -> DataFrame:
     )
 
 
-def likely_parents(messages: DataFrame, hours: float = 6.0) -> DataFrame:
-    """(message_id, parent, stated, score): the reply links chosen, with those found for messages that lost theirs."""
+def likely_parents(messages: DataFrame, hours: float | None = 6.0) -> DataFrame:
+    """(message_id, parent, stated, score): the reply links chosen, with those found for messages that lost theirs (see `reply_links` for `hours`)."""
     return reply_links(cut_lineage(latest_messages(messages)), hours)

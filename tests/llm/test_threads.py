@@ -37,6 +37,15 @@ def test_likely_parents(spark):
     assert got == {"a1": ("q1", False), "far": (None, False)}
 
 
+def test_likely_parents_at_any_distance(spark):
+    rows = [
+        ("q1", None, "user", "how do I bake bread", 0), ("s1", "q1", "assistant", "in an oven", 25), ("q2", None, "user", "which train goes north", 12), ("a1", "lost1", "assistant", "to bake bread you need flour", 20),
+        ("far", "lost2", "assistant", "late", 300), ("self", "lost3", "user", "first", 0), ("old", "lost4", "assistant", "before all", -5000),
+    ]
+    got = {r["message_id"]: (r["parent"], r["stated"]) for r in threads.likely_parents(messages(spark, rows), hours=None).collect()}
+    assert got == {"s1": ("q1", True), "a1": ("q1", False), "far": ("q2", False), "self": ("old", False), "old": (None, False)}
+
+
 def test_deep_chain_and_empty(spark):
     rows = [(f"m{i:03d}", f"m{i - 1:03d}" if i else None, "user" if i % 2 == 0 else "assistant", "t", i) for i in range(150)]
     (r,) = threads.conversations(messages(spark, rows)).collect()
