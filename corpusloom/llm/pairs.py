@@ -23,6 +23,8 @@ from corpusloom.operators.skew import spread
 SHINGLE = 5
 TOKENS = re.compile(r"[぀-ヿ㐀-鿿฀-๿]|[^\W_]+(?:['’][^\W_]+)*")
 DENSE = re.compile("[぀-ヿ㐀-鿿฀-๿]")
+HAN_RUN = re.compile("[㐀-鿿]{2,}|[゠-ヿ]{2,}")
+THAI_RUN = re.compile("[฀-๿]{6,}")
 
 # What stands in for an answer, compared without brackets and case.
 PLACEHOLDERS = frozenset(
@@ -87,6 +89,16 @@ TEMPLATES = [
         r"(?:ไม่สามารถ|ไม่อาจ|ไม่ขอ|ขอปฏิเสธ).{0,20}(?:ช่วย|ตอบ|ให้|แบ่งปัน|พูด|เขียน|ดำเนินการ|แสดงความ|ทำ|บอก)|(?:ตอบ|ช่วย|ให้).{0,24}(?:ไม่ได้)(?!ว่า)|ขอปฏิเสธ",
     )
 ]
+# The same without what must not follow: no sentence follows a template where none of these is found.
+HINTS = [re.compile(re.sub(r"\(\?!(?:[^()]|\((?:[^()]|\([^()]*\))*\))*\)", "", t.pattern), t.flags) for t in TEMPLATES]
+# What goes along with a refusal without answering: excuses, reasons and pointers elsewhere.
+SUPPORT = re.compile(
+    r"(?i)\b(?:sorry|apolog\w+|regret\w*|unfortunately|thank\w*|polic(?:y|ies)|guidelines?|harmful|confidential|not (?:allowed|permitted)|(?:outside|beyond)(?: of)? (?:my|what i|the scope)"
+    r"|specialists?|experts?|professionals?|lawyers?|doctors?|consult|contact|someone|somebody|elsewhere|another question|something else|anything else|other (?:questions?|topics?|requests?)|happy to help|for understanding|your understanding|feel free|please"
+    r"|leider|entschuldig\w+|tut mir leid|bitte|richtlinien|fach(?:mann|frau|leute|person)|experten?|verständnis|désolée?|malheureusement|expert\w*|spécialistes?|veuillez|merci"
+    r"|lo siento|lamento|lamentablemente|desculp\w+|infelizmente|políticas?|especialistas?|por favor|gracias|obrigad[oa]|comprensión|compreensão)\b"
+    r"|извин|к сожалению|простите|специалист|эксперт|пожалуйста|抱歉|对不起|對不起|遗憾|政策|专家|专业人士|(?:别的|其他)问题|换一?个(?:问题|話題|话题)|語言模型|语言模型|申し訳|すみません|恐れ入り|専門家|ご了承|残念|別の質問|言語モデル|ขออภัย|ในฐานะ|คำถามอื่น|ขอโทษ|เสียใจ|นโยบาย|ผู้เชี่ยวชาญ|กรุณา|โปรด"
+)
 QUOTED = re.compile(r"[“„«「『\"][^“”„«»「」『』\"\n]{0,200}[”“»」』\"]")
 
 EMOTICON = re.compile(r"[\s←-⇿⌀-➿⬀-⯿️‍\U0001f000-\U0001faff]+$|\s+[:;=8][-o']?[()DPp/|\\]\s*$")
@@ -158,16 +170,61 @@ def is_copy(prompt: str, answer: str) -> bool:
     return bool(before) and before[-1] in ":：.。,，)）]】-–—>»\"”" or DENSE.match(p[start]) is not None and before[-1:] in "て：，）"
 
 
-def is_refusal(answer: str) -> bool:
-    """Whether one of the first two sentences follows a refusal template and little else follows."""
-    plain = QUOTED.sub(" ", answer.replace("’", "'"))
+def without_quotes(text: str) -> str:
+    return QUOTED.sub(" ", text.replace("’", "'"))
+
+
+def topics(text: str) -> set[str]:
+    """What a text is about: words of six letters or more, pairs of Han or Katakana letters and runs of six Thai letters."""
+    low = text.lower()
+    grams = {run[i : i + 2] for run in HAN_RUN.findall(low) for i in range(len(run) - 1)} | {run[i : i + 6] for run in THAI_RUN.findall(low) for i in range(len(run) - 5)}
+    return {w for w in tokens(low) if len(w) >= 6} | grams
+
+
+def refusing(plain: str, spans: list[tuple[int, int]]) -> list[bool]:
+    """Which sentences follow a refusal template; Thai ones may be cut at blanks, so a template may reach over several."""
+    out = [any(t.search(plain, a, b) for t in TEMPLATES) for a, b in spans]
+    if any("฀" <= c <= "๿" for c in plain):
+        for t in TEMPLATES:
+            for m in t.finditer(plain):
+                out = [o or (a < m.end() and m.start() < b) for o, (a, b) in zip(out, spans, strict=True)]
+    return out
+
+
+def is_refusal(answer: str, prompt: str = "") -> bool:
+    """Whether a sentence follows a refusal template and the others answer nothing.
+
+    Every sentence is aligned.  Another one answers if it takes up something the prompt is about
+    and neither excuses, explains the refusal nor points elsewhere; so do code and rows of a table,
+    and whatever fills more words ahead of the refusal than the refusal has, as it can't explain it yet.
+    """
+    plain = without_quotes(answer)
+    if not any(t.search(plain) for t in HINTS):
+        return False
     spans = split_sentences(plain)
-    if len(spans) > 5:
+    hit = refusing(plain, spans)
+    if not any(hit):
         return False
-    head = [plain[a:b] for a, b in spans[:2]]
-    if any("฀" <= c <= "๿" for c in plain):
-        head.append(plain[:120])
-    return any(t.search(h) for h in head for t in TEMPLATES)
+    if "```" in plain or "|--" in plain:
+        return False
+    asked = topics(prompt)
+    first = hit.index(True)
+    said = [plain[a:b] for a, b in spans]
+    other = [(i, x) for i, x in enumerate(said) if not hit[i] and not SUPPORT.search(x)]
+    if any(topics(x) & asked for _, x in other):
+        return False
+    ahead = sum(len(tokens(x)) for i, x in other if i < first)
+    return ahead <= max(4, sum(len(tokens(x)) for i, x in enumerate(said) if hit[i]))
+
+
+FENCE = re.compile(r"```.*?(?:```|\Z)", re.S)
+ROW = re.compile(r"^[ \t]*\|.*$", re.M)
+
+
+def prose(text: str) -> str:
+    """A text without code fences and, if it holds a table, without its rows."""
+    text = FENCE.sub("\n", text)
+    return ROW.sub("", text) if "|--" in text or "| --" in text else text
 
 
 def ending_keys(sentence: str) -> list[str]:
@@ -280,11 +337,13 @@ def judge(prompts: list[str], answers: list[str], systems: list[str], profiles:
             out[i] = "empty"
         elif is_copy(p, a):
             out[i] = "copy"
-        elif is_refusal(a):
+        elif is_refusal(a, p):
             out[i] = "refusal"
         else:
             left.append(i)
-    said = segment_languages(profiles, [answers[i] for i in left])
+    # Code and tables say nothing of an answer's language.
+    plain = {i: prose(answers[i]) for i in left}
+    said = segment_languages(profiles, [plain[i] for i in left])
     asked = segment_languages(profiles, [prompts[i] for i in left])
     # Only answers that share no language with their question are compared as wholes.
     apart = []
@@ -293,13 +352,12 @@ def judge(prompts: list[str], answers: list[str], systems: list[str], profiles:
         if len(a) == 1 and q and not a & q:
             apart.append((k, next(iter(a)), q))
     _, _, _, _, near_q = profiles.classify([prompts[left[k]] for k, _, _ in apart])
-    lang_a, _, letters, margin, near_a = profiles.classify([answers[left[k]] for k, _, _ in apart])
+    lang_a, _, letters, margin, near_a = profiles.classify([plain[left[k]] for k, _, _ in apart])
     for n, (k, r, q) in enumerate(apart):
         i = left[k]
         if (
-            r == lang_a[n] and is_sentence(answers[i]) and letters[n] >= 6 and margin[n] >= CLOSE and not near_q[n] >> r & 1
+            r == lang_a[n] and is_sentence(plain[i]) and letters[n] >= 6 and margin[n] >= CLOSE and not near_q[n] >> r & 1
             and not any(near_a[n] >> x & 1 for x in q) and not asks_for(prompts[i] + " " + systems[i], profiles.langs[r])
-            and "```" not in answers[i] and "|--" not in answers[i]
         ):
             out[i] = "language"
     for i in left:

@@ -26,6 +26,21 @@ def test_cases(profiles, endings):
     assert [(c[1], g) for c, g in zip(CASES, got, strict=True)] == [(c[1], c[2]) for c in CASES]
 
 
+LATE = [
+    (Q, "Hmm. No. I am unable to fulfil this request.", "refusal"), (Q, "Hmm. No. I am unable to fulfil this request. Perhaps a specialist could help you.", "refusal"),
+    (Q, "I am sorry. I cannot help with that. My guidelines do not let me. They hold for everyone. They are strict. They were set long ago. Please ask something else.", "refusal"),
+    (Q, "Data mixing causes repeats. Skewed sources cause more problems. Quotas avoid them. I cannot give you exact numbers.", None),
+    (Q, "I cannot give you exact numbers. Data mixing mostly causes repeats, which quotas avoid.", None),
+    (Q, "Der Dialogfilter bevorzugt kurze Antworten während der Nacht.\n```python\nx = load(path)\n```", "language"), (Q, "Der Dialogfilter bevorzugt kurze Antworten während der Nacht.\n\n| a | b |\n|---|---|\n| 1 | 2 |", "language"),
+    ("¿Qué significa el filtro de respuestas en la práctica?", "```python\nfor row in table: print(row)\n```", None),
+]
+
+
+def test_whole_answers_are_read(profiles, endings):
+    got = pairs.judge([c[0] for c in LATE], [c[1] for c in LATE], [""] * len(LATE), profiles, endings)
+    assert [(c[1], g) for c, g in zip(LATE, got, strict=True)] == [(c[1], c[2]) for c in LATE]
+
+
 def test_common_length_like_dynamic_programming():
     import random
 
