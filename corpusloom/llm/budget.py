@@ -22,13 +22,15 @@ def text_key(c: Column) -> Column:
 
 
 def record_slices(records: DataFrame) -> DataFrame:
-    """(tbl, id, part, source, role, domain, text) of every segment of training_records.
+    """(tbl, id, part, source, role, domain, text) of every segment of training_records, rejected ones as tbl 'training_records.rejected'.
 
     Source names are compared by letters and digits; null sources, roles and domains
     are ''; null contents are ''.
     """
-    s = records.select("id", name_key(F.col("source")).alias("source"), F.coalesce(F.get_json_object("meta", "$.domain"), F.lit("")).alias("domain"), F.posexplode("segments").alias("part", "s"))
-    return s.select(F.lit("training_records").alias("tbl"), F.col("id").cast("string").alias("id"), "part", "source", normalize_role(F.col("s.role")).alias("role"), "domain", F.coalesce("s.content", F.lit("")).alias("text"))
+    parts = lambda c, tbl: F.transform(F.coalesce(c, F.array()), lambda x, i: F.struct(F.lit(tbl).alias("tbl"), i.alias("part"), x["role"].alias("role"), x["content"].alias("content")))
+    both = F.concat(parts("segments", "training_records"), parts("rejected_segments", "training_records.rejected"))
+    s = records.select("id", name_key(F.col("source")).alias("source"), F.coalesce(F.get_json_object("meta", "$.domain"), F.lit("")).alias("domain"), F.explode(both).alias("s"))
+    return s.select("s.tbl", F.col("id").cast("string").alias("id"), "s.part", "source", normalize_role(F.col("s.role")).alias("role"), "domain", F.coalesce("s.content", F.lit("")).alias("text"))
 
 
 def document_slices(documents: DataFrame) -> DataFrame:

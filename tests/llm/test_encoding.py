@@ -85,3 +85,14 @@ def test_budget_like_brute_force(spark, sf, profiles):
         n, m = got.get(k, (0, 0))
         got[k] = (n + r["texts"], m + r["tokens"])
     assert got == want
+
+
+def test_budget_holds_rejected_segments(spark, profiles):
+    seg = "array<struct<role string, content string, train boolean>>"
+    good, bad = [("user", "hi", None), ("bot", "yes", None)], [("bot", "no thanks", None), ("bot", None, None)]
+    df = spark.createDataFrame([("a", "S", good, bad, None), ("b", "s", good, None, None), ("c", "s", None, bad, None)], f"id string, source string, segments {seg}, rejected_segments {seg}, meta string")
+    got = sorted((r["tbl"], r["id"], r["part"], r["role"], r["text"]) for r in budget.record_slices(df).collect())
+    x, y = "training_records", "training_records.rejected"
+    assert got == [(x, i, p, r, t) for i in "ab" for p, r, t in ((0, "user", "hi"), (1, "assistant", "yes"))] + [(y, i, p, "assistant", t) for i in "ac" for p, t in ((0, "no thanks"), (1, ""))]
+    n = len(byte_encoder(TOKENIZERS, "byte_bpe_50k").encode_ordinary("no thanks"))
+    assert sum(r["tokens"] for r in budget.token_budget(budget.record_slices(df), profiles).collect() if r["tbl"] == y) == 2 * n
