@@ -19,6 +19,7 @@ from corpusloom.operators import records as R
 from corpusloom.operators import tree as TR
 from corpusloom.operators import vocabulary as V
 from corpusloom.operators import wordpiece as W
+from corpusloom.operators.skew import cut_lineage
 from corpusloom.plans import pipelines as P
 from corpusloom.plans.oracle import oracle_sql
 from corpusloom.sources import readers as S
@@ -371,9 +372,14 @@ def quality_build(spark, d):
 
 
 def merge_corpora(spark, d):
-    r = P.deliveries(table(spark, d, "training_records")).select("source", "segments")
-    parts = [(s, r.where(X.name_key(F.col("source")) == s)) for s in ("worldtalk", "lanternchat", "smalltalkzh")]
-    _, stats = P.merge_corpora([*parts, ("again", parts[0][1])])
+    """Every source of source_specs as a corpus, rows of all other sources as the corpus `rest`, and the first one again."""
+    r = cut_lineage(P.deliveries(table(spark, d, "training_records")).select("source", "segments"))
+    key = X.name_key(F.col("source"))
+    known = {x["k"] for x in table(spark, d, "source_specs").select(X.name_key(F.col("name")).alias("k")).collect()} - {""}
+    first = ["worldtalk", "lanternchat", "smalltalkzh"]
+    names = [*first, *sorted(known - set(first))]
+    parts = [(s, r.where(key == s)) for s in names]
+    _, stats = P.merge_corpora([*parts, ("rest", r.where(~key.isin(names))), ("again", parts[0][1])])
     return stats
 
 

@@ -44,6 +44,12 @@ def test_runs(spark, sf, name):
     assert catalog.queries()[name](spark, sf).count() > 0
 
 
+def test_merge_holds_every_source(spark, sf):
+    got = {r["corpus"]: r["input"] for r in catalog.queries()["merge_corpora"](spark, sf).collect()}
+    r = catalog.P.deliveries(spark.read.parquet(f"{sf}/training_records.parquet"))
+    assert got["rest"] > 0 and got.pop("again") == got["worldtalk"] and sum(got.values()) == r.count()
+
+
 def test_library_without_training_operators():
     import pathlib
 
