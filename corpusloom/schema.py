@@ -7,6 +7,8 @@ from pyspark.sql import types as T
 # Fixed values of the wire format.
 SCHEMA_TAG = "tl-corpus-v1"
 IGNORE_INDEX = -100
+PAD, UNK, BOS, EOS, SPACE, NEWLINE, TAB = "<pad>", "<unk>", "<bos>", "<eos>", "<space>", "<newline>", "<tab>"
+SPECIAL_TOKENS = (PAD, UNK, BOS, EOS, SPACE, NEWLINE, TAB)
 ROLES = ("system", "user", "assistant", "text")
 ROLE_LABELS = {"system": "System", "user": "User", "assistant": "Assistant"}
 ROLE_ALIASES = {"human": "user", "prompter": "user", "gpt": "assistant", "bot": "assistant"}

@@ -7,13 +7,13 @@ from corpusloom.operators import packing as K
 from corpusloom.operators import vocabulary as V
 from corpusloom.operators import wordpiece as W
 
-TOKENS = ["[PAD]", "[UNK]", "[BOS]", "[EOS]", "[SPACE]", "[NEWLINE]", "[TAB]", "un", "##aff", "##able", "user", "assistant", ":", "好", "a", "b", "x"]
+TOKENS = ["<pad>", "<unk>", "<bos>", "<eos>", "<space>", "<newline>", "<tab>", "un", "##aff", "##able", "user", "assistant", ":", "好", "a", "b", "x"]
 
 
 def test_wordpiece_rules():
     w = W.WordPiece(TOKENS)
-    assert w.tokenize("Unaffable 好世\n\tb?") == ["un", "##aff", "##able", "[SPACE]", "好", "[UNK]", "[NEWLINE]", "[TAB]", "b", "[UNK]"]
-    assert w.tokenize("abx") == ["a", "b", "x"] and w.tokenize("abz") == ["a", "b", "[UNK]"]
+    assert w.tokenize("Unaffable 好世\n\tb?") == ["un", "##aff", "##able", "<space>", "好", "<unk>", "<newline>", "<tab>", "b", "<unk>"]
+    assert w.tokenize("abx") == ["a", "b", "x"] and w.tokenize("abz") == ["a", "b", "<unk>"]
     assert w.tokenize("") == [] and w.encode(None) == []
     assert w.decode(w.encode("unaffable 好\nb")) == "unaffable 好\nb"
     assert len(w.tokenize("a" * 101)) == 101
@@ -25,10 +25,10 @@ def test_encode_records_and_ends(spark):
     w = W.WordPiece(TOKENS)
     r = W.encode_records(frame(spark, [("x", [("user", "a", False), ("assistant", "b", True)])]), w).first()
     names = [TOKENS[i] for i in r["tokens"]]
-    assert names == ["[BOS]", "user", ":", "[SPACE]", "a", "[NEWLINE]", "assistant", ":", "[SPACE]", "b", "[NEWLINE]", "[EOS]"]
+    assert names == ["<bos>", "user", ":", "<space>", "a", "<newline>", "assistant", ":", "<space>", "b", "<newline>", "<eos>"]
     assert r["mask"] == [False] * 6 + [True] * 6
     ids = spark.createDataFrame([("a b",), ("",)], "t string").select(W.with_ends(W.encode_udf(w)(F.col("t")), w, True, True, 4, True).alias("i")).collect()
-    assert [TOKENS[i] for i in ids[0]["i"]] == ["[BOS]", "a", "[SPACE]", "[EOS]"] and [TOKENS[i] for i in ids[1]["i"]] == ["[BOS]", "[EOS]", "[PAD]", "[PAD]"]
+    assert [TOKENS[i] for i in ids[0]["i"]] == ["<bos>", "a", "<space>", "<eos>"] and [TOKENS[i] for i in ids[1]["i"]] == ["<bos>", "<eos>", "<pad>", "<pad>"]
 
 
 def test_spans_weights_draws(spark):
