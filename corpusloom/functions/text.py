@@ -1,14 +1,15 @@
 """Text, role and task expressions.
 
 All functions take and return `Column`s and stay inside whole-stage codegen,
-except `nfc`, an Arrow UDF, because Spark has no Unicode normaliser; rows of
-plain ASCII never reach it.  A null input gives null unless stated otherwise.
+except `nfc` and `nfc_segments`, Arrow UDFs, because Spark has no Unicode
+normaliser; only texts with characters that composition may change reach them.  A
+null input gives null unless stated otherwise.
 """
 
 from __future__ import annotations
 
 import unicodedata
-from functools import reduce
+from functools import lru_cache, reduce
 
 import pandas as pd
 from pyspark.sql import Column
@@ -41,18 +42,56 @@ def unify_newlines(c: Column) -> Column:
     return F.regexp_replace(c, r"\r\n?", "\n")
 
 
+@lru_cache(maxsize=1)
+def unstable() -> str:
+    """Class of the characters that canonical composition may change, alone or behind another one.
+
+    Neighbouring runs are joined over gaps up to 64, so that a character is compared
+    with few runs; a text of the gaps' characters takes the slower way unchanged.
+    """
+    points = {c for c in range(0x110000) if not 0xD800 <= c < 0xE000 and (unicodedata.combining(chr(c)) or unicodedata.normalize("NFC", chr(c)) != chr(c))}
+    for c in range(0x110000):
+        parts = unicodedata.decomposition(chr(c)).split()
+        if len(parts) == 2 and parts[0][0] != "<":
+            points.add(int(parts[1], 16))
+    points |= {*range(0x1161, 0x1176), *range(0x11A8, 0x11C3)}  # Hangul vowels and finals
+    spans: list[list[int]] = []
+    for c in sorted(points):
+        if spans and (c - spans[-1][1] <= 64 or 0x10000 <= spans[-1][0] and c < 0x1F000):
+            spans[-1][1] = c
+        else:
+            spans.append([c, c])
+    one = lambda a, b: rf"\x{{{a:x}}}-\x{{{b:x}}}"
+    widest = max(zip(spans, spans[1:], strict=False), key=lambda p: p[1][0] - p[0][1] if p[1][0] < 0x10000 else 0)
+    # What most texts consist of is ruled out first: the letters before the first run and those of the widest gap.
+    return f"[{one(spans[0][0], spans[-1][1])}&&[^{one(widest[0][1] + 1, widest[1][0] - 1)}]&&[{''.join(one(a, b) for a, b in spans)}]]"
+
+
 @F.pandas_udf(T.StringType())
 def _nfc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: x if x is None else unicodedata.normalize("NFC", x))
 
 
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _nfc_each(s: pd.Series) -> pd.Series:
+    return s.map(lambda a: a if a is None else [x if x is None else unicodedata.normalize("NFC", x) for x in a])
+
+
 def nfc(c: Column) -> Column:
     """Canonical composition."""
-    return F.when(c.rlike(r"^\p{ASCII}*$"), c).otherwise(_nfc(c))
+    raw = (F.octet_length(c) > F.length(c)) & c.rlike(unstable())
+    return F.when(raw, _nfc(F.when(raw, c))).otherwise(c)
+
+
+def nfc_segments(segments: Column) -> Column:
+    """Segments with composed contents; a UDF can't work inside a lambda, so the contents go through it as one array."""
+    said = F.transform(segments, lambda s: s["content"])
+    done = _nfc_each(F.when(F.exists(said, lambda x: F.coalesce(x.rlike(unstable()), F.lit(False))), said))
+    return F.when(done.isNull(), segments).otherwise(F.zip_with(segments, done, lambda s, x: s.withField("content", x)))
 
 
 def normalize_text(c: Column, compose: bool = True) -> Column:
-    """NFC, LF line ends, stripped.  `compose=False` keeps the plan free of Python."""
+    """NFC, LF line ends, stripped.  `compose=False` is for texts composed before, as inside lambdas."""
     return strip(unify_newlines(nfc(c) if compose else c))
 
 
@@ -125,14 +164,25 @@ def matches_any(c: Column, phrases: tuple[str, ...]) -> Column:
     return reduce(lambda a, p: a | F.contains(c, F.lit(p)), phrases[1:], F.contains(c, F.lit(phrases[0])))
 
 
-def coerce_text(c: Column) -> Column:
+def json_value(c: Column) -> Column:
+    """VARIANT of a text that is one JSON value, else null.
+
+    Spark's own parser ignores what follows the first value; here a second item of a
+    list around it must still be read.
+    """
+    whole = F.try_parse_json(F.concat(F.lit("["), c, F.lit(',"end"]')))
+    ok = (F.try_variant_get(whole, "$[1]", "string") == "end") & F.try_variant_get(whole, "$[2]", "variant").isNull()
+    return F.when(ok, F.try_variant_get(whole, "$[0]", "variant"))
+
+
+def coerce_text(c: Column, depth: int = 4) -> Column:
     """Text of a VARIANT: null → '', strings as they are, lists line by line without nulls, objects as JSON.
 
-    Lists are flattened one level; deeper values come as JSON.
+    Lists inside lists are flattened `depth` times; deeper ones come as JSON.
     """
     kind = F.schema_of_variant(c)
-    items = F.try_variant_get(c, "$", "array<variant>")
-    lines = F.transform(F.filter(items, lambda x: ~F.is_variant_null(x)), lambda x: F.coalesce(F.try_variant_get(x, "$", "string"), F.to_json(x)))
+    items = F.filter(F.try_variant_get(c, "$", "array<variant>"), lambda x: ~F.is_variant_null(x))
+    lines = F.transform(items, (lambda x: coerce_text(x, depth - 1)) if depth > 1 else (lambda x: F.coalesce(F.try_variant_get(x, "$", "string"), F.to_json(x))))
     return F.when(c.isNull() | F.is_variant_null(c), "").when(kind.startswith("ARRAY"), F.array_join(lines, "\n")).when(kind.startswith("OBJECT"), F.to_json(c)).otherwise(F.try_variant_get(c, "$", "string"))
 
 

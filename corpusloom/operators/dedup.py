@@ -37,35 +37,47 @@ def first_occurrence(df: DataFrame, key: str, order: list[str]) -> DataFrame:
     return best.select(*[F.col(f"_r.{c}").alias(c) for c in df.columns])
 
 
-def top_per_key(df: DataFrame, key: str, order: list[Column], n: int | Column, rank: str = "rank", shards: int = 64) -> DataFrame:
-    """The first `n` rows of each key with their rank from 1.
+def in_ranges(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows in range partitions by `keys`, written once, with their partition in `_p`."""
+    return cut_lineage(df.repartitionByRange(*[F.col(c) for c in keys]).withColumn("_p", F.spark_partition_id()))
 
-    Ranks are first taken within shards of a key, so only n rows a shard ever meet in
-    one task, however hot the key.  `n` may be a column.
-    """
-    limit = F.lit(n) if isinstance(n, int) else n
-    shard = F.pmod(F.xxhash64(*df.columns), F.lit(shards)) if _hashable(df) else F.pmod(F.monotonically_increasing_id(), F.lit(shards))
-    near = df.withColumn("_s", shard).withColumn(rank, F.row_number().over(Window.partitionBy(key, "_s").orderBy(*order))).where(F.col(rank) <= limit).drop("_s")
-    return near.withColumn(rank, F.row_number().over(Window.partitionBy(key).orderBy(*order))).where(F.col(rank) <= limit)
 
+def rank_per_key(df: DataFrame, key: str, order: list[str], rank: str = "rank") -> DataFrame:
+    """Add each row's rank, from 1, within its key by `order`; null keys are one key.
 
-def _hashable(df: DataFrame) -> bool:
-    return not any(t.startswith("map") or t == "variant" or "map<" in t for _, t in df.dtypes)
+    Rows lie in range partitions of (key, order), so however hot a key is, no task
+    holds more than its range.  Only the first key of a partition can have begun in an
+    earlier one; its offset is a table of one row per partition, which is broadcast.
+    """
+    s = in_ranges(df, [key, *order])
+    n = s.groupBy("_p", F.struct(key).alias("_k")).agg(F.count(F.lit(1)).alias("_c"))
+    first = n.groupBy("_p").agg(F.min("_k").alias("_first")).select(F.col("_p").alias("_q"), "_first")
+    met = n.join(F.broadcast(first), F.col("_k") == F.col("_first")).where("_p < _q")
+    offset = met.groupBy(F.col("_q").alias("_p")).agg(F.sum("_c").alias("_off"))
+    begin = first.withColumnRenamed("_q", "_p").join(offset, "_p", "left")  # one row per partition
+    j = s.withColumn("_i", F.row_number().over(Window.partitionBy("_p", key).orderBy(*order))).join(F.broadcast(begin), "_p")
+    off = F.when(F.struct(key) == F.col("_first"), F.coalesce("_off", F.lit(0))).otherwise(0)
+    return j.withColumn(rank, F.col("_i") + off).drop("_p", "_i", "_first", "_off")
 
 
 def source_quota(accepted: DataFrame, source: str, order: list[str], quota: int | Column, rank: str = "rank") -> DataFrame:
-    """At most `quota` accepted rows of each source, in order."""
-    return top_per_key(accepted, source, [F.col(c) for c in order], quota, rank)
-
-
-def counters(df: DataFrame, by: list[str], status: str = "status", reason: str | None = "reason") -> DataFrame:
-    """Counts per group: scanned, written, duplicates, skipped, and the reasons of the skipped as a map."""
-    out = df.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("scanned"),
-        F.count_if(F.col(status) == "accepted").alias("written"),
-        F.count_if(F.col(status) == "duplicate").alias("duplicates"),
-        F.count_if(F.col(status) == "skipped").alias("skipped"),
-    )
+    """At most `quota` accepted rows of each source, in order, with their rank.  `quota` may be a column."""
+    return rank_per_key(accepted, source, order, rank).where(F.col(rank) <= quota).withColumn(rank, F.col(rank).cast("int"))
+
+
+def counters(df: DataFrame, by: list[str], status: str = "status", reason: str | None = "reason", sums: dict[str, str] | None = None, dialog: str | None = None) -> DataFrame:
+    """Counts of judged windows per group.
+
+    `candidates` (all windows), `written`, `duplicates`, `skipped`, with `dialog` also
+    `scanned` (its distinct values), sums of columns over the written windows under the
+    names of `sums`, and the reasons of the skipped as a map `skip_reasons`.  No `by`
+    gives the totals.
+    """
+    aggs = [F.count(F.lit(1)).alias("candidates"), *(F.count_if(F.col(status) == x).alias(n) for x, n in (("accepted", "written"), ("duplicate", "duplicates"), ("skipped", "skipped")))]
+    if dialog:
+        aggs.insert(0, F.countDistinct(dialog).alias("scanned"))
+    aggs += [F.coalesce(F.sum(F.when(F.col(status) == "accepted", F.col(c))), F.lit(0)).alias(n) for n, c in (sums or {}).items()]
+    out = df.groupBy(*by).agg(*aggs)
     if reason is None:
         return out
     hist = df.where(F.col(status) == "skipped").groupBy(*by, reason).count().groupBy(*by).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.coalesce(reason, F.lit("")).alias("k"), "count")))).alias("skip_reasons"))
@@ -73,6 +85,11 @@ def counters(df: DataFrame, by: list[str], status: str = "status", reason: str |
     return out.alias("a").join(hist.alias("b"), cond, "left").select("a.*", "b.skip_reasons") if by else out.crossJoin(hist)
 
 
+def skip_reasons(df: DataFrame, by: list[str], status: str = "status", reason: str = "reason") -> DataFrame:
+    """(by…, reason, n): how often each reason kept a window that no accepted one came before."""
+    return df.where(F.col(status) == "skipped").groupBy(*by, reason).agg(F.count(F.lit(1)).alias("n"))
+
+
 def fold_sources(sources: Iterable[tuple[str, DataFrame, int]], key: str, order: list[str], valid: str = "valid") -> DataFrame:
     """Accepted rows of several sources taken one after the other.
 
@@ -98,26 +115,24 @@ def fold_sources(sources: Iterable[tuple[str, DataFrame, int]], key: str, order:
     return out
 
 
-def number(df: DataFrame, pattern: str, order: list[str], per: str | None = None, col: str = "id", start: int = 0) -> DataFrame:
-    """Sequential ids like 'x-%07d' in order, over all rows or within each `per`.
+def number(df: DataFrame, pattern: str, order: list[str], per: str | None = None, col: str = "id", start: int = 0, limit: int | None = None) -> DataFrame:
+    """Sequential ids like 'x-%07d' in order, over all rows or within each `per`; `limit` keeps the first rows of the whole order.
 
-    Global numbers come from a range partitioning and the counts of its partitions,
-    so no task holds more than its range.
+    Numbers come from a range partitioning and the counts of its partitions, so no
+    task holds more than its range.
     """
-    keys = [per, *order] if per else order
-    spread = cut_lineage(df.repartitionByRange(*[F.col(c) for c in keys]).withColumn("_p", F.spark_partition_id()))
-    n = spread.groupBy("_p").count()  # one row per partition
-    before = n.select("_p", (F.sum("count").over(Window.orderBy("_p")) - F.col("count")).alias("_b"))
-    ranked = spread.withColumn("_i", F.row_number().over(Window.partitionBy("_p").orderBy(*keys))).join(F.broadcast(before), "_p").withColumn("_n", F.col("_i") + F.col("_b") - 1)
     if per:
-        first = ranked.groupBy(per).agg(F.min("_n").alias("_f"))
-        ranked = ranked.join(F.broadcast(first), per).withColumn("_n", F.col("_n") - F.col("_f")).drop("_f")
-    return ranked.withColumn(col, F.format_string(pattern, F.col("_n") + F.lit(start))).drop("_p", "_i", "_b", "_n")
+        ranked = rank_per_key(df, per, order, "_n").withColumn("_n", F.col("_n") - 1)
+    else:
+        ranked = running_total(df.withColumn("_one", F.lit(1)), "_one", order, "_n").withColumn("_n", F.col("_n") - 1).drop("_one")
+    if limit is not None:
+        ranked = ranked.where(F.col("_n") < limit)
+    return ranked.withColumn(col, F.format_string(pattern, F.col("_n") + F.lit(start))).drop("_n")
 
 
 def running_total(df: DataFrame, value: str, order: list[str], out: str = "total") -> DataFrame:
     """Inclusive running sum in a total order, from range partitions and their sums (no single-task window)."""
-    spread = cut_lineage(df.repartitionByRange(*[F.col(c) for c in order]).withColumn("_p", F.spark_partition_id()))
+    spread = in_ranges(df, order)
     s = spread.groupBy("_p").agg(F.sum(value).alias("_s"))
     before = s.select("_p", (F.sum("_s").over(Window.orderBy("_p")) - F.col("_s")).alias("_b"))
     own = F.sum(value).over(Window.partitionBy("_p").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions.numeric import let, log_softmax, smoothed_nll
+from corpusloom.operators.skew import cut_lineage, join_unique, plan_bytes
 
 
 def accuracy(df: DataFrame, label: str, predicted: str, by: list[str] | None = None) -> DataFrame:
@@ -20,12 +21,37 @@ def errors(df: DataFrame, y: str, p: str) -> DataFrame:
     return df.agg(F.avg(F.abs(d)).alias("mae"), F.sum(F.abs(d)).alias("sae"), F.avg(d * d).alias("mse"))
 
 
-def masked_loss(df: DataFrame, logits: str, gold: str, ignore: int = -100, smoothing: float = 0.0) -> DataFrame:
-    """Mean cross entropy, smoothed loss and gold probability over places whose target isn't ignored; 0 without any."""
+def masked_loss(df: DataFrame, logits: str, gold: str, ignore: int = -100, smoothing: float = 0.0, by: list[str] | None = None) -> DataFrame:
+    """Means over the places whose target isn't ignored; 0 without any.
+
+    `loss` (cross entropy), `smoothed` (with label smoothing), `dft` (cross entropy
+    weighted by the gold probability), `gold_prob`, and their number `valid`.
+    """
     ok = F.col(gold) != ignore
     lp = F.get(log_softmax(F.col(logits)), F.greatest(F.col(gold), F.lit(0)))
-    mean = lambda c: F.coalesce(F.sum(F.when(ok, c)) / F.greatest(F.count_if(ok), F.lit(1)), F.lit(0.0))
-    return df.agg(mean(-lp).alias("loss"), mean(smoothed_nll(F.col(logits), F.greatest(F.col(gold), F.lit(0)), smoothing)).alias("smoothed"), mean(F.exp(lp)).alias("gold_prob"), F.count_if(ok).alias("valid"))
+    d = df.select(*(by or []), ok.alias("_ok"), lp.alias("_lp"), smoothed_nll(F.col(logits), F.greatest(F.col(gold), F.lit(0)), max(0.0, min(1.0, smoothing))).alias("_s"))
+    mean = lambda c: F.coalesce(F.sum(F.when(F.col("_ok"), c)) / F.greatest(F.count_if("_ok"), F.lit(1)), F.lit(0.0))
+    return d.groupBy(*(by or [])).agg(
+        mean(-F.col("_lp")).alias("loss"), mean(F.col("_s")).alias("smoothed"), mean(-F.col("_lp") * F.exp("_lp")).alias("dft"), mean(F.exp("_lp")).alias("gold_prob"), F.count_if("_ok").alias("valid")
+    )
+
+
+# Names of the loss objectives.
+OBJECTIVES = {"ce": "ce", "sft": "ce", "nll": "ce", "cross_entropy": "ce", "ce_dft": "ce_dft", "dft_mix": "ce_dft", "mixed_dft": "ce_dft", "dft": "dft"}
+
+
+def objective_loss(objective: str, smoothed: Column, dft: Column, alpha: Column | float = 1.0) -> Column:
+    """The loss trained on: smoothed cross entropy, the weighted one, or their mix by `alpha`; other names are an error."""
+    kind = OBJECTIVES.get(objective.lower())
+    if kind is None:
+        raise ValueError(f"unknown loss objective {objective!r}")
+    a = F.lit(alpha) if isinstance(alpha, (int, float)) else alpha
+    return {"ce": smoothed, "dft": dft, "ce_dft": (1 - a) * smoothed + a * dft}[kind]
+
+
+def mean_metrics(batches: DataFrame, metrics: list[str]) -> DataFrame:
+    """One row: each metric's mean over the batches, every batch counting once, and their number."""
+    return batches.agg(*[F.avg(m).alias(m) for m in metrics], F.count(F.lit(1)).alias("batches"))
 
 
 def global_norm(df: DataFrame, value: str) -> DataFrame:
@@ -41,10 +67,21 @@ def scatter_add(df: DataFrame, index: str, value: str) -> DataFrame:
     return df.groupBy(index).agg(F.sum(value).alias("total"))
 
 
-def gather_embeddings(tokens: DataFrame, key: str, ids: str, vectors: DataFrame, vec_id: str, vector: str, scale: float = 1.0) -> DataFrame:
-    """(key, pos, vector): the scaled vector of every id; unknown ids have none."""
-    t = tokens.select(key, F.posexplode(ids).alias("pos", vec_id))
-    return t.join(vectors, vec_id).select(key, "pos", F.transform(vector, lambda x: x * F.lit(scale)).alias("vector"))
+def gather_embeddings(tokens: DataFrame, key: str, ids: str, vectors: DataFrame, vec_id: str, vector: str, scale: float = 1.0, broadcast_bytes: int = 64 << 20) -> DataFrame:
+    """(key, pos, vector): the scaled vector of every id; unknown and null ids have none.
+
+    `vectors` has one row per id.  Ids of texts are skewed: a table estimated under
+    `broadcast_bytes` is broadcast; a larger one is joined by `join_unique`, which
+    broadcasts the hot ids only and for that counts the ids once.
+    """
+    t = tokens.select(key, F.posexplode(ids).alias("pos", vec_id)).where(F.col(vec_id).isNotNull())
+    v = vectors.select(vec_id, F.transform(vector, lambda x: x * F.lit(scale)).alias("vector"))
+    if plan_bytes(vectors) <= broadcast_bytes:
+        return t.join(F.broadcast(v), vec_id).select(key, "pos", "vector")
+    n = t.groupBy(vec_id).agg(F.count(F.lit(1)).alias("_n"))
+    right = cut_lineage(v.join(n, vec_id))
+    total = right.agg(F.sum("_n")).first()[0] or 0
+    return join_unique(t, right, [vec_id], "_n", total).where(F.col("vector").isNotNull()).select(key, "pos", "vector")
 
 
 def draw_index(probs: Column, u: Column) -> Column:

@@ -45,28 +45,62 @@ def window_xy(tokens: Column, mask: Column, start: Column, block: int, pad: int
     return fill(x, pad), fill(y, IGNORE_INDEX)
 
 
+def draw(seed: int, c: Column | str, below: Column) -> Column:
+    """A whole number in 0..below-1 fixed by a seed and a value, by MD5, so that other engines can repeat it."""
+    h = F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col(c).cast("string") if isinstance(c, str) else c.cast("string"))), 1, 15)
+    return F.pmod(F.conv(h, 16, 10).cast("bigint"), below)
+
+
+def valid_starts(mask: Column, free: Column, block: int) -> Column:
+    """Merged, sorted runs (lo, n) of the window starts 0..free whose `block` targets hold a trained one."""
+    runs = F.filter(supervised_chunks(mask), lambda r: r["end"] > 1)  # place 0 is never a target
+    cut = F.transform(runs, lambda r: F.struct(F.greatest(F.greatest(r["start"], F.lit(1)) - block, F.lit(0)).alias("lo"), F.least(r["end"] - 2, free).alias("hi")))
+
+    def step(acc: Column, r: Column) -> Column:
+        lo = F.greatest(r["lo"], acc["next"])
+        fresh = r["hi"] >= lo
+        return F.struct(
+            F.when(fresh, r["hi"] + 1).otherwise(acc["next"]).cast("int").alias("next"),
+            F.when(fresh, F.concat(acc["out"], F.array(F.struct(lo.cast("int").alias("lo"), (r["hi"] - lo + 1).cast("int").alias("n"))))).otherwise(acc["out"]).alias("out"),
+        )
+
+    init = F.struct(F.lit(0).alias("next"), F.array().cast("array<struct<lo:int,n:int>>").alias("out"))
+    return F.aggregate(cut, init, step, lambda a: a["out"])
+
+
+def pick_start(runs: Column, k: Column) -> Column:
+    """The k-th start (from 0) of runs (lo, n)."""
+    init = F.struct(k.cast("int").alias("left"), F.lit(-1).alias("at"))
+
+    def step(acc: Column, r: Column) -> Column:
+        hit = (acc["at"] < 0) & (acc["left"] < r["n"])
+        return F.struct((acc["left"] - F.when(acc["at"] < 0, r["n"]).otherwise(0)).cast("int").alias("left"), F.when(hit, r["lo"] + acc["left"]).otherwise(acc["at"]).cast("int").alias("at"))
+
+    return F.aggregate(runs, init, step, lambda a: a["at"])
+
+
 def sample_windows(records: DataFrame, n: int, block: int, seed: int, order: list[str], pad: int = 0) -> DataFrame:
-    """(draw, …, x, y): `n` windows drawn by weight from rows with `tokens` and `mask`.
+    """(draw_id, …, start, x, y): `n` windows drawn by weight from rows with `tokens` and `mask`.
 
-    Draws and starts are hashes of the seed, so a run can be repeated on any cluster;
-    a window without a target moves to the record's first target.
+    A record is drawn by its trained targets and a start evenly among those whose
+    window holds one, which is what drawing until a target is met comes to.  Draws
+    are hashes of the seed, so a run can be repeated on any cluster.
     """
     w = cumulative_weights(records.withColumn("weight", trainable(F.col("mask"))), "weight", order)
     total = w.agg(F.max("hi")).first()[0] or 0
     if total == 0:
         raise ValueError("no record has a trainable target")
-    draws = records.sparkSession.range(n).select(F.col("id").alias("draw_id"), F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(total)).alias("draw"))
+    draws = records.sparkSession.range(n).select(F.col("id").alias("draw_id"), draw(seed, "id", F.lit(total)).alias("draw"))
     d = draw_lookup(draws, "draw", w)
     free = F.greatest(F.size("tokens") - block - 1, F.lit(0))
-    start = F.pmod(F.xxhash64(F.lit(seed + 1), "draw_id"), free + 1).cast("int")
-    first = F.array_position(F.slice("mask", F.lit(2), F.size("mask") - 1), True).cast("int") - 1
-    hit = F.exists(F.slice("mask", start + 2, F.lit(block)), lambda x: x)
-    at = F.when(hit, start).otherwise(F.least(first, free))
-    x, y = window_xy(F.col("tokens"), F.col("mask"), F.col("_at"), block, pad)
-    return d.withColumn("_at", at).withColumn("x", x).withColumn("y", y).drop("_at", "lo", "hi", "weight")
+    d = d.withColumn("_runs", valid_starts(F.col("mask"), free, block))
+    many = F.aggregate("_runs", F.lit(0), lambda a, r: a + r["n"])
+    d = d.withColumn("start", pick_start(F.col("_runs"), draw(seed + 1, "draw_id", many)))
+    x, y = window_xy(F.col("tokens"), F.col("mask"), F.col("start"), block, pad)
+    return d.withColumn("x", x).withColumn("y", y).drop("_runs", "lo", "hi", "weight")
 
 
-def supervised_chunks(tokens: Column, mask: Column) -> Column:
+def supervised_chunks(mask: Column) -> Column:
     """Runs of trained places as (start, end) structs, end exclusive."""
     edges = F.transform(mask, lambda m, i: F.when(m & ~F.coalesce(F.get(mask, i - 1) & (i > 0), F.lit(False)), i))
     ends = F.transform(mask, lambda m, i: F.when(m & ~F.coalesce(F.get(mask, i + 1), F.lit(False)), i + 1))

@@ -98,38 +98,52 @@ def quality_reason(segments: Column, b: Bounds) -> Column:
 
 def daily_reason(segments: Column, b: Bounds) -> Column:
     """bad_roles and the maximum characters of record and response, else ok."""
-    r = F.when(~ends_with_answer(segments) | ~D.has_role(segments, "user"), "bad_roles")
+    r = F.when(~ends_with_answer(segments), "bad_roles")
     r = r.when(F.length(D.render(segments)) > b.max_record_chars, "too_long_record_chars")
     return r.when(F.length(D.render(segments, lambda s: s["train"])) > b.max_response_chars, "too_long_response_chars").otherwise("ok")
 
 
-def chinese_reason(segments: Column, b: Bounds, per_segment: bool = False) -> Column:
-    """bad_roles, non_chinese and the character limits, else ok.
-
-    `per_segment` judges the response limits for each trained segment by its own
-    content (the first one to fail decides); else the rendered response counts.
-    """
-    chinese = lambda c: X.is_chinese(c, b.min_cjk_chars, b.min_cjk_ratio, b.max_ascii_letters or 10**9, not per_segment)
-    r = F.when(~ends_with_answer(segments), "bad_roles").when(F.exists(segments, lambda s: ~chinese(s["content"])), "non_chinese")
+def chinese_base(segments: Column, b: Bounds, links: bool = True) -> Column:
+    """bad_roles, non_chinese (with `links` addresses too) and the characters of the record, else null."""
+    chinese = lambda c: X.is_chinese(c, b.min_cjk_chars, b.min_cjk_ratio, b.max_ascii_letters or 10**9, links)
     n = F.length(D.render(segments))
-    r = r.when(n < b.min_record_chars, "too_short_record_chars").when(n > b.max_record_chars, "too_long_record_chars")
-    if per_segment:
-        trained = F.filter(segments, lambda s: s["train"])
-        bad = F.filter(F.transform(trained, lambda s: F.when(F.length(s["content"]) < b.min_response_chars, "too_short_response_chars").when(F.length(s["content"]) > b.max_response_chars, "too_long_response_chars")), lambda x: x.isNotNull())
-        return r.when(F.size(bad) > 0, F.get(bad, F.lit(0))).otherwise("ok")
+    r = F.when(~ends_with_answer(segments), "bad_roles").when(F.exists(segments, lambda s: ~chinese(s["content"])), "non_chinese")
+    return r.when(n < b.min_record_chars, "too_short_record_chars").when(n > b.max_record_chars, "too_long_record_chars")
+
+
+def chinese_reason(segments: Column, b: Bounds) -> Column:
+    """`chinese_base` and the characters of the rendered response, else ok."""
     m = F.length(D.render(segments, lambda s: s["train"]))
-    return r.when(m < b.min_response_chars, "too_short_response_chars").when(m > b.max_response_chars, "too_long_response_chars").otherwise("ok")
+    return F.coalesce(chinese_base(segments, b), F.when(m < b.min_response_chars, "too_short_response_chars").when(m > b.max_response_chars, "too_long_response_chars"), F.lit("ok"))
+
+
+def logic_reason(segments: Column, b: Bounds, record_tokens: Column | None = None, prompt_tokens: Column | None = None, each_tokens: Column | None = None) -> Column:
+    """`chinese_base` without addresses, token limits of record and prompt, then the limits of each trained segment, else ok.
+
+    A segment's characters are its content's, its tokens (`each_tokens`, an array along
+    the trained segments) those of its rendering; the first one to fail decides.
+    """
+
+    def one(s: Column, i: Column) -> Column:
+        n = F.length(s["content"])
+        r = F.when(n < b.min_response_chars, "too_short_response_chars").when(n > b.max_response_chars, "too_long_response_chars")
+        if each_tokens is not None:
+            r = r.when(F.get(each_tokens, i) < b.min_response_tokens, "too_short_response")
+            r = r.when(F.get(each_tokens, i) > b.max_response_tokens, "too_long_response") if b.max_response_tokens else r
+        return r
+
+    bad = F.filter(F.transform(F.filter(segments, lambda s: s["train"]), one), lambda x: x.isNotNull())
+    tokens = [] if record_tokens is None else [F.nullif(token_reason(record_tokens, prompt_tokens, None, b), F.lit("ok"))]
+    return F.coalesce(chinese_base(segments, b, False), *tokens, F.get(bad, F.lit(0)), F.lit("ok"))
 
 
-def token_reason(record: Column, prompt: Column, response: Column, b: Bounds) -> Column:
-    """Token limits over counted columns, else ok."""
+def token_reason(record: Column, prompt: Column, response: Column | None, b: Bounds) -> Column:
+    """Token limits over counted columns, else ok; without `response` those of record and prompt."""
     r = F.when(record < b.min_record_tokens, "too_short_record")
-    for limit, column, low, name in (
-        (b.max_record_tokens, record, False, "too_long_record"),
-        (b.max_prompt_tokens, prompt, False, "too_long_prompt"),
-        (b.min_response_tokens, response, True, "too_short_response"),
-        (b.max_response_tokens, response, False, "too_long_response"),
-    ):
+    limits = [(b.max_record_tokens, record, False, "too_long_record"), (b.max_prompt_tokens, prompt, False, "too_long_prompt")]
+    if response is not None:
+        limits += [(b.min_response_tokens, response, True, "too_short_response"), (b.max_response_tokens, response, False, "too_long_response")]
+    for limit, column, low, name in limits:
         if limit:
             r = r.when(column < limit if low else column > limit, name)
     return r.otherwise("ok")

@@ -14,21 +14,26 @@ def _empty() -> Column:
     return F.array().cast(SEGMENTS_DDL)
 
 
-def serialize(segments: Column, compose: bool = False) -> Column:
-    """Canonical segments: roles by alias, contents normalised, empty ones left out; an unknown role raises an error."""
+def serialize(segments: Column, compose: bool = True) -> Column:
+    """Canonical segments: roles by alias, contents normalised, empty ones left out; an unknown role raises an error.
+
+    `compose=False` is for segments composed before.
+    """
 
     def one(s: Column) -> Column:
         role = X.normalize_role(F.coalesce(s["role"], F.lit("text")))
         checked = F.when(role.isin(*ROLES), role).otherwise(F.raise_error(F.concat(F.lit("unsupported role "), role)))
-        return segment(checked, X.normalize_text(F.coalesce(s["content"], F.lit("")), compose), F.coalesce(s["train"], X.default_train(role)))
+        return segment(checked, X.normalize_text(F.coalesce(s["content"], F.lit("")), False), F.coalesce(s["train"], X.default_train(role)))
 
-    return F.filter(F.transform(F.coalesce(segments, _empty()), one), lambda s: s["content"] != "")
+    ready = X.nfc_segments(segments) if compose else segments
+    return F.filter(F.transform(F.coalesce(ready, _empty()), one), lambda s: s["content"] != "")
 
 
-def make_record(df: DataFrame, record_id: Column, source: Column, segments: Column, meta: Column | None = None, task: Column | None = None, rejected: Column | None = None) -> DataFrame:
+def make_record(df: DataFrame, record_id: Column, source: Column, segments: Column, meta: Column | None = None, task: Column | None = None, rejected: Column | None = None, compose: bool = True) -> DataFrame:
     """The canonical record's columns; `rejected_segments` is null when there are none."""
     none = F.lit(None).cast("string")
-    s = df.select(record_id.alias("id"), source.alias("source"), serialize(segments).alias("segments"), serialize(_empty() if rejected is None else rejected).alias("r"), (none if meta is None else meta).alias("meta"), (none if task is None else task).alias("t"))
+    r = _empty() if rejected is None else serialize(rejected, compose)
+    s = df.select(record_id.alias("id"), source.alias("source"), serialize(segments, compose).alias("segments"), r.alias("r"), (none if meta is None else meta).alias("meta"), (none if task is None else task).alias("t"))
     return s.select(
         F.lit(SCHEMA_TAG).alias("schema"), "id", "source", X.normalize_task(F.col("t"), F.col("segments"), F.col("r")).alias("task"),
         "segments", F.when(F.size("r") > 0, F.col("r")).alias("rejected_segments"), F.coalesce("meta", F.lit("{}")).alias("meta"),
@@ -37,13 +42,13 @@ def make_record(df: DataFrame, record_id: Column, source: Column, segments: Colu
 
 def from_messages(messages: Column) -> Column:
     """Messages with role|from and content|value|text → segments of the three speaking roles, blanks left out."""
-    s = F.transform(messages, lambda m: segment(X.normalize_role(m["role"]), X.normalize_text(F.coalesce(m["content"], F.lit("")), False)))
+    s = F.transform(X.nfc_segments(messages), lambda m: segment(X.normalize_role(m["role"]), X.normalize_text(F.coalesce(m["content"], F.lit("")), False)))
     return F.filter(s, lambda x: x["role"].isin("system", "user", "assistant") & (x["content"] != ""))
 
 
 def from_instruction(instruction: Column, answer: Column, context: Column | None = None, mark: str = "\n") -> Column:
     """Instruction, with its context after `mark` if there is any, and answer; empty if either is blank."""
-    clean = lambda c: X.normalize_text(F.coalesce(c, F.lit("")), False)
+    clean = lambda c: X.normalize_text(F.coalesce(c, F.lit("")))
     q, a = clean(instruction), clean(answer)
     x = F.lit("") if context is None else clean(context)
     user = F.when(x == "", q).otherwise(F.concat(q, F.lit(mark), x))
@@ -77,6 +82,11 @@ def parse_labels(df: DataFrame, key: list[str], text: str, out: str = "segments"
 
     Lines before the first label are dropped.  The fold stays within the row.
     """
+    return df.select(*key, labelled_turns(F.col(text)).alias(out))
+
+
+def labelled_turns(text: Column) -> Column:
+    """The turns of one text with role labels, as an array of segments."""
     lines = F.split(X.unify_newlines(X.strip_special_tokens(F.coalesce(text, F.lit("")))), r"[\n\x0b\x0c\x1c-\x1e\x85\u2028\u2029]")
 
     def step(acc: Column, line: Column) -> Column:
@@ -88,23 +98,29 @@ def parse_labels(df: DataFrame, key: list[str], text: str, out: str = "segments"
         return F.when(hit, F.concat(acc, F.array(segment(role, F.regexp_extract(line, LABEL, 4))))).when(F.size(acc) > 0, F.concat(body, F.array(grown))).otherwise(acc)
 
     turns = F.aggregate(lines, _empty(), step)
-    clean = F.filter(F.transform(turns, lambda s: segment(s["role"], X.strip(s["content"]), s["train"])), lambda s: s["content"] != "")
-    return df.select(*key, clean.alias(out))
+    return F.filter(F.transform(turns, lambda s: segment(s["role"], X.strip(s["content"]), s["train"])), lambda s: s["content"] != "")
+
 
+def text_segments(text: Column, labels: bool = False) -> Column:
+    """One text segment, or none.
 
-def text_segments(text: Column) -> Column:
-    """One text segment, or none."""
-    t = X.strip_special_tokens(X.normalize_text(F.coalesce(text, F.lit("")), False))
-    return F.when(t != "", F.array(segment(F.lit("text"), t))).otherwise(_empty())
+    With `labels`, a text whose lines carry role labels becomes their turns, if a user
+    or an assistant is among them.
+    """
+    t = X.strip_special_tokens(X.normalize_text(F.coalesce(text, F.lit(""))))
+    whole = F.when(t != "", F.array(segment(F.lit("text"), t))).otherwise(_empty())
+    if not labels:
+        return whole
+    turns = labelled_turns(t)
+    return F.when(F.exists(turns, lambda s: s["role"].isin("user", "assistant")), turns).otherwise(whole)
 
 
 def user_labels(text: Column) -> Column:
-    """'User 1:' and 'User 2:' lines → alternating speakers; other lines are dropped."""
-    lines = F.filter(F.split(X.unify_newlines(F.coalesce(text, F.lit(""))), "\n"), lambda x: x.rlike(r"^\s*User [12]:"))
-    return F.filter(
-        F.transform(lines, lambda x: segment(F.when(x.rlike(r"^\s*User 1:"), "user").otherwise("assistant"), X.strip(F.regexp_replace(x, r"^\s*User [12]:", "")))),
-        lambda s: s["content"] != "",
-    )
+    """'User 1:' and 'User 2:' lines, in any letter case → alternating speakers; other lines are dropped."""
+    label = r"(?i)^User\s*([12])\s*:\s*(.*)$"
+    lines = F.transform(F.split(X.unify_newlines(F.coalesce(text, F.lit(""))), r"[\n\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"), X.strip)
+    said = F.filter(lines, lambda x: x.rlike(label))
+    return F.filter(F.transform(said, lambda x: segment(F.when(F.regexp_extract(x, label, 1) == "1", "user").otherwise("assistant"), X.strip(F.regexp_extract(x, label, 2)))), lambda s: s["content"] != "")
 
 
 def payload_kind(payload: Column) -> Column:
@@ -112,7 +128,7 @@ def payload_kind(payload: Column) -> Column:
 
     A key that is present counts even if its value is null.
     """
-    v = F.try_parse_json(payload)
+    v = X.json_value(payload)
     keys = F.coalesce(F.json_object_keys(payload), F.array().cast("array<string>"))
     has = lambda k: F.array_contains(keys, k)
     return (
@@ -131,21 +147,38 @@ def first_present(payload: Column, keys: list[str]) -> Column:
     return out
 
 
-def parse_payloads(df: DataFrame, payload: str, key: str) -> DataFrame:
-    """(key, kind, source, segments, rejected) of JSON payloads of any supported shape."""
+def segment_list(payload: Column, keys: list[str], strict: bool) -> Column:
+    """Segments under the first present of some keys; a value that is no list is null, or an error if `strict`."""
+    raw = first_present(payload, keys)
+    segs = F.from_json(raw, "array<struct<role string, content string, train boolean>>")
+    if not strict:
+        return segs
+    bad = raw.isNotNull() & ~X.strip(raw).startswith("[")
+    return F.when(bad, F.raise_error(F.lit("segments must be a list")).cast(SEGMENTS_DDL)).otherwise(segs)
+
+
+def parse_payloads(df: DataFrame, payload: str, key: str, strict: bool = False) -> DataFrame:
+    """(key, kind, source, segments, rejected) of JSON payloads of any supported shape.
+
+    With `strict`, segments that are no list, payloads of an unknown shape, canonical
+    records of other roles and records without any text are errors; else they give
+    empty segments or, for roles, leave the segment out.
+    """
     p = F.col(payload)
-    many = "array<struct<role string, content string, train boolean>>"
-    seg = F.from_json(first_present(p, ["segments", "messages", "chosen_segments", "chosen"]), many)
-    rej = F.from_json(first_present(p, ["rejected_segments", "rejected"]), many)
+    seg = segment_list(p, ["segments", "messages", "chosen_segments", "chosen"], strict)
+    rej = segment_list(p, ["rejected_segments", "rejected"], strict)
     conv = F.transform(F.from_json(F.get_json_object(p, "$.conversations"), "array<struct<`from`: string, `value`: string, role: string, content: string>>"), lambda m: segment(F.coalesce(m["from"], m["role"]), F.coalesce(m["value"], m["content"])))
     kind = payload_kind(p)
+    ready = (lambda x: serialize(x)) if strict else serializable
     j = lambda k: F.get_json_object(p, f"$.{k}")
     s = (
-        F.when(kind.isin("canonical", "messages", "preference"), serializable(seg)).when(kind == "conversations", from_messages(conv))
+        F.when(kind.isin("canonical", "messages", "preference"), ready(seg)).when(kind == "conversations", from_messages(conv))
         .when(kind == "instruction", from_instruction(F.coalesce(j("instruction"), j("input")), j("output"))).when(kind == "text", text_segments(j("text"))).when(kind == "scalar", text_segments(F.from_json(F.concat(F.lit('{"v":'), p, F.lit("}")), "v string")["v"]))
         .otherwise(_empty())
     )
-    return df.select(key, kind.alias("kind"), j("source").alias("source"), s.alias("segments"), serializable(rej).alias("rejected"))
+    if strict:
+        s = F.when(F.size(s) == 0, F.raise_error(F.concat(F.lit("no text in payload "), F.col(key).cast("string"))).cast(SEGMENTS_DDL)).otherwise(s)
+    return df.select(key, kind.alias("kind"), F.when(kind != "invalid", j("source")).alias("source"), s.alias("segments"), ready(rej).alias("rejected"))
 
 
 def serializable(segments: Column) -> Column:
@@ -159,7 +192,7 @@ def chunk_paragraphs(text: Column, size: int) -> Column:
 
     A paragraph above the size first closes the open chunk.
     """
-    t = X.strip_special_tokens(X.normalize_text(F.coalesce(text, F.lit("")), False))
+    t = X.strip_special_tokens(X.normalize_text(F.coalesce(text, F.lit(""))))
     paragraphs = F.filter(F.transform(F.split(t, "\n\n"), X.strip), lambda p: p != "")
     init = F.struct(F.lit("").alias("open"), F.array().cast("array<string>").alias("out"))
 
@@ -189,8 +222,8 @@ def persona_conversations(lines: DataFrame, order: str = "line_no", text: str =
     body = F.regexp_replace(F.col(text), r"^\d+ ", "")
     marked = lines.where(n != "").withColumn("conv", F.sum((n == "1").cast("int")).over(w)).withColumn("body", body)
     turn = F.split("body", "\t")
-    said = marked.where(~F.col("body").rlike(r"^(your|partner's) persona:") & (F.size(turn) > 1)).withColumn("pair", F.array(segment(F.lit("user"), X.strip(F.get(turn, F.lit(0)))), segment(F.lit("assistant"), X.strip(F.get(turn, F.lit(1))))))
-    persona = marked.where(F.col("body").rlike("^your persona:")).groupBy(file, "conv").agg(F.array_sort(F.collect_list(F.struct(order, X.strip(F.regexp_replace("body", "^your persona:", "")).alias("p")))).alias("ps"))
+    said = marked.where(~F.lower("body").rlike("^(your|partner's) persona:") & (F.size(turn) > 1)).withColumn("pair", F.array(segment(F.lit("user"), X.strip(F.get(turn, F.lit(0)))), segment(F.lit("assistant"), X.strip(F.get(turn, F.lit(1))))))
+    persona = marked.where(F.lower("body").rlike("^(your|partner's) persona:")).groupBy(file, "conv").agg(F.array_sort(F.collect_list(F.struct(order, X.strip(F.regexp_replace("body", "^[^:]*:", "")).alias("p")))).alias("ps"))
     talks = said.groupBy(file, "conv").agg(F.array_sort(F.collect_list(F.struct(order, "pair"))).alias("ts"))
     return talks.join(persona, [file, "conv"], "left").select(file, "conv", F.flatten(F.transform("ts", lambda t: t["pair"])).alias("segments"), F.coalesce(F.transform("ps", lambda x: x["p"]), F.array().cast("array<string>")).alias("persona"))
 
@@ -206,9 +239,10 @@ def line_id_join(conversations: DataFrame, conv: str, ids: str, lines: DataFrame
     """(conv, segments): conversations given as lists of line ids joined to their lines.
 
     Unknown lines are blank: they keep the parity of the speakers and are then
-    dropped.  Of repeated line ids the last by `order` counts.
+    dropped.  Of repeated line ids the last by `order` counts, ties by text; without
+    `order`, line ids must be unique.
     """
-    last = lines.groupBy(line).agg((F.max_by(text, order) if order else F.max(text)).alias("_text"))
+    last = lines.groupBy(line).agg(F.max(F.struct(*([order] if order else []), text)).alias("_l")).select(line, F.col(f"_l.{text}").alias("_text"))
     ids_ = conversations.select(conv, F.posexplode(ids).alias("pos", line))
     j = ids_.join(last, line, "left")
     t = j.groupBy(conv).agg(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("_text", F.lit("")).alias("said")))).alias("t"))

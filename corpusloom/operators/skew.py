@@ -53,10 +53,20 @@ def hash_bucket(c: Column, n: int | Column, seed: int = 0) -> Column:
     return F.pmod(F.xxhash64(F.lit(seed), c), F.lit(n) if isinstance(n, int) else n).cast("int")
 
 
+def plan_bytes(df: DataFrame) -> int:
+    """The optimizer's estimate of a plan's size: the files' size for a scan, an upper bound in most other cases."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Rows of a scan over all cores, by `keys` if given, where it has fewer splits than there are; large inputs pass as they are.
+    """Rows over all cores, by `keys` if given, where a scan would leave some without work.
 
     For operators that spend far more on a row in Python than a shuffle of it costs.
+    Files estimated under `spark.sql.files.maxPartitionBytes` a core are shuffled into
+    two partitions a core; larger ones have splits enough and aren't.  Only where rows
+    lie depends on it, and only statistics are asked for: nothing runs ahead.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    split = int(spark.conf.get("spark.sql.files.maxPartitionBytes").rstrip("b"))
+    return df.repartition(2 * cores, *keys) if plan_bytes(df) < cores * split else df

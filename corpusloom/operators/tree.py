@@ -44,7 +44,7 @@ def answer_paths(messages: DataFrame, max_toxicity: float = 0.5) -> DataFrame:
     """
     kept = messages.where(message_ok(max_toxicity))
     path = leaf_paths(kept, "message_id", "parent_id")
-    said = kept.select(F.col("message_id").alias("id"), "role", "text", F.coalesce("rank", F.lit(1000)).alias("rank")).dropDuplicates(["id"])
+    said = kept.select(F.col("message_id").alias("id"), "role", X.nfc(F.col("text")).alias("text"), F.coalesce("rank", F.lit(1000)).alias("rank")).dropDuplicates(["id"])
     full = path.join(said, "id").groupBy("leaf").agg(F.array_sort(F.collect_list(F.struct((-F.col("steps")).alias("k"), "role", "text", "rank"))).alias("p"))
     role = X.normalize_role(F.try_element_at("p", F.lit(-1))["role"])
     score = F.aggregate(F.transform("p", lambda m: F.when(m["role"] == "assistant", m["rank"]).otherwise(0).cast("bigint")), F.lit(0).cast("bigint"), lambda a, x: a + x)

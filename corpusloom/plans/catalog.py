@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,6 +32,9 @@ BOUNDS = Q.Bounds(max_record_chars=2000, max_prompt_chars=1200, max_response_cha
 DAILY = Q.Bounds(max_record_chars=900, max_response_chars=400)
 CHINESE = Q.Bounds(min_record_chars=20, max_record_chars=900, min_response_chars=12, max_response_chars=300, min_cjk_ratio=0.6, min_cjk_chars=2, max_ascii_letters=24)
 
+LOGIC = Q.Bounds(min_record_chars=20, max_record_chars=900, min_response_chars=16, max_response_chars=90, min_cjk_ratio=0.5, min_cjk_chars=2, max_ascii_letters=60)
+TOKEN_BOUNDS = replace(BOUNDS, min_record_tokens=24, max_record_tokens=640, max_prompt_tokens=420, min_response_tokens=12, max_response_tokens=260)
+
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
@@ -83,19 +87,28 @@ def prompt_dedup_first_valid(spark, d):
 
 
 def dedup_counters(spark, d):
-    return U.counters(U.first_valid(P.judged(_windows(spark, d), ["id", "turn"]), "prompt_hash", ["id", "turn"]), ["source"], reason=None)
+    return U.counters(U.first_valid(P.judged(_windows(spark, d), ["id", "turn"]), "prompt_hash", ["id", "turn"]), ["source"], reason=None, dialog="id")
+
+
+def _skips(spark, d, by, bounds=BOUNDS, kind="quality"):
+    """Reasons of the windows that no accepted one of their prompt came before: duplicates are told first."""
+    return U.skip_reasons(U.first_valid(P.judged(_windows(spark, d, bounds, kind), ["id", "turn"]), "prompt_hash", ["id", "turn"]), by)
 
 
 def skip_reason_hist(spark, d):
-    return _windows(spark, d).groupBy("source", "reason").agg(F.count(F.lit(1)).alias("n"))
+    return _skips(spark, d, ["source"])
 
 
 def daily_reason_hist(spark, d):
-    return _windows(spark, d, DAILY, "daily").groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+    return _skips(spark, d, [], DAILY, "daily")
 
 
 def chinese_reason_hist(spark, d):
-    return _windows(spark, d, CHINESE, "chinese").groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+    return _skips(spark, d, [], CHINESE, "chinese")
+
+
+def logic_reason_hist(spark, d):
+    return _skips(spark, d, [], LOGIC, "logic")
 
 
 def source_quota(spark, d):
@@ -105,7 +118,9 @@ def source_quota(spark, d):
 
 def merge_fold(spark, d):
     w = P.judged(_windows(spark, d), ["id", "turn"]).drop("reason")
-    src = [(s, w.where(F.col("source") == s).drop("source"), q) for s, q in (("worldtalk", 40), ("smalltalkzh", 1000), ("lanternchat", 0), ("orchardpairs", 25))]
+    named = {"worldtalk": 40, "smalltalkzh": 1000, "lanternchat": 0, "orchardpairs": 25}
+    src = [(s, w.where(F.col("source") == s), q) for s, q in named.items()] + [("rest", w.where(~F.col("source").isin(*named)), 1_000_000)]
+    src = [(s, x.drop("source"), q) for s, x, q in src]
     return U.fold_sources(src, "prompt_hash", ["id", "turn"]).select("source_name", "id", "turn", "rank")
 
 
@@ -130,12 +145,12 @@ def message_filter(spark, d):
 
 
 def text_records(spark, d):
-    return P.text_records(table(spark, d, "documents"), 100, 400).select("doc_id", F.length("text").alias("chars"), F.sha2("text", 256).alias("digest"))
+    return P.text_records(table(spark, d, "documents"), 100).select("doc_id", F.length("text").alias("chars"), F.sha2("text", 256).alias("digest"))
 
 
 def char_budget(spark, d):
-    r = K.limit_chars(P.text_records(table(spark, d, "documents")).select("doc_id", "text"), "text", ["doc_id"], 50_000)
-    return r.select("doc_id", F.length("kept").alias("chars"), "cut")
+    r = K.limit_chars(P.text_records(table(spark, d, "documents"), max_chars=None).select("doc_id", "text"), "text", ["doc_id"], 50_000)
+    return r.select("doc_id", F.length("kept").alias("chars"), "cut", F.when(F.col("cut"), "lm").alias("task"))
 
 
 def doc_chunks(spark, d):
@@ -147,9 +162,8 @@ def word_freq_topk(spark, d):
     return V.top_tokens(V.token_frequencies(table(spark, d, "documents"), "text", "doc_id"), 100)
 
 
-def source_vocabulary(spark, d):
-    """Word and character types of the documents in order of first occurrence, as a source vocabulary."""
-    f = V.token_frequencies(table(spark, d, "documents"), "text", "doc_id")
+def source_vocabulary(f: DataFrame) -> DataFrame:
+    """Word and character types in order of first occurrence, with their last three letters as pieces, as a source vocabulary."""
     words = f.select("token", F.col("first.o").alias("o"), F.col("first.p").alias("p"))
     pieces = words.where(F.length("token") > 4).select(F.concat(F.lit("##"), F.substring("token", -3, 3)).alias("token"), "o", "p")
     one = words.unionByName(pieces).groupBy("token").agg(F.min(F.struct("o", "p")).alias("at"))
@@ -157,8 +171,8 @@ def source_vocabulary(spark, d):
 
 
 def vocab_prune(spark, d):
-    freq = V.token_frequencies(table(spark, d, "documents"), "text", "doc_id")
-    return V.prune(source_vocabulary(spark, d), 1200, {"cjk": 300, "word": 500, "piece": 100}, freq=freq)
+    freq = cut_lineage(V.token_frequencies(table(spark, d, "documents"), "text", "doc_id"))
+    return V.prune(source_vocabulary(freq), 1200, {"cjk": 300, "word": 500, "piece": 100}, freq=freq)
 
 
 def _wordpiece(spark, d) -> W.WordPiece:
@@ -174,7 +188,7 @@ def token_counts(spark, d):
 def packed_records(spark, d):
     wp = _wordpiece(spark, d)
     r = W.encode_records(base(spark, d).where("size(segments) > 1"), wp)
-    r = K.spans(r.withColumn("n", F.size("tokens")).withColumn("weight", K.trainable(F.col("mask"))), "n", ["id"])
+    r = K.spans(r.select("id", F.size("tokens").alias("n"), K.trainable(F.col("mask")).alias("weight")), "n", ["id"])
     return r.select("id", "start", "end", "weight")
 
 
@@ -182,7 +196,7 @@ def sampled_windows(spark, d):
     wp = _wordpiece(spark, d)
     r = W.encode_records(base(spark, d).where("size(segments) > 1"), wp).select("id", "tokens", "mask")
     w = K.sample_windows(r, 500, 64, 7, ["id"])
-    return w.select("draw_id", "id", F.size("x").alias("n"), F.size(F.filter("y", lambda t: t != -100)).alias("targets"))
+    return w.select("draw_id", "id", "start", F.size("x").alias("n"), F.size(F.filter("y", lambda t: t != -100)).alias("targets"))
 
 
 def record_spans(spark, d):
@@ -193,24 +207,25 @@ def record_spans(spark, d):
 def draw_lookup(spark, d):
     t = table(spark, d, "documents").select("doc_id", F.length(F.coalesce("text", F.lit(""))).cast("bigint").alias("w"))
     w = K.cumulative_weights(t, "w", ["doc_id"])
-    draws = table(spark, d, "orders").select("o_orderkey", (F.col("o_orderkey") * 7919 % 200_000).alias("draw"))
+    total = F.broadcast(w.agg(F.max("hi").alias("total")))  # one row
+    draws = table(spark, d, "orders").join(total, F.lit(True)).select("o_orderkey", (F.col("o_orderkey") * 1_000_003 % F.col("total")).alias("draw"))
     return K.draw_lookup(draws, "draw", w).select("o_orderkey", "draw", "doc_id")
 
 
 def preference_pairs(spark, d):
-    r = table(spark, d, "training_records").where("id is not null and size(rejected_segments) > 0").dropDuplicates(["id"])
+    r = P.deliveries(table(spark, d, "training_records").where("size(rejected_segments) > 0"), "rejected_segments")
+    r = r.select("id", "source", X.nfc_segments(F.col("segments")).alias("g"), X.nfc_segments(F.col("rejected_segments")).alias("b"))
     seg = lambda c: D.make_segments(F.col(c), clean=lambda x: X.clean_flat(x, False))
-    r = r.select("id", "source", seg("segments").alias("good"), seg("rejected_segments").alias("bad"))
+    r = r.select("id", "source", seg("g").alias("good"), seg("b").alias("bad"))
     out = R.preference_record(r, F.col("id"), X.name_key(F.col("source")), F.array().cast("array<struct<role:string,content:string,train:boolean>>"), F.col("good"), F.col("bad"))
     return out.select("id", "source", "task", F.size("segments").alias("n"), F.size("rejected_segments").alias("rejected"))
 
 
 def canonical_records(spark, d):
-    r = P.deliveries(table(spark, d, "training_records"))
-    t = table(spark, d, "training_records").groupBy("id").agg(F.min_by(F.struct("task", "rejected_segments"), "ingested_at").alias("t"))
-    j = r.join(t, "id")
-    out = R.make_record(j, F.col("id"), X.name_key(F.col("source")), F.col("segments"), task=F.col("t.task"), rejected=F.col("t.rejected_segments"))
-    return out.select("schema", "id", "source", "task", F.size("segments").alias("n"), F.coalesce(F.size("rejected_segments"), F.lit(0)).alias("rejected"))
+    r = P.deliveries(table(spark, d, "training_records"), "task", "rejected_segments", "meta")
+    out = R.make_record(r, F.col("id"), X.name_key(F.col("source")), F.col("segments"), F.col("meta"), F.col("task"), F.col("rejected_segments"))
+    said = F.array_join(F.transform("segments", lambda x: F.concat(x["role"], F.lit(":"), x["content"], F.lit(":"), x["train"].cast("int").cast("string"))), "|")
+    return out.select("schema", "id", "source", "task", F.size("segments").alias("n"), F.coalesce(F.size("rejected_segments"), F.lit(0)).alias("rejected"), F.sha2(said, 256).alias("digest"))
 
 
 def raw_payloads(spark, d):
@@ -232,9 +247,10 @@ def reply_tree_paths(spark, d):
 
 
 def latest(m: DataFrame) -> DataFrame:
-    """The last delivery of each message."""
+    """The last delivery of each message; of several at one time the one with the largest hash, so that every run takes the same."""
     cols = [c for c in m.columns if c != "message_id"]
-    return m.groupBy("message_id").agg(F.max_by(F.struct(*cols), "ingested_at").alias("m")).select("message_id", "m.*")
+    last = F.max_by(F.struct(*cols), F.struct("ingested_at", F.xxhash64(*cols)))
+    return m.groupBy("message_id").agg(last.alias("m")).select("message_id", "m.*")
 
 
 def children_lists(spark, d):
@@ -270,10 +286,30 @@ def label_parse(spark, d):
     return p.select("id", F.size("segments").alias("n"), F.sha2(F.array_join(F.transform("segments", lambda x: F.concat(x["role"], F.lit(":"), x["content"])), "|"), 256).alias("digest"))
 
 
+def _paragraphs(text):
+    """A text as paragraphs of a page, one for each of its parts between empty lines."""
+    safe = F.replace(F.replace(F.replace(F.coalesce(text, F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    return F.concat(F.lit("<p>"), F.replace(safe, F.lit("\n\n"), F.lit("</p><p>")), F.lit("</p>"))
+
+
 def html_articles(spark, d):
-    html = F.concat(F.lit("<html><body><div><h1>"), F.coalesce("title", F.lit("")), F.lit("</h1><p>"), F.regexp_replace(F.regexp_replace(F.coalesce("text", F.lit("")), "[<>&]", " "), r"\n\n", "</p><p>"), F.lit("</p></div></body></html>"))
+    html = F.concat(F.lit("<html><body><p>"), F.repeat(F.lit("menu "), 20), F.lit("</p><h1 class='firstHeading'>"), F.coalesce("title", F.lit("")), F.lit("</h1><div class='mw-parser-output'>"), _paragraphs(F.col("text")), F.lit("</div></body></html>"))
     a = table(spark, d, "documents").select("doc_id", S.article_udf()(html).alias("a"))
-    return a.select("doc_id", F.length("a.title").alias("title"), F.length("a.content").alias("chars"))
+    return a.select("doc_id", F.length("a.title").alias("title"), F.length("a.content").alias("chars"), F.sha2("a.content", 256).alias("digest"))
+
+
+def news_articles(spark, d):
+    """Pages whose body and decoy are marked in six ways, so that the order of the selectors decides."""
+    kinds = [("article", "content"), ("div class='article-content'", "news-content"), ("div class='x news-content'", "content"), ("div class='content'", "x-news"), ("div class='my-article-box'", "x-news"), ("section class='latest-news'", "other")]
+    k = F.col("doc_id") % len(kinds)
+    head = F.when(k % 2 == 0, F.lit("<h1> Heading </h1>")).otherwise(F.lit("<title>Page</title>"))
+    decoy, opened, closed = F.lit(""), F.lit(""), F.lit("")
+    for i, (body, other) in enumerate(kinds):
+        decoy = F.when(k == i, F.lit(f"<div class='{other}'><p>{'d' * 40}</p></div>")).otherwise(decoy)
+        opened, closed = F.when(k == i, F.lit(f"<{body}>")).otherwise(opened), F.when(k == i, F.lit(f"</{body.split()[0]}>")).otherwise(closed)
+    html = F.concat(head, decoy, opened, _paragraphs(F.col("text")), closed)
+    a = table(spark, d, "documents").select("doc_id", S.news_udf()(html).alias("a"))
+    return a.select("doc_id", F.col("a.title").alias("title"), F.length("a.content").alias("chars"), F.sha2("a.content", 256).alias("digest"))
 
 
 def category_accuracy(spark, d):
@@ -299,7 +335,15 @@ def regression_errors(spark, d):
 def masked_loss(spark, d):
     e = table(spark, d, "embeddings").select(F.transform("embedding", lambda x: x.cast("double")).alias("logits"), F.when(F.col("vec_id") % 3 == 0, -100).otherwise(F.col("label") % 10).cast("int").alias("gold"))
     m = M.masked_loss(e, "logits", "gold", smoothing=0.1)
-    return m.select(F.round("loss", 6).alias("loss"), F.round("smoothed", 6).alias("smoothed"), F.round("gold_prob", 6).alias("gold_prob"), "valid")
+    mixed = M.objective_loss("ce_dft", F.col("smoothed"), F.col("dft"), N.ramp(F.lit(300), 100, 1100))
+    return m.select(*[F.round(c, 6).alias(c) for c in ("loss", "smoothed", "dft", "gold_prob")], F.round(mixed, 6).alias("mixed"), "valid")
+
+
+def eval_means(spark, d):
+    """Losses of batches of 50 vectors, then the means over the batches."""
+    e = table(spark, d, "embeddings").select(F.floor(F.col("vec_id") / 50).alias("batch"), F.transform("embedding", lambda x: x.cast("double")).alias("logits"), F.when(F.col("vec_id") % 3 == 0, -100).otherwise(F.col("label") % 10).cast("int").alias("gold"))
+    m = M.mean_metrics(M.masked_loss(e, "logits", "gold", by=["batch"]), ["loss", "dft", "gold_prob"])
+    return m.select(*[F.round(c, 6).alias(c) for c in ("loss", "dft", "gold_prob")], "batches")
 
 
 def scatter_add(spark, d):
@@ -308,9 +352,11 @@ def scatter_add(spark, d):
 
 
 def embedding_gather(spark, d):
-    t = table(spark, d, "orders").select(F.col("o_orderkey").alias("key"), F.array(F.col("o_orderkey") % 300, F.col("o_custkey") % 300).alias("ids"))
-    g = M.gather_embeddings(t, "key", "ids", table(spark, d, "embeddings").select("vec_id", "embedding"), "vec_id", "embedding", 2.0)
-    return g.select("key", "pos", F.round(F.get("vector", F.lit(0)).cast("double"), 5).alias("v0"))
+    v = table(spark, d, "embeddings").select("vec_id", "embedding")
+    n = F.broadcast(v.agg((F.max("vec_id") + 2).alias("n")))  # one row; the last id is unknown
+    t = table(spark, d, "orders").join(n, F.lit(True)).select(F.col("o_orderkey").alias("key"), F.array(F.col("o_orderkey") % F.col("n"), F.col("o_custkey") % F.col("n")).alias("ids"))
+    g = M.gather_embeddings(t, "key", "ids", v, "vec_id", "embedding", 2.0)
+    return g.select("key", "pos", F.round(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x.cast("double")), 3).alias("total"))
 
 
 def learning_rates(spark, d):
@@ -339,7 +385,7 @@ def value_ema(spark, d):
 def softmax_draws(spark, d):
     e = table(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("l"))
     p = N.softmax(N.top_k_mask(F.col("l"), 5), 0.7)
-    u = F.pmod(F.xxhash64(F.lit(3), "vec_id"), F.lit(1_000_000)) / 1e6
+    u = K.draw(3, "vec_id", F.lit(1_000_000)) / 1e6
     return e.select("vec_id", M.draw_index(p, u).alias("drawn"), (F.array_position("l", F.array_max("l")) - 1).cast("int").alias("best"))
 
 
@@ -352,12 +398,20 @@ def token_set_algebra(spark, d):
 
 
 def tightened_text(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.sha2(X.clean_chinese(F.col("text"), False), 256).alias("digest"), F.length(X.clean_chinese(F.col("text"), False)).alias("chars"))
+    return table(spark, d, "documents").select("doc_id", X.clean_chinese(F.col("text")).alias("t")).select("doc_id", F.sha2("t", 256).alias("digest"), F.length("t").alias("chars"))
+
+
+def cleaned_text(spark, d):
+    """Digests of every cleaner over all documents."""
+    clean = {"lines": X.clean_lines, "flat": X.clean_flat, "each_line": X.clean_each_line, "normal": X.normalize_text}
+    return table(spark, d, "documents").select("doc_id", *[F.sha2(f(F.col("text")), 256).alias(n) for n, f in clean.items()])
 
 
 def first_paragraphs(spark, d):
-    p = F.filter(F.split(X.unify_newlines(F.col("text")), "\n\n"), lambda x: F.length(x) > 50)
-    return table(spark, d, "documents").where("text is not null").select("doc_id", F.size(F.slice(p, 1, 5)).alias("n"), F.aggregate(F.slice(p, 1, 5), F.lit(0), lambda a, x: a + F.length(x)).alias("chars"))
+    """The long ones of the first five paragraphs."""
+    p = F.transform(F.slice(F.split(X.unify_newlines(F.col("text")), "\n\n"), 1, 5), X.strip)
+    long = F.filter(p, lambda x: F.length(x) > 50)
+    return table(spark, d, "documents").where("text is not null").select("doc_id", F.size(long).alias("n"), F.aggregate(long, F.lit(0), lambda a, x: a + F.length(x)).alias("chars"))
 
 
 def trimmed_dialogs(spark, d):
@@ -365,10 +419,22 @@ def trimmed_dialogs(spark, d):
     return t.select("id", F.size("s").alias("n"), F.aggregate("s", F.lit(0), lambda a, x: a + F.length(x["content"])).alias("chars"))
 
 
+def _quality(spark, d):
+    cfg = P.BuildConfig(max_turns=8, flat=True, quota=200, max_total=1_000_000, bounds=TOKEN_BOUNDS, id_pattern="quality-%07d")
+    return P.build(table(spark, d, "training_records"), cfg, _wordpiece(spark, d))
+
+
 def quality_build(spark, d):
-    cfg = P.BuildConfig(max_turns=8, flat=True, quota=200, bounds=BOUNDS, id_pattern="quality-%07d")
-    r, _ = P.build(table(spark, d, "training_records"), cfg)
-    return r.select("id", "source", "task", F.size("segments").alias("n"))
+    """The whole build with a tokenizer's bounds and quotas: its records."""
+    r, _ = _quality(spark, d)
+    return r.select("id", "source", "task", F.size("segments").alias("n"), F.get_json_object("meta", "$.record_tokens").cast("int").alias("record_tokens"), F.get_json_object("meta", "$.response_tokens").cast("int").alias("response_tokens"))
+
+
+def quality_stats(spark, d):
+    """The same build's statistics per source; reasons as text."""
+    _, s = _quality(spark, d)
+    reasons = F.coalesce(F.array_join(F.transform(F.map_entries("skip_reasons"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ","), F.lit(""))
+    return s.select("source", "scanned", "candidates", "written", "duplicates", "skipped", *P.TOKEN_SUMS, reasons.alias("reasons"), (F.col("written_chars") > 0).alias("has_chars"))
 
 
 def merge_corpora(spark, d):
@@ -385,12 +451,14 @@ def merge_corpora(spark, d):
 
 def chat_mix(spark, d):
     r = P.deliveries(table(spark, d, "training_records"))
-    parts = [(s, r.where(X.name_key(F.col("source")) == s), q) for s, q in (("lanternchat", 150), ("feedbacknotes", 100))]
+    named = {"lanternchat": 150, "feedbacknotes": 100}
+    key = X.name_key(F.col("source"))
+    parts = [(s, r.where(key == s), q) for s, q in named.items()] + [("rest", r.where(~key.isin(*named)), 1_000_000)]
     return P.chat_mix(parts).select("source_name", "id", F.size("segments").alias("n"), "rank")
 
 
 def reasoning_examples(spark, d):
-    return G.reasoning_examples(spark, 1000, 0)
+    return G.reasoning_records(spark, 1000, 0).select("id", "source", "task", F.get_json_object("meta", "$.task").alias("kind"), F.get("segments", F.lit(0))["content"].alias("input"), F.get_json_object("meta", "$.answer").alias("answer"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -398,10 +466,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         f.__name__: f
         for f in (
             dialog_segments, prefix_windows, context_windows_2_4_6, sliding_window_3, single_turn_pairs, full_dialog, prompt_dedup_first_valid, dedup_counters,
-            skip_reason_hist, daily_reason_hist, chinese_reason_hist, source_quota, merge_fold, english_ratio, cjk_ratio, bad_prompts, language_gate, message_filter,
+            skip_reason_hist, daily_reason_hist, chinese_reason_hist, logic_reason_hist, source_quota, merge_fold, english_ratio, cjk_ratio, bad_prompts, language_gate, message_filter,
             text_records, char_budget, doc_chunks, word_freq_topk, vocab_prune, token_counts, packed_records, sampled_windows, record_spans, draw_lookup, preference_pairs,
-            canonical_records, raw_payloads, role_hist, reply_tree_paths, children_lists, line_id_join, persona_reset, speaker_roles, label_parse, html_articles, category_accuracy,
-            crawl_metadata, char_stats, regression_errors, masked_loss, scatter_add, embedding_gather, learning_rates, numbered_ids, full_batches, value_ema, softmax_draws,
-            token_set_algebra, tightened_text, first_paragraphs, trimmed_dialogs, quality_build, merge_corpora, chat_mix, reasoning_examples,
+            canonical_records, raw_payloads, role_hist, reply_tree_paths, children_lists, line_id_join, persona_reset, speaker_roles, label_parse, html_articles, news_articles, category_accuracy,
+            crawl_metadata, char_stats, regression_errors, masked_loss, eval_means, scatter_add, embedding_gather, learning_rates, numbered_ids, full_batches, value_ema, softmax_draws,
+            token_set_algebra, tightened_text, cleaned_text, first_paragraphs, trimmed_dialogs, quality_build, quality_stats, merge_corpora, chat_mix, reasoning_examples,
         )
     }

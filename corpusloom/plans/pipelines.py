@@ -14,7 +14,7 @@ from corpusloom.operators import dialog as D
 from corpusloom.operators import quality as Q
 from corpusloom.operators import records as R
 from corpusloom.operators.skew import cut_lineage, spread
-from corpusloom.operators.wordpiece import WordPiece, encode_udf
+from corpusloom.operators.wordpiece import WordPiece, count_udf
 
 
 @dataclass(frozen=True)
@@ -23,7 +23,8 @@ class BuildConfig:
 
     `kind` picks the validator: quality, daily, chinese or logic; `mode` the windows:
     prefix, window, single_turn or full.  `quota` bounds the records of each source
-    (0: none), `flat` cleans contents to one line.
+    (0: none) and `max_total` those of the whole build, `flat` cleans contents to one
+    line.
     """
 
     kind: str = "quality"
@@ -31,22 +32,25 @@ class BuildConfig:
     max_turns: int = 8
     sizes: tuple[int, ...] = (2, 4, 6)
     quota: int = 0
+    max_total: int | None = None
     dedupe_prompts: bool = True
     flat: bool = False
     id_pattern: str = "record-%07d"
     bounds: Q.Bounds = field(default_factory=Q.Bounds)
 
 
-def deliveries(records: DataFrame) -> DataFrame:
-    """One row (id, source, segments) per id: the earliest delivery; null ids are left out."""
-    first = F.min_by(F.struct("source", "segments"), F.struct("ingested_at", F.xxhash64("source", "segments")))
-    return spread(records.where(F.col("id").isNotNull()).select("id", "source", "segments", "ingested_at"), "id").groupBy("id").agg(first.alias("r")).select("id", "r.source", "r.segments")
+def deliveries(records: DataFrame, *more: str) -> DataFrame:
+    """One row (id, source, segments, …more) per id: the earliest delivery, ties by the row's hash; null ids are left out."""
+    cols = ["source", "segments", *more]
+    first = F.min_by(F.struct(*cols), F.struct("ingested_at", F.xxhash64(*cols)))
+    return spread(records.where(F.col("id").isNotNull()).select("id", *cols, "ingested_at"), "id").groupBy("id").agg(first.alias("r")).select("id", "r.*")
 
 
-def dialogs(records: DataFrame, flat: bool = True, compose: bool = False) -> DataFrame:
-    """(id, source, segments): cleaned, merged dialogues of the three speaking roles, the source as its name key."""
-    clean = (lambda c: X.clean_flat(c, compose)) if flat else (lambda c: X.clean_lines(c, compose))
-    return deliveries(records).select("id", X.name_key(F.col("source")).alias("source"), D.compact(F.col("segments"), clean=clean).alias("segments"))
+def dialogs(records: DataFrame, flat: bool = True) -> DataFrame:
+    """(id, source, segments): composed, cleaned and merged dialogues of the three speaking roles, the source as its name key."""
+    clean = (lambda c: X.clean_flat(c, False)) if flat else (lambda c: X.clean_lines(c, False))
+    d = deliveries(records).select("id", X.name_key(F.col("source")).alias("source"), X.nfc_segments(F.col("segments")).alias("segments"))
+    return d.withColumn("segments", D.compact(F.col("segments"), clean=clean))
 
 
 def windows(dialog: DataFrame, cfg: BuildConfig) -> DataFrame:
@@ -57,23 +61,32 @@ def windows(dialog: DataFrame, cfg: BuildConfig) -> DataFrame:
 
 
 def reasoned(w: DataFrame, cfg: BuildConfig, wp: WordPiece | None = None) -> DataFrame:
-    """Add `prompt_hash`, `reason` and `valid`; token bounds need a tokenizer and see only what passed the rest."""
+    """Add `prompt_hash`, `reason` and `valid`.
+
+    Token bounds need a tokenizer and are counted only for windows that pass the rest;
+    record, prompt and every trained segment go through it as one array of texts.
+    """
     s = F.col("window")
-    reason = {
+    first = {
         "quality": lambda: Q.quality_reason(s, cfg.bounds),
         "daily": lambda: Q.daily_reason(s, cfg.bounds),
         "chinese": lambda: Q.chinese_reason(s, cfg.bounds),
-        "logic": lambda: Q.chinese_reason(s, cfg.bounds, per_segment=True),
+        "logic": lambda: F.coalesce(Q.chinese_base(s, cfg.bounds, False), F.lit("ok")) if wp else Q.logic_reason(s, cfg.bounds),
     }[cfg.kind]()
     key = D.prompt_key(s) if cfg.dedupe_prompts else D.record_key(s)
-    w = w.withColumn("prompt_hash", key).withColumn("reason", reason)
+    w = w.withColumn("prompt_hash", key).withColumn("reason", first)
     if wp is not None:
-        count = encode_udf(wp)
         ok = F.col("reason") == "ok"
-        for name, only in (("record_tokens", None), ("prompt_tokens", lambda x: ~x["train"]), ("response_tokens", lambda x: x["train"])):
-            w = w.withColumn(name, F.when(ok, F.size(count(F.when(ok, D.render(s, only))))))
-        w = w.withColumn("record_tokens", F.col("record_tokens") + 2)  # bos and eos
-        w = w.withColumn("reason", F.when(ok, Q.token_reason(F.col("record_tokens"), F.col("prompt_tokens"), F.col("response_tokens"), cfg.bounds)).otherwise(F.col("reason")))
+        trained = lambda x: x["train"]
+        replies = F.transform(F.filter(s, trained), lambda x: X.strip(D.render_segment(x))) if cfg.kind == "logic" else F.array(D.render(s, trained))
+        texts = F.concat(F.array(D.render(s), D.render(s, lambda x: ~x["train"])), replies)
+        w = w.withColumn("_n", count_udf(wp)(F.when(ok, texts)))
+        each = F.slice("_n", F.lit(3), F.size("_n"))
+        w = w.withColumn("record_tokens", F.get("_n", F.lit(0)) + 2).withColumn("prompt_tokens", F.get("_n", F.lit(1)))  # with bos and eos
+        w = w.withColumn("response_tokens", F.when(ok, F.aggregate(each, F.lit(0), lambda a, n: a + n)))
+        record, prompt = F.col("record_tokens"), F.col("prompt_tokens")
+        then = Q.logic_reason(s, cfg.bounds, record, prompt, each) if cfg.kind == "logic" else Q.token_reason(record, prompt, F.col("response_tokens"), cfg.bounds)
+        w = w.withColumn("reason", F.when(ok, then).otherwise(F.col("reason"))).drop("_n")
     return w.withColumn("valid", F.col("reason") == "ok")
 
 
@@ -86,21 +99,47 @@ def order_of(cfg: BuildConfig) -> list[str]:
     return ["id", "turn", "size"] if cfg.mode == "window" else ["id", "turn"]
 
 
+TOKEN_SUMS = {"sum_record_tokens": "record_tokens", "sum_prompt_tokens": "prompt_tokens", "sum_response_tokens": "response_tokens"}
+
+
 def build(records: DataFrame, cfg: BuildConfig, wp: WordPiece | None = None) -> tuple[DataFrame, DataFrame]:
-    """Accepted windows as canonical records, and counters per source.
+    """Accepted windows as canonical records, and statistics per source.
 
-    With a quota, windows behind the one that fills it aren't counted.
+    Statistics: scanned dialogues, candidate windows, written, duplicates, skipped with
+    their reasons, token sums (with a tokenizer) and `written_chars`, the characters of
+    the records as JSON.  Windows behind the one that fills a source's quota, or the
+    whole build, aren't counted.  The narrow part of every window is judged and written
+    once; only accepted windows are built again, for their records.
     """
     order = order_of(cfg)
-    w = U.first_valid(reasoned(windows(dialogs(records, cfg.flat), cfg), cfg, wp), "prompt_hash", order)
+    d = dialogs(records, cfg.flat)
+    j = reasoned(windows(d, cfg), cfg, wp)
+    counts = [c for c in TOKEN_SUMS.values() if c in j.columns]
+    narrow = cut_lineage(j.select("source", *order, "prompt_hash", "reason", "valid", *counts))
+    w = U.first_valid(narrow, "prompt_hash", order)
     if cfg.quota:
         got = U.source_quota(w.where(F.col("status") == "accepted"), "source", order, cfg.quota)
-        last = got.where(F.col("rank") == cfg.quota).select("source", F.struct(*order).alias("_last"))
-        w = w.join(F.broadcast(last), "source", "left").where(F.col("_last").isNull() | (F.struct(*order) <= F.col("_last"))).drop("_last")
-    accepted = U.number(w.where(F.col("status") == "accepted"), cfg.id_pattern, ["source", *order], col="record_id")
-    meta = F.to_json(F.struct(F.col("id").alias("dialog"), F.col("turn"), D.turn_count(F.col("window")).alias("window_turns")))
-    out = R.make_record(accepted, F.col("record_id"), F.col("source"), F.col("window"), meta, F.lit("sft"))
-    return out, U.counters(w, ["source"])
+        last = got.where(F.col("rank") == cfg.quota).select("source", F.struct(*order).alias("_last"))  # one row per full source
+        w = w.join(last, "source", "left").where(F.col("_last").isNull() | (F.struct(*order) <= F.col("_last"))).drop("_last")
+    accepted = cut_lineage(U.number(w.where(F.col("status") == "accepted"), cfg.id_pattern, ["source", *order], col="record_id", limit=cfg.max_total))
+    if cfg.max_total is not None:
+        end = accepted.agg(F.count(F.lit(1)).alias("_n"), F.max(F.struct("source", *order)).alias("_end"))  # one row
+        w = w.join(F.broadcast(end), F.lit(True)).where((F.col("_n") < cfg.max_total) | (F.struct("source", *order) <= F.col("_end"))).drop("_n", "_end")
+    full = windows(d, cfg).join(accepted.select(*order, "record_id", *counts), order)
+    meta = F.to_json(F.struct(F.col("id").alias("dialog"), F.col("turn"), D.turn_count(F.col("window")).alias("window_turns"), *counts))
+    out = R.make_record(full, F.col("record_id"), F.col("source"), F.col("window"), meta, F.lit("sft"), compose=False)
+    stats = U.counters(w, ["source"], sums={k: v for k, v in TOKEN_SUMS.items() if v in counts}, dialog="id")
+    return out, stats.join(written_chars(out), "source", "left").withColumn("written_chars", F.coalesce("written_chars", F.lit(0)))
+
+
+def written_chars(records: DataFrame) -> DataFrame:
+    """(source, written_chars): characters of the records as JSON lines."""
+    return records.groupBy("source").agg(F.sum(F.length(F.to_json(F.struct(*records.columns)))).cast("bigint").alias("written_chars"))
+
+
+def totals(stats: DataFrame) -> DataFrame:
+    """One row: the sums over all sources of a build's statistics."""
+    return stats.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c, t in stats.dtypes if t == "bigint"])
 
 
 def merge_corpora(corpora: Iterable[tuple[str, DataFrame]], dedupe: bool = True) -> tuple[DataFrame, DataFrame]:
@@ -129,12 +168,14 @@ def chat_mix(sources: list[tuple[str, DataFrame, int]], max_turns: int = 12, max
     ready = []
     for name, df, quota in sources:
         s = D.trim_budget(D.compact(F.col("segments"), clean=lambda c: X.normalize_text(F.replace(c, F.lit("_comma_"), F.lit(",")), False)), max_turns, max_chars)
-        d = df.select("id", s.alias("segments")).withColumn("valid", Q.chat_mix_ok(F.col("segments"), **bounds))
+        d = df.select("id", X.nfc_segments(F.col("segments")).alias("segments")).select("id", s.alias("segments")).withColumn("valid", Q.chat_mix_ok(F.col("segments"), **bounds))
         ready.append((name, d.withColumn("hash", D.record_key(F.col("segments"), with_train=False, roles=("user", "assistant"))), quota))
     return U.fold_sources(ready, "hash", ["id"])
 
 
-def text_records(documents: DataFrame, min_chars: int = 1, max_chars: int = 20_000) -> DataFrame:
-    """(doc_id, source, text) of texts with at least `min_chars` characters, cut to `max_chars`."""
-    t = X.normalize_text(F.col("text"), False)
-    return documents.select("doc_id", "source", t.alias("text")).where(F.length("text") >= min_chars).withColumn("text", X.rstrip(F.substring("text", 1, max_chars)))
+def text_records(documents: DataFrame, min_chars: int = 1, max_chars: int | None = 6000, max_records: int | None = None) -> DataFrame:
+    """(doc_id, source, text) of texts with at least `min_chars` characters, cut to `max_chars`; `max_records` keeps the first by doc_id."""
+    t = documents.select("doc_id", "source", X.normalize_text(F.col("text")).alias("text")).where(F.length("text") >= min_chars)
+    if max_chars is not None:
+        t = t.withColumn("text", X.rstrip(F.substring("text", 1, max_chars)))
+    return t if max_records is None else t.orderBy("doc_id").limit(max_records)

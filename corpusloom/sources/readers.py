@@ -7,6 +7,7 @@ then read like other text.
 
 from __future__ import annotations
 
+import csv
 import gzip
 import io
 import json
@@ -22,7 +23,8 @@ from pyspark.sql import types as T
 
 from corpusloom.functions import text as X
 from corpusloom.operators import records as R
-from corpusloom.operators.dialog import alternating, segment
+from corpusloom.operators.dedup import seeded_order
+from corpusloom.operators.dialog import alternating, compact, segment
 from corpusloom.schema import RECORD
 
 # Encodings tried in this order; the last one replaces what it can't read.
@@ -67,18 +69,22 @@ def whole_texts(spark: SparkSession, path: str) -> DataFrame:
 def lines(spark: SparkSession, path: str, keep_blank: bool = False) -> DataFrame:
     """(file, line_no, value): lines split at LF, numbered from 1 within their file; gzip by suffix.
 
-    The numbers come from the order of rows within each partition and file, so large
-    files are read unsplit only by the numbering, never by the parsing.
+    A file is read in blocks; a line's number is its place in its block plus the lines
+    of the file's earlier blocks, a table of one row per block that is joined back, so
+    no task holds more than a block.
     """
     t = spark.read.option("lineSep", "\n").text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), F.regexp_replace("value", "\r$", "").alias("value"))
-    n = t.withColumn("line_no", F.row_number().over(Window.partitionBy("file").orderBy("block", "at"))).drop("block", "at")
-    return (n if keep_blank else n.where(X.strip(F.col("value")) != "")).select("file", "line_no", "value")
+    n = t.groupBy("file", "block").agg(F.count(F.lit(1)).alias("n"))
+    begin = n.select("file", "block", (F.sum("n").over(Window.partitionBy("file").orderBy("block")) - F.col("n")).alias("begin"))
+    own = t.withColumn("i", F.row_number().over(Window.partitionBy("file", "block").orderBy("at")))
+    out = own.join(begin, ["file", "block"]).select("file", (F.col("i") + F.col("begin")).cast("bigint").alias("line_no"), "value")
+    return out if keep_blank else out.where(X.strip(F.col("value")) != "")
 
 
 def json_lines(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
     """(file, line_no, value) of JSON lines; malformed ones raise an error, or are left out if not `strict`."""
     rows = lines(spark, path)
-    ok = F.try_parse_json("value").isNotNull()
+    ok = X.json_value(F.col("value")).isNotNull()
     if not strict:
         return rows.where(ok)
     return rows.withColumn("value", F.when(ok, F.col("value")).otherwise(F.raise_error(F.concat(F.lit("malformed JSON in line "), F.col("line_no").cast("string")))))
@@ -91,17 +97,17 @@ def json_document(spark: SparkSession, path: str) -> DataFrame:
     return t.select(F.explode(items).alias("v")).select(F.to_json("v").alias("value"))
 
 
-def read_corpus(spark: SparkSession, path: str, fmt: str = "auto", source: str | None = None) -> DataFrame:
-    """(ord, kind, source, segments, rejected) of a corpus file in any supported format."""
+def read_corpus(spark: SparkSession, path: str, fmt: str = "auto", source: str | None = None, labels: bool = False, strict: bool = False) -> DataFrame:
+    """(ord, kind, source, segments, rejected) of a corpus file in any supported format; `labels` reads role labels in plain text, `strict` fails on bad payloads."""
     fmt = resolve_format(path, fmt)
     src = F.lit(source or path)
     if fmt == "text":
-        return whole_texts(spark, path).select(F.lit(1).alias("ord"), F.lit("text").alias("kind"), src.alias("source"), R.text_segments(F.col("text")).alias("segments"), F.array().cast("array<struct<role:string,content:string,train:boolean>>").alias("rejected"))
+        return whole_texts(spark, path).select(F.lit(1).alias("ord"), F.lit("text").alias("kind"), src.alias("source"), R.text_segments(F.col("text"), labels).alias("segments"), F.array().cast("array<struct<role:string,content:string,train:boolean>>").alias("rejected"))
     if fmt == "json":
         rows = json_document(spark, path).withColumn("ord", F.monotonically_increasing_id())
     else:
         rows = json_lines(spark, path).select(F.col("line_no").alias("ord"), "value")
-    return R.parse_payloads(rows, "value", "ord").withColumn("source", F.coalesce("source", src))
+    return R.parse_payloads(rows, "value", "ord", strict).withColumn("source", F.coalesce("source", src))
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
@@ -154,6 +160,69 @@ def members(data: bytes):
         yield "", gzip.decompress(data)
 
 
+def archive_csv(spark: SparkSession, path: str, names: list[str] | None = None) -> DataFrame:
+    """(archive, member, row_no, row) of the CSV members of archives: quoted fields may hold line breaks, the header names the keys of `row`."""
+    wanted = None if names is None else frozenset(names)
+
+    def run(batches):
+        for pdf in batches:
+            for p, b in zip(pdf["path"], pdf["content"], strict=True):
+                for name, data in members(bytes(b)):
+                    if wanted is None or name in wanted:
+                        rows = csv.DictReader(io.StringIO(decode_bytes(data), newline=""))
+                        out = [(p, name, i, {k: v for k, v in r.items() if isinstance(k, str) and isinstance(v, str)}) for i, r in enumerate(rows)]
+                        yield pd.DataFrame(out, columns=["archive", "member", "row_no", "row"])
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "archive string, member string, row_no bigint, row map<string,string>")
+
+
+def utterance_dialogues(rows: DataFrame) -> DataFrame:
+    """(member, conv_id, segments, context, prompt) of utterance rows as `archive_csv` gives them, ordered by `utterance_idx` as a number."""
+    at = lambda k: F.coalesce(F.try_element_at("row", F.lit(k)), F.lit(""))
+    u = rows.select("member", at("conv_id").alias("conv_id"), F.coalesce(at("utterance_idx").try_cast("int"), F.lit(0)).alias("idx"), at("speaker_idx").alias("who"), at("utterance").alias("said"), F.struct("row_no", at("context").alias("context"), at("prompt").alias("prompt")).alias("m"))
+    meta = u.groupBy("member", "conv_id").agg(F.min(F.struct("idx", "m")).alias("f"))
+    talk = R.speaker_roles(u, ["member", "conv_id"], "idx", "who", "said")
+    talk = talk.withColumn("segments", X.nfc_segments(F.col("segments"))).withColumn("segments", compact(F.col("segments"), clean=lambda c: X.clean_each_line(c, False)))
+    return talk.join(meta, ["member", "conv_id"]).select("member", "conv_id", "segments", "f.m.context", "f.m.prompt")
+
+
+def movie_dialogues(spark: SparkSession, path: str) -> DataFrame:
+    """(conv, movie, segments) of a zip with `movie_lines.txt` and `movie_conversations.txt`, latin-1, split at ' +++$+++ '.
+
+    Rows with too few fields are left out; of repeated line ids the last counts.
+    """
+    m = member_lines(archive_members(spark, path, encoding="latin-1"))
+    own = lambda name: m.where(F.col("member").endswith(f"/{name}") | (F.col("member") == name))
+    said = own("movie_lines.txt").select("line_no", delimited(F.col("value")).alias("f")).where(F.size("f") == 5)
+    said = said.select("line_no", F.get("f", F.lit(0)).alias("line"), X.clean_each_line(F.get("f", F.lit(4))).alias("text"))
+    talk = own("movie_conversations.txt").select(F.col("line_no").alias("conv"), delimited(F.col("value"), fields=4).alias("f")).where(F.size("f") == 4)
+    talk = talk.select("conv", F.get("f", F.lit(2)).alias("movie"), X.literal_list(F.get("f", F.lit(3))).alias("ids"))
+    return talk.select("conv", "movie").join(R.line_id_join(talk, "conv", "ids", said, "line", "text", "line_no"), "conv")
+
+
+def skill_dialogues(table: DataFrame) -> DataFrame:
+    """(…, segments): `previous_utterance` by turns, then `free_messages` and `guided_messages` in pairs, merged; null arrays are empty."""
+    none = F.array().cast("array<string>")
+    before = alternating(F.coalesce("previous_utterance", none))
+    s = F.concat(before, R.paired_utterances(F.coalesce("free_messages", none), F.coalesce("guided_messages", none)))
+    return table.withColumn("segments", X.nfc_segments(s)).withColumn("segments", compact(F.col("segments"), clean=lambda c: X.clean_each_line(c, False)))
+
+
+def dataset(spark: SparkSession, root: str, name: str, subset: str | None = None, split: str = "train", seed: int | None = None) -> DataFrame:
+    """A split of a dataset laid out as root/name[/subset]/split.parquet, .jsonl, .json or .csv (a file or folder); with `seed` its rows in the seed's order.
+
+    The connector of dataset hubs: whatever fetched the files, the split is one scan.
+    """
+    folder = "/".join(x.strip("/") if i else x.rstrip("/") for i, x in enumerate((root, name, subset)) if x)
+    fs = spark.sparkContext._jvm.org.apache.hadoop.fs
+    for suffix, read in (("parquet", spark.read.parquet), ("jsonl", spark.read.json), ("json", lambda p: spark.read.json(p, multiLine=True)), ("csv", lambda p: csv_rows(spark, p))):
+        path = fs.Path(f"{folder}/{split}.{suffix}")
+        if path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+            df = read(path.toString())
+            return df if seed is None else seeded_order(df, seed, *[c for c, t in df.dtypes if "map<" not in t and t != "variant"])
+    raise FileNotFoundError(f"no split {split!r} below {folder}")
+
+
 def member_lines(df: DataFrame) -> DataFrame:
     """(archive, member, line_no, value) of the non-blank lines of archive members."""
     return df.select("archive", "member", F.posexplode(F.split(X.unify_newlines(F.col("text")), "\n")).alias("p", "value")).where(X.strip(F.col("value")) != "").select("archive", "member", (F.col("p") + 1).alias("line_no"), "value")
@@ -204,88 +273,116 @@ def union_splits(spark: SparkSession, paths: list[str]) -> DataFrame:
     return out
 
 
-class _Blocks(HTMLParser):
-    """Title and text of paragraphs (and divs) of a page, with the selectors each lies in."""
+# Elements without content, and elements whose content is no text.
+VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
+UNSEEN = frozenset("script style template".split())
+#: Selectors of an article's body, the first with any text wins: a tag, a class, or a part of the class attribute.
+NEWS_BODIES = ("article", ".article-content", ".news-content", ".content", '[class*="article"]', '[class*="news"]')
+
+
+class _Node:
+    __slots__ = ("tag", "attrs", "items")
+
+    def __init__(self, tag: str, attrs: dict[str, str]):
+        self.tag, self.attrs, self.items = tag, attrs, []
+
+    def below(self):
+        """All elements inside, in the order of their start tags."""
+        for x in self.items:
+            if isinstance(x, _Node):
+                yield x
+                yield from x.below()
+
+    def text(self) -> str:
+        return "".join(x if isinstance(x, str) else "" if x.tag in UNSEEN else x.text() for x in self.items)
+
+    def classes(self) -> list[str]:
+        return self.attrs.get("class", "").split()
+
+    def matches(self, selector: str) -> bool:
+        if selector.startswith("."):
+            return selector[1:] in self.classes()
+        if selector.startswith("[class*="):
+            return selector[9:-2] in self.attrs.get("class", "")
+        return self.tag == selector
+
+
+class _Tree(HTMLParser):
+    """A page's elements; an end tag closes what is open inside its element, and none if the element isn't open."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, set[str]]] = []
-        self.open: list[tuple[int, list[str]]] = []
-        self.blocks: list[tuple[str, frozenset[str], str]] = []
-        self.title = ""
+        self.root = _Node("", {})
+        self.open = [self.root]
 
     def handle_starttag(self, tag, attrs):
-        if tag in ("br", "img", "meta", "link", "hr", "input"):
-            return
-        a = dict(attrs)
-        own = {tag} | {f".{c}" for c in (a.get("class") or "").split()} | ({f"#{a['id']}"} if a.get("id") else set())
-        self.stack.append((tag, own))
-        if tag in ("p", "div", "h1"):
-            self.open.append((len(self.stack), []))
+        n = _Node(tag, {k: v or "" for k, v in attrs})
+        self.open[-1].items.append(n)
+        if tag not in VOID:
+            self.open.append(n)
 
     def handle_endtag(self, tag):
-        while self.stack:
-            top, _ = self.stack[-1]
-            if self.open and self.open[-1][0] == len(self.stack):
-                _, parts = self.open.pop()
-                around = frozenset().union(*(s for _, s in self.stack))
-                said = " ".join("".join(parts).split())
-                if top == "h1" and not self.title:
-                    self.title = said
-                self.blocks.append((top, around, said))
-            self.stack.pop()
-            if top == tag:
-                break
+        at = next((i for i in range(len(self.open) - 1, 0, -1) if self.open[i].tag == tag), 0)
+        if at:
+            del self.open[at:]
 
     def handle_data(self, data):
-        for _, parts in self.open:
-            parts.append(data)
+        self.open[-1].items.append(data)
 
 
-def page_blocks(html: str | None) -> tuple[str, list[tuple[str, frozenset[str], str]]]:
-    p = _Blocks()
-    p.feed(html or "")
-    while p.stack:
-        p.handle_endtag(p.stack[-1][0])
-    return p.title, p.blocks
+def page(html: str | None) -> _Node:
+    t = _Tree()
+    t.feed(html or "")
+    t.close()
+    return t.root
 
 
 PAGE = T.StructType([T.StructField("title", T.StringType()), T.StructField("content", T.StringType())])
 
 
-def article_udf(paragraphs: int = 5, least: int = 50):
-    """Encyclopedia page → title and its first `paragraphs` paragraphs that are longer than `least`."""
+def encyclopedia_article(html: str | None, paragraphs: int = 5, least: int = 50) -> tuple[str | None, str]:
+    """Heading (null without one) and, of the first `paragraphs` paragraphs of the body, those longer than `least`."""
+    every = list(page(html).below())
+    head = next((n for n in every if n.tag == "h1" and "firstHeading" in n.classes()), None)
+    body = next((n for n in every if n.tag == "div" and "mw-parser-output" in n.classes()), None)
+    first = [n.text().strip() for n in body.below() if n.tag == "p"][:paragraphs] if body else []
+    return head.text() if head else None, "\n\n".join(t for t in first if len(t) > least)
+
 
+def news_article(html: str | None, selectors: tuple[str, ...] = NEWS_BODIES, least: int = 30, total: int = 100) -> tuple[str | None, str]:
+    """Title (the first h1, else the page's, else null) and body; '' for a body up to `total` characters.
+
+    The body is the paragraphs and divisions, longer than `least`, of the first element
+    that has any, by the order of the selectors; nested ones repeat their text.
+    """
+    every = list(page(html).below())
+    head = next((n for n in every if n.tag == "h1"), None) or next((n for n in every if n.tag == "title"), None)
+    text = ""
+    for s in selectors:
+        for n in every:
+            if not text and n.matches(s):
+                text = "".join(f"{t}\n\n" for t in (x.text().strip() for x in n.below() if x.tag in ("p", "div")) if len(t) > least)
+        if text:
+            break
+    return head.text().strip() if head else None, text.strip() if len(text) > total else ""
+
+
+def _page_udf(parse, *args):
     @F.pandas_udf(PAGE)
     def run(s: pd.Series) -> pd.DataFrame:
-        out = []
-        for h in s:
-            title, blocks = page_blocks(h)
-            first = [t for k, _, t in blocks if k == "p"][:paragraphs]
-            out.append((title, "\n".join(t for t in first if len(t) > least)))
-        return pd.DataFrame(out, columns=["title", "content"])
+        return pd.DataFrame([parse(h, *args) for h in s], columns=["title", "content"])
 
     return run
 
 
-def news_udf(selectors: tuple[str, ...] = ("article", ".article-content", ".content", "#content", "main"), least: int = 30, total: int = 100):
-    """News page → title and the blocks of the first selector that has any; '' if the article is too short."""
+def article_udf(paragraphs: int = 5, least: int = 50):
+    """Encyclopedia page → (title, content), see `encyclopedia_article`."""
+    return _page_udf(encyclopedia_article, paragraphs, least)
 
-    @F.pandas_udf(PAGE)
-    def run(s: pd.Series) -> pd.DataFrame:
-        out = []
-        for h in s:
-            title, blocks = page_blocks(h)
-            text = ""
-            for sel in selectors:
-                got = [t for k, around, t in blocks if sel in around and k in ("p", "div") and len(t) > least]
-                if got:
-                    text = "\n".join(dict.fromkeys(got))
-                    break
-            out.append((title, text if len(text) > total else ""))
-        return pd.DataFrame(out, columns=["title", "content"])
 
-    return run
+def news_udf(selectors: tuple[str, ...] = NEWS_BODIES, least: int = 30, total: int = 100):
+    """News page → (title, content), see `news_article`."""
+    return _page_udf(news_article, selectors, least, total)
 
 
 def vocabulary(spark: SparkSession, path: str) -> DataFrame:

@@ -34,14 +34,19 @@ def write_document(rows: DataFrame, path: str) -> None:
     crawl_metadata(rows).select(F.struct("total", "categories", "sources").alias("metadata")).crossJoin(data).select(F.to_json(F.struct("metadata", "data")).alias("value")).coalesce(1).write.mode("overwrite").text(path)
 
 
-def content_hash(df: DataFrame, order: str, text: str) -> DataFrame:
+def content_hash(df: DataFrame, order: str, text: str, levels: int = 4) -> DataFrame:
     """(sha, chars): SHA-256 over the sorted hashes of all texts, and their characters.
 
-    A hash of hashes: the corpus is never joined to one string.
+    A tree of hashes, three hexadecimal digits a level: with the four levels a group
+    has more than some thousand hashes only above 10^17 texts, and no task ever holds
+    more than one group.
     """
-    h = df.select(F.sha2(F.concat_ws("\x00", F.col(order).cast("string"), F.coalesce(text, F.lit(""))), 256).alias("h"), F.length(F.coalesce(text, F.lit(""))).alias("n"))
-    bucketed = h.groupBy(F.substring("h", 1, 3).alias("b")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ""), 256).alias("h"), F.sum("n").alias("n"))
-    return bucketed.agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat("b", "h"))), ""), 256).alias("sha"), F.coalesce(F.sum("n"), F.lit(0)).alias("chars"))
+    n = F.coalesce(text, F.lit(""))
+    h = df.select(F.sha2(F.concat_ws("\x00", F.col(order).cast("string"), n), 256).alias("h"), F.length(n).cast("bigint").alias("n"))
+    h = h.select(F.col("h").alias("b"), "h", "n")
+    for k in range(levels, -1, -1):
+        h = h.groupBy(F.substring("b", 1, 3 * k).alias("b")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat("b", "h"))), ""), 256).alias("h"), F.sum("n").alias("n"))
+    return h.agg(F.coalesce(F.max("h"), F.sha2(F.lit(""), 256)).alias("sha"), F.coalesce(F.sum("n"), F.lit(0)).alias("chars"))
 
 
 def write_token_cache(packed: DataFrame, path: str, manifest: dict) -> None:

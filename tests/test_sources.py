@@ -71,12 +71,46 @@ def test_dialogue_shapes(spark):
 
 
 def test_html(spark):
-    html = "<div class='content'><h1>T <b>x</b></h1><p>" + "a " * 40 + "</p><p>short</p><div><p>" + "b" * 60 + "</p></div></div>"
-    f = spark.createDataFrame([(html,), (None,), ("<p>open",)], "h string")
-    a = f.select(S.article_udf()(F.col("h")).alias("a")).collect()
-    assert a[0]["a"]["title"] == "T x" and a[0]["a"]["content"].split("\n")[1] == "b" * 60 and a[1]["a"]["content"] == ""
-    n = f.select(S.news_udf()(F.col("h")).alias("a")).first()["a"]
-    assert "b" * 60 in n["content"] and "short" not in n["content"].split("\n")
+    first = "<p>" + "a " * 40 + "</p><p> short </p>" + "<div><p>" + "b" * 60 + "</p></div><p>x</p><p>y</p><p>" + "c" * 60 + "</p>"
+    html = f"<title>W</title><h1 class='x firstHeading'>T <b>x</b></h1><p>{'z' * 60}</p><div class='mw-parser-output'>{first}</div>"
+    f = spark.createDataFrame([(html,), (None,), ("<p>open<script>s</script>",)], "h string")
+    a = [r["a"] for r in f.select(S.article_udf()(F.col("h")).alias("a")).collect()]
+    # Of the first five paragraphs the long ones: the sixth isn't taken for a short one.
+    assert a[0]["title"] == "T x" and a[0]["content"] == ("a " * 40).strip() + "\n\n" + "b" * 60 and tuple(a[1]) == tuple(a[2]) == (None, "")
+
+
+def test_news(spark):
+    long = "n" * 40
+    body = f"<p>{long}</p><div><p>{long}</p> tail</div><p>short</p>"
+    pages = [f"<h1> H </h1><div class='content'>{body}</div>", f"<title>T</title><div class='my-article-x'>{body}</div><div class='content'><p>{'k' * 101}</p></div>", f"<article><p>{long}</p></article>", f"<article><p>no</p></article><article>{body}</article>", "", "<main>" + body + "</main>"]
+    got = [tuple(r["a"]) for r in spark.createDataFrame(list(enumerate(pages)), "i int, h string").orderBy("i").select(S.news_udf()(F.col("h")).alias("a")).collect()]
+    whole = "\n\n".join([long, long + " tail", long])
+    assert got == [("H", whole), ("T", "k" * 101), (None, ""), (None, whole), (None, ""), (None, "")]
+
+
+def test_datasets_and_archives(spark, tmp_path):
+    rows = "conv_id,utterance_idx,context,prompt,speaker_idx,utterance\nc,10,x,p,2,\"last, yes\"\nc,2,x,p,1,\"two\nlines\"\nc,9,x,p,3,third\n"
+    with tarfile.open(tmp_path / "t.tar.gz", "w:gz") as t:
+        for name in ("d/train.csv", "d/other.csv"):
+            i = tarfile.TarInfo(name)
+            i.size = len(rows.encode())
+            t.addfile(i, io.BytesIO(rows.encode()))
+    r = S.utterance_dialogues(S.archive_csv(spark, str(tmp_path / "t.tar.gz"), ["d/train.csv"])).collect()
+    assert [(x["member"], x["conv_id"], shape(x["segments"]), x["context"]) for x in r] == [("d/train.csv", "c", ["u:two\nlines", "a:third\nlast, yes*"], "x")]
+    with zipfile.ZipFile(tmp_path / "m.zip", "w") as z:
+        s = " +++$+++ "
+        z.writestr("c/movie_lines.txt", "\n".join([s.join(["L1", "u0", "m0", "A", "h\xe9 "]), s.join(["L2", "u1", "m0", "B", "old"]), s.join(["L2", "u1", "m0", "B", "new"]), "L3 too short"]).encode("latin-1"))
+        z.writestr("c/movie_conversations.txt", s.join(["u0", "u1", "m0", "['L1', 'L2', 'L9', 'L1']"]) + "\nbad")
+    r = S.movie_dialogues(spark, str(tmp_path / "m.zip")).collect()
+    assert [(x["movie"], shape(x["segments"])) for x in r] == [("m0", ["u:h\xe9", "a:new*", "a:h\xe9*"])]
+    t = spark.createDataFrame([(1, ["p", "q"], ["u1", "u2"], ["g1"]), (2, None, None, ["g"])], "i int, previous_utterance array<string>, free_messages array<string>, guided_messages array<string>")
+    assert [shape(x["segments"]) for x in S.skill_dialogues(t).orderBy("i").collect()] == [["u:p", "a:q*", "u:u1", "a:g1*"], []]
+    t.write.parquet(str(tmp_path / "hub/set/sub/train.parquet"))
+    assert S.dataset(spark, str(tmp_path / "hub"), "set", "sub").count() == 2
+    once, again = (S.dataset(spark, str(tmp_path / "hub"), "set", "sub", seed=3).collect() for _ in range(2))
+    assert once == again
+    with pytest.raises(FileNotFoundError):
+        S.dataset(spark, str(tmp_path / "hub"), "set", None, "test")
 
 
 def test_sinks(spark, tmp_path):

@@ -49,7 +49,7 @@ def test_windows_xy(spark):
         assert len(r["x"]) == len(r["y"]) == 6 and any(y != -100 for y in r["y"])
     short = next(r for r in w if r["o"] == 1)
     assert short["x"] == [2, 7, 8, 0, 0, 0] and short["y"] == [-100, 8, 3, -100, -100, -100]
-    c = spark.createDataFrame([([True, True, False, True],)], "m array<boolean>").select(K.supervised_chunks(F.col("m"), F.col("m")).alias("c")).first()["c"]
+    c = spark.createDataFrame([([True, True, False, True],)], "m array<boolean>").select(K.supervised_chunks(F.col("m")).alias("c")).first()["c"]
     assert [tuple(x) for x in c] == [(0, 2), (3, 4)]
 
 
