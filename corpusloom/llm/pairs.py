@@ -2,9 +2,9 @@
 
 Prompt and response tokens are aligned — shingle containment first, then the
 longest common subsequence — to flag copies; sentences of the response are aligned
-with refusal templates, whose slots must occur in order.  Truncation is told by
-open brackets, quotes, fences and rows, and by how often the last words end a
-sentence elsewhere; the language by the rank-order profiles.
+with refusal templates, sequences of slots that must occur in order.  Truncation is
+told by open brackets, quotes, fences and rows, and by how often the last words end a
+sentence elsewhere, counted over all records; the language by the rank-order profiles.
 """
 
 from __future__ import annotations
@@ -18,9 +18,13 @@ from pyspark.sql import functions as F
 from corpusloom.functions.text import normalize_role
 from corpusloom.llm.language import CLOSE, Profiles, is_sentence, segment_languages
 from corpusloom.llm.sentences import split_sentences
-from corpusloom.operators.skew import spread
+from corpusloom.operators.skew import cut_lineage, join_unique
 
 SHINGLE = 5
+#: Share of an answer's shingles, or of its words, that a copy has in common with its question.
+CONTAINED, WORDS = 0.8, 0.6
+#: Share of the tokens of both that the common subsequence must hold; a token of scripts without blanks is one character.
+SPACED_SHARE, DENSE_SHARE = 0.75, 0.85
 TOKENS = re.compile(r"[぀-ヿ㐀-鿿฀-๿]|[^\W_]+(?:['’][^\W_]+)*")
 DENSE = re.compile("[぀-ヿ㐀-鿿฀-๿]")
 HAN_RUN = re.compile("[㐀-鿿]{2,}|[゠-ヿ]{2,}")
@@ -51,46 +55,164 @@ LANGUAGE_NAMES = {
     "th": "thai tailandés tailandês thaï thaïlandais thailändisch тайск 泰语 泰文 タイ語 ไทย",
 }
 
-# Refusal templates: slots that must follow each other within one sentence.
-_CANNOT = (
-    r"(?:can(?:no|')?t|cannot|can not|could not|couldn't|won't|will not|won't be able|wouldn't be able|unable|not able|not allowed|not permitted|not in a position|not possible|impossible"
-    r"|must decline|have to decline|have to refuse|must refuse|decline|refuse|don't feel comfortable|not comfortable|told not|been instructed not|against my|would rather not|prefer not)"
-)
-_ACT = (
-    r"(?:help|assist|answer|respond|reply|do what you ask|do that|do this|fulfil+|comply|complete|provide|share|give|offer|discuss|comment|talk|speak|write|produce|create|generate|go into|engage|support"
-    r"|handle|continue|disclose|reveal|advise|accommodate|satisfy|carry out|perform|cover)"
-)
+# Refusal templates.  A slot is a list of phrases, one of which must stand there; a phrase ending in * may go on within
+# its word.  A template is a sequence of slots with, behind each, how many characters may lie before the next one.
+SLOTS = {
+    # English
+    "self": "i|i'm|i've|i'll|we|we're|it's|it is|as an ai|as a language model|as an assistant|as a large language model|this is something i'm|as an ai model|as an ai language model",
+    "cannot": "can't|cant|cannot|can not|could not|couldn't|won't|will not|won't be able|wouldn't be able|unable|not able|not allowed|not permitted|not in a position|not possible|impossible"
+    "|must decline|have to decline|have to refuse|must refuse|decline|refuse|don't feel comfortable|not comfortable|told not|been instructed not|against my|would rather not|prefer not",
+    "but": "enough|too much|too highly|too strongly|recommend|stress",
+    "act": "help*|assist*|answer*|respond*|reply*|do what you ask|do that|do this|fulfil*|comply*|complete*|provide*|share*|give*|offer*|discuss*|comment*|talk*|speak*|write*|produce*|create*|generate*|go into|engage*|support*"
+    "|handle*|continue*|disclose*|reveal*|advise*|accommodate*|satisfy*|carry out|perform*|cover*",
+    "model": "as an ai|as a language model|as a large language model|as an ai language model|as an ai model|as an assistant",
+    "i": "i|i'm|i've",
+    "not": "not|isn't|don't|can't|won't|unable|cannot",
+    "sorry": "sorry|regret|apologise|apologize|unfortunately|regrettably",
+    "bound": "can't|cannot|unable|not able|won't|must|have to|not allowed|refuse|decline",
+    "off": "not a topic|not a subject|not something|no topic|no subject",
+    "i can": "i can|i could|i am able|i'm able|i may|i will|we can",
+    "rules": "guideline*|rule*|policy|policies|instruction*|principles|programming|terms",
+    "prevent": "prevent*|forbid*|prohibit*|do not allow|don't allow|does not allow|doesn't allow|do not let|don't let|do not permit|don't permit|keep me from|stop me from|bar me",
+    # German
+    "de can": "kann|darf|möchte|werde",
+    "de not": "nicht|kein|keine|keinen|keiner",
+    "de act": "helfen|beantworten|geben|antworten|weiterhelfen|bereitstellen|erteilen|unterstützen|liefern|schreiben|besprechen|dienen|sagen|äußern|anbieten|erfüllen",
+    "de must": "muss|möchte",
+    "de refuse": "ablehnen|verweigern",
+    "de model": "als ki|als sprachmodell",
+    "de unable": "bin nicht in der lage",
+    # French
+    "fr self": "je|nous",
+    "fr ne": "ne",
+    "fr can": "peux|puis|suis|pourrai|veux|souhaite|saurais|pouvons",
+    "fr act": "aider|répondre|donner|fournir|partager|discuter|écrire|traiter|parler|satisfaire|autorisé|mesure|faire|commenter",
+    "fr must": "dois|devons",
+    "fr refuse": "refuser|décliner",
+    "fr model": "en tant que modèle|en tant que ia|en tant que assistant|en tant qu'assistant|en tant qu'ia",
+    # Spanish
+    "es no": "no",
+    "es can": "puedo|podré|podemos|debo|quiero|soy capaz|me es posible|estoy autorizado|estoy autorizada|estoy en condiciones",
+    "es act": "ayudar*|responder*|contestar*|dar*|proporcionar*|compartir*|hablar*|ofrecer*|escribir*|comentar*|hacer*|facilitar*|atender*",
+    "es must": "debo|tengo que",
+    "es refuse": "rechazar|negarme|rehusar",
+    "es model": "como modelo de lenguaje|como un modelo de lenguaje",
+    # Portuguese
+    "pt no": "não|nao",
+    "pt can": "posso|poderei|podemos|devo|quero|consigo|me é possível|estou autorizado|estou autorizada|sou capaz",
+    "pt act": "ajud*|respond*|dar*|fornec*|compartilh*|partilh*|fal*|oferec*|escrev*|coment*|faz*|atend*|discut*",
+    "pt must": "devo|tenho que|preciso",
+    "pt refuse": "recusar|declinar",
+    "pt model": "como modelo de linguagem|como um modelo de linguagem",
+    # Russian
+    "ru cannot": "не могу|не можем|не смогу|не вправе|не имею права|не в состоянии|не буду|не готов*",
+    "ru act": "помо*|ответ*|отвеч*|предостав*|дать|дава*|подел*|обсужд*|написа*|выполн*|сдела*|говор*|комментир*",
+    "ru must": "вынужден*|должен|должна",
+    "ru refuse": "отказ*",
+    "ru model": "как языковая модель",
+    "ru not": "не",
+}
+DENSE_SLOTS = {
+    # Chinese
+    "zh self": "我|本助手",
+    "zh cannot": "无法|不能|不便|不可以|没办法|难以|不会|不得不拒绝|必须拒绝|拒绝|没法|帮不了|帮不上",
+    "zh act": "回答|提供|讨论|帮|协助|答复|透露|分享|满足|处理|谈|写|完成|给出|评论",
+    "zh sorry": "抱歉|对不起|很遗憾|遗憾",
+    "zh model": "作为语言模型|作为一个语言模型|作为一名语言模型|作为人工智能|作为一个人工智能|作为一名人工智能|作为助手|作为一个助手|作为一名助手|语言模型",
+    "zh unable": "帮不了您|帮不了你",
+    # Japanese
+    "ja act": "お答え|回答|お手伝い|提供|お応え|対応|協力|お教え|共有|支援|ご案内|お話し|お受け|お助け",
+    "ja cannot": "できません|できない|できかねます|いたしかねます|しかねます|お断り",
+    "ja refuse": "お断りし|お断りいた|お断りさせ",
+    "ja model": "言語モデルとして|aiとして|アシスタントとして",
+    # Thai
+    "th cannot": "ไม่สามารถ|ไม่อาจ|ไม่ขอ|ขอปฏิเสธ",
+    "th act": "ช่วย|ตอบ|ให้|แบ่งปัน|พูด|เขียน|ดำเนินการ|แสดงความ|ทำ|บอก",
+    "th able": "ตอบ|ช่วย|ให้",
+    "th not": "ไม่ได้",
+    "th refuse": "ขอปฏิเสธ",
+}
 TEMPLATES = [
-    re.compile(p, re.I)
-    for p in (
-        rf"\b(?:i|i'm|i've|i'll|we|we're|it's|it is|this is something i'm|as an? (?:ai|language model|assistant))\b.{{0,40}}?\b{_CANNOT}\b(?!.{{0,30}}\b(?:enough|too (?:much|highly|strongly)|recommend|stress)\b).{{0,30}}?\b{_ACT}",
-        r"\bas an? (?:ai|large|language|assistant)[\w -]{0,20}(?:model|assistant)?,? i\b.{0,30}\b(?:not|n't|unable|cannot)\b",
-        r"\b(?:sorry|regret|apologi[sz]e|unfortunately|regrettably)\b.{0,40}\b(?:can't|cannot|unable|not able|won't|must|have to|not allowed|refuse|decline)\b.{0,40}\b" + _ACT,
-        # German
-        r"\b(?:kann|darf|möchte|werde)\b.{0,40}\b(?:nicht|keine?n?)\b.{0,40}\b(?:helfen|beantworten|geben|antworten|weiterhelfen|bereitstellen|erteilen|unterstützen|liefern|schreiben|besprechen|dienen|sagen|äußern|anbieten|erfüllen)\b",
-        r"\b(?:muss|möchte)\b.{0,30}\b(?:ablehnen|verweigern)\b|\bals (?:ki|sprachmodell)\b.{0,30}\b(?:nicht|keine)\b|\bbin nicht in der lage\b",
-        # French
-        r"\b(?:je|nous)\b.{0,12}\bne\b.{0,6}\b(?:peux|puis|suis|pourrai|veux|souhaite|saurais|pouvons)\b.{0,40}\b(?:aider|répondre|donner|fournir|partager|discuter|écrire|traiter|parler|satisfaire|autorisé|mesure|faire|commenter)\b",
-        r"\b(?:dois|devons)\b.{0,20}\b(?:refuser|décliner)\b|\ben tant que (?:modèle|ia|assistant)\b.{0,60}\bne\b",
-        # Spanish and Portuguese
-        r"\bno\b.{0,6}\b(?:puedo|podré|podemos|debo|quiero|soy capaz|me es posible|estoy autorizad[oa]|estoy en condiciones)\b.{0,40}\b(?:ayudar\w*|responder\w*|contestar\w*|dar\w*|proporcionar\w*|compartir\w*|hablar\w*|ofrecer\w*|escribir\w*|comentar\w*|hacer\w*|facilitar\w*|atender\w*)\b",
-        r"\bn[ãa]o\b.{0,6}\b(?:posso|poderei|podemos|devo|quero|consigo|me é possível|estou autorizad[oa]|sou capaz)\b.{0,40}\b(?:ajud\w*|respond\w*|dar\w*|fornec\w*|compartilh\w*|partilh\w*|fal\w*|oferec\w*|escrev\w*|coment\w*|faz\w*|atend\w*|discut\w*)\b",
-        r"\b(?:debo|tengo que|devo|tenho que|preciso)\b.{0,12}\b(?:rechazar|negarme|rehusar|recusar|declinar)\b|\bcomo (?:un )?modelo de (?:lenguaje|linguagem)\b.{0,60}\bn[oã]o?\b",
-        # Russian
-        r"\bне\s+(?:могу|можем|смогу|вправе|имею права|в состоянии|буду|готов\w*)\b.{0,40}\b(?:помо\w+|ответ\w+|отвеч\w+|предостав\w+|дать|дава\w+|подел\w+|обсужд\w+|написа\w+|выполн\w+|сдела\w+|говор\w+|комментир\w+)",
-        r"\b(?:вынужден\w*|должен|должна)\b.{0,20}\bотказ\w+|\bкак языковая модель\b.{0,60}\bне\b",
-    )
-] + [
-    re.compile(p)
-    for p in (
-        # Chinese, Japanese, Thai
-        r"(?:我|本助手).{0,8}(?:无法|不能|不便|不可以|没办法|难以|不会|不得不拒绝|必须拒绝|拒绝).{0,12}(?:回答|提供|讨论|帮|协助|答复|透露|分享|满足|处理|谈|写|完成|给出|评论)|(?:抱歉|对不起|很遗憾|遗憾).{0,16}(?:无法|不能|不便|帮不了|帮不上|拒绝|没法)|作为(?:一个|一名)?.{0,6}(?:语言模型|人工智能|助手).{0,12}(?:不能|无法|不便)|帮不了(?:您|你)",
-        r"(?:お答え|回答|お手伝い|提供|お応え|対応|協力|お教え|共有|支援|ご案内|お話し|お受け|お助け)(?:は|を|が)?(?:することが|することは)?(?:でき(?:ません|ない|かねます)|いたしかねます|しかねます|お断り)|お断り(?:し|いた|させ)|(?:言語モデル|AI|アシスタント)として.{0,30}(?:できません|できない|かねます)",
-        r"(?:ไม่สามารถ|ไม่อาจ|ไม่ขอ|ขอปฏิเสธ).{0,20}(?:ช่วย|ตอบ|ให้|แบ่งปัน|พูด|เขียน|ดำเนินการ|แสดงความ|ทำ|บอก)|(?:ตอบ|ช่วย|ให้).{0,24}(?:ไม่ได้)(?!ว่า)|ขอปฏิเสธ",
-    )
+    [("self", 40), ("cannot", 30), ("act", 0)],
+    [("model", 30), ("i", 30), ("not", 0)],
+    [("sorry", 40), ("bound", 40), ("act", 0)],
+    [("off", 20), ("i can", 20), ("act", 0)],
+    [("rules", 30), ("prevent", 0)],
+    [("de can", 40), ("de not", 40), ("de act", 0)],
+    [("de must", 30), ("de refuse", 0)],
+    [("de model", 30), ("de not", 0)],
+    [("de unable", 0)],
+    [("fr self", 12), ("fr ne", 6), ("fr can", 40), ("fr act", 0)],
+    [("fr must", 20), ("fr refuse", 0)],
+    [("fr model", 60), ("fr ne", 0)],
+    [("es no", 6), ("es can", 40), ("es act", 0)],
+    [("es must", 12), ("es refuse", 0)],
+    [("es model", 60), ("es no", 0)],
+    [("pt no", 6), ("pt can", 40), ("pt act", 0)],
+    [("pt must", 12), ("pt refuse", 0)],
+    [("pt model", 60), ("pt no", 0)],
+    [("ru cannot", 40), ("ru act", 0)],
+    [("ru must", 20), ("ru refuse", 0)],
+    [("ru model", 60), ("ru not", 0)],
+    [("zh self", 8), ("zh cannot", 12), ("zh act", 0)],
+    [("zh sorry", 16), ("zh cannot", 0)],
+    [("zh model", 12), ("zh cannot", 0)],
+    [("zh unable", 0)],
+    [("ja act", 8), ("ja cannot", 0)],
+    [("ja refuse", 0)],
+    [("ja model", 30), ("ja cannot", 0)],
+    [("th cannot", 20), ("th act", 0)],
+    [("th able", 24), ("th not", 0)],
+    [("th refuse", 0)],
 ]
-# The same without what must not follow: no sentence follows a template where none of these is found.
-HINTS = [re.compile(re.sub(r"\(\?!(?:[^()]|\((?:[^()]|\([^()]*\))*\))*\)", "", t.pattern), t.flags) for t in TEMPLATES]
+#: A slot that breaks a chain: none of its phrases may follow `cannot` within so many characters.
+GUARD = ("cannot", "but", 30)
+
+
+def _slot_pattern(phrases: str, dense: bool) -> re.Pattern:
+    one = [re.escape(x[:-1]) + r"\w*" if x.endswith("*") else re.escape(x) + ("" if dense else r"\b") for x in sorted(phrases.split("|"), key=len, reverse=True)]
+    return re.compile(("" if dense else r"\b") + "(?:" + "|".join(one) + ")")
+
+
+SLOT_PATTERNS = {k: _slot_pattern(v, False) for k, v in SLOTS.items()} | {k: _slot_pattern(v, True) for k, v in DENSE_SLOTS.items()}
+#: The rarest slot of each template; a text without any of them follows none.
+TRIGGERS = ("cannot", "not", "bound", "off", "prevent", "de not", "de refuse", "de unable", "fr ne", "fr refuse", "es no", "es refuse", "pt no", "pt refuse", "ru not", "ru refuse", "zh cannot", "zh unable", "ja cannot", "ja refuse", "th cannot", "th not", "th refuse")
+TRIGGER = re.compile("|".join(SLOT_PATTERNS[k].pattern for k in TRIGGERS))
+
+
+def aligned(text: str) -> list[tuple[int, int]]:
+    """Spans of a lower-case text that align with a refusal template: all its slots in order, each near enough to the one before.
+
+    For every prefix of a template the latest end of a chain that matches it is kept,
+    as no other end leaves more room for the next slot.
+    """
+    found: dict[str, list[tuple[int, int]]] = {}
+
+    def places(slot: str) -> list[tuple[int, int]]:
+        if slot not in found:
+            found[slot] = [m.span() for m in SLOT_PATTERNS[slot].finditer(text)]
+        return found[slot]
+
+    out = []
+    for template in TEMPLATES:
+        chains = [(a, b) for a, b in places(template[0][0])]
+        for (slot, gap), (nxt, _) in zip(template, template[1:], strict=False):
+            if not chains:
+                break
+            if slot == GUARD[0]:
+                chains = [(a, b) for a, b in chains if not any(b <= x <= b + GUARD[2] for x, _ in places(GUARD[1]))]
+            longer, k, held = [], 0, None
+            for x, y in places(nxt):
+                while k < len(chains) and chains[k][1] <= x:
+                    held = chains[k]
+                    k += 1
+                if held is not None and x - held[1] <= gap:
+                    longer.append((held[0], y))
+            chains = longer
+        out += chains
+    return out
+
+
 # What goes along with a refusal without answering: excuses, reasons and pointers elsewhere.
 SUPPORT = re.compile(
     r"(?i)\b(?:sorry|apolog\w+|regret\w*|unfortunately|thank\w*|polic(?:y|ies)|guidelines?|harmful|confidential|not (?:allowed|permitted)|(?:outside|beyond)(?: of)? (?:my|what i|the scope)"
@@ -104,7 +226,13 @@ QUOTED = re.compile(r"[“„«「『\"][^“”„«»「」『』\"\n]{0,200}[
 EMOTICON = re.compile(r"[\s←-⇿⌀-➿⬀-⯿️‍\U0001f000-\U0001faff]+$|\s+[:;=8][-o']?[()DPp/|\\]\s*$")
 ASIDE_END = re.compile(r"\s*(?:[\[(（【「『《][^\[\]()（）「」『』《》【】\n.!?。！？]{1,60}[\])）】」』》])\s*$")
 TERMINAL = re.compile(r"[.!?。！？…｡][\"”’»」』）)\]】*_~` 　 ]*$")
-BARE_MARKER = re.compile(r"\S[^\n]*(?:\n\s*)[ \t]*(?:\d{1,3}[.)、]|[-*•])[ \t]*$")
+#: Lengths of the contexts of scripts without blanks.
+RUNS = (8, 5, 4, 3, 2)
+# Abbreviations that something must follow.
+CALLS_ON = re.compile(r"(?i)(?:^|[\s(,;])(?:e\.\s?g|i\.\s?e|z\.\s?b|d\.\s?h|u\.\s?a|p\.\s?ej|por ej|p\.\s?ex|par ex|c\.-à-d|т\.\s?е|напр|vs|cf|viz|bzw)\.$")
+MEASURE = re.compile(r"\W*\d[\d.,\s]*[^\W\d_]{1,3}")
+LETTER = re.compile(r"[^\W\d_]")
+BARE_MARKER = re.compile(r"\s*(?:\d{1,3}[.)、]|[-*•])\s*$")
 OPENERS = {"(": ")", "（": "）", "[": "]", "【": "】", "「": "」", "『": "』", "《": "》", "«": "»", "“": "”"}
 
 
@@ -122,8 +250,6 @@ def is_empty(text: str) -> bool:
     core = visible_text(text)
     if not core:
         return not re.search("[←-⇿⌀-➿⬀-⯿\U0001f000-\U0001faff]", text)
-    if len(core) > 24:
-        return False
     low = " ".join(re.sub(r"[\s\[\](){}<>|\"'“”‘’«»「」*_.:!-]+", " ", text.lower()).split())
     return low in PLACEHOLDERS or low.replace(" ", "") in ("n/a", "na")
 
@@ -142,26 +268,40 @@ def common_length(a: list[str], b: list[str]) -> tuple[int, int]:
     return taken.bit_count(), (taken & -taken).bit_length() - 1 if taken else 0
 
 
+def shingles(words: list[str]) -> set[tuple[str, ...]]:
+    return {tuple(words[i : i + SHINGLE]) for i in range(len(words) - SHINGLE + 1)}
+
+
 def is_copy(prompt: str, answer: str) -> bool:
-    """Whether the answer gives back the question and nothing else, though not asked to repeat."""
+    """Whether the answer gives back the question, once or several times, and nothing else, though not asked to repeat.
+
+    Shingles come first: an answer whose five-word shingles are contained in the
+    question (`CONTAINED` of them) is aligned; so is one that shares most of its
+    words, as a changed word breaks up to five shingles.  The longest common
+    subsequence of the tokens then decides.
+    """
     p, a = tokens(prompt), tokens(answer)
-    if not p or not a or len(a) > 1.3 * len(p) + 3:
+    if not p or not a or len(a) < WORDS * min(len(p), SHINGLE):
+        return False
+    sa, sp = shingles(a), shingles(p)
+    held = len(sa & sp)
+    known = set(p)
+    if not (sa and held >= CONTAINED * len(sa)) and sum(x in known for x in a) < WORDS * len(a):
         return False
-    n, _ = common_length(p, a)
-    if n < 0.85 * len(a):
-        sp = {tuple(p[i : i + SHINGLE]) for i in range(len(p) - SHINGLE + 1)}
-        sa = [tuple(a[i : i + SHINGLE]) for i in range(len(a) - SHINGLE + 1)]
-        held = sum(x in sp for x in sa)
-        # The answer may add a word or two, each of which breaks up to five shingles.
-        if not sa or held < 0.8 * (len(p) - SHINGLE + 1) or n < len(a) - 3:
-            return False
     # Where the answer starts in the prompt: the head before it may only be a reference or label.
-    start = next((i for i in range(len(p)) if p[i : i + 2] == a[:2] or (i and p[i : i + 2] == a[1:3])), 0)
-    head = p[:start]
-    rest = len(p) - start
-    if rest == 0 or n < 0.85 * rest:
+    start = next((i for i in range(len(p)) if any(p[i : i + 2] == a[k : k + 2] for k in range(3))), 0)
+    unit = p[start:]
+    times = max(1, round(len(a) / len(unit)))
+    if len(a) > 1.3 * len(unit) * times + 3 * times:
+        return False
+    share = DENSE_SHARE if DENSE.match(p[-1]) else SPACED_SHARE
+    n, _ = common_length(unit * times, a)
+    # The answer may add a word or two to each copy.
+    if n < share * len(a) and (n < len(a) - 3 * times or held < CONTAINED * len(shingles(unit))):
         return False
-    if not head:
+    if n < share * len(unit) * times:
+        return False
+    if not start:
         return True
     places = [m.start() for m in TOKENS.finditer(prompt.lower())]
     before = prompt[: places[start]].rstrip(" \t\n¿¡\"'“„«「『([*_>")
@@ -182,25 +322,25 @@ def topics(text: str) -> set[str]:
 
 
 def refusing(plain: str, spans: list[tuple[int, int]]) -> list[bool]:
-    """Which sentences follow a refusal template; Thai ones may be cut at blanks, so a template may reach over several."""
-    out = [any(t.search(plain, a, b) for t in TEMPLATES) for a, b in spans]
+    """Which sentences align with a refusal template; Thai ones may be cut at blanks, so there a template may reach over several."""
+    low = plain.lower() if len(plain.lower()) == len(plain) else plain
+    out = [TRIGGER.search(low, a, b) is not None and bool(aligned(low[a:b])) for a, b in spans]
     if any("฀" <= c <= "๿" for c in plain):
-        for t in TEMPLATES:
-            for m in t.finditer(plain):
-                out = [o or (a < m.end() and m.start() < b) for o, (a, b) in zip(out, spans, strict=True)]
+        for x, y in aligned(low):
+            out = [o or (a < y and x < b) for o, (a, b) in zip(out, spans, strict=True)]
     return out
 
 
 def is_refusal(answer: str, prompt: str = "") -> bool:
-    """Whether a sentence follows a refusal template and the others answer nothing.
+    """Whether a sentence aligns with a refusal template and the others answer nothing.
 
     Every sentence is aligned.  Another one answers if it takes up something the prompt is about
     and neither excuses, explains the refusal nor points elsewhere; so do code and rows of a table,
     and whatever fills more words ahead of the refusal than the refusal has, as it can't explain it yet.
     """
-    plain = without_quotes(answer)
-    if not any(t.search(plain) for t in HINTS):
+    if not TRIGGER.search(answer.replace("’", "'").lower()):
         return False
+    plain = without_quotes(answer)
     spans = split_sentences(plain)
     hit = refusing(plain, spans)
     if not any(hit):
@@ -232,70 +372,86 @@ def ending_keys(sentence: str) -> list[str]:
     words = [re.sub(r"\d+", "#", x) for x in tokens(sentence)]
     if not words:
         return []
-    last = "".join(words[-4:]) if DENSE.match(words[-1]) else ""
-    if last:
-        tail = re.sub(r"[\W_]+", "", sentence)[-5:]
-        return [tail[-n:] for n in (5, 4, 3) if len(tail) >= n]
+    if DENSE.match(words[-1]):
+        tail = re.sub(r"[\W\d_]+", "", sentence.lower())
+        return [tail[-n:] for n in RUNS if len(tail) >= n] or [tail]
     return [(words[-2] if len(words) > 1 else "^") + " " + words[-1], words[-1]]
 
 
-def count_endings(texts: list[str]) -> dict[str, list[int]]:
-    """[times at the end of a sentence or text, times anywhere] of each key of `ending_keys`."""
-    out: dict[str, list[int]] = {}
-
-    def add(key: str, end: bool) -> None:
-        c = out.setdefault(key, [0, 0])
-        c[0] += end
-        c[1] += 1
-
-    for t in texts:
-        if not t:
-            continue
-        for a, b in split_sentences(t):
-            s = t[a:b]
-            if ASIDE_END.search(s):
-                continue
-            words = [re.sub(r"\d+", "#", x) for x in tokens(s)]
-            dense = sum(1 for x in words if DENSE.match(x))
-            if dense * 2 > len(words):
-                flat = re.sub(r"[\W_]+", "", s)
-                for n in (3, 4, 5):
-                    for i in range(n, len(flat) + 1):
-                        add(flat[i - n : i], i == len(flat))
-            else:
-                before = "^"
-                for i, w in enumerate(words):
-                    add(before + " " + w, i == len(words) - 1)
-                    add(w, i == len(words) - 1)
-                    before = w
-    return out
+# The same in the JVM: where sentences end, for counting only, and their tokens.
+J_TOKEN = r"[぀-ヿ㐀-鿿฀-๿]|[\p{L}\p{N}#]+(?:['’][\p{L}\p{N}#]+)*"
+J_END = r"[\n\r]+|(?<=[.!?…][\"”’»」』）)\]]{0,3})\s+|(?<=[。！？｡…][\"”’»」』）)\]]{0,3})(?![。！？｡…\"”’»」』）)\]])|(?<=[฀-๿])\s+(?=[฀-๿])"
+J_MARKED = r"[.!?。！？…｡][\"”’»」』）)\]】*_~`\s]*$"
+J_DENSE = r"[぀-ヿ㐀-鿿฀-๿]"
+
+
+def ending_counts(records: DataFrame) -> DataFrame:
+    """(key, ends, n): how often each context of `ending_keys` stands at a sentence's end, and anywhere, in all segments of all records.
+
+    Only ends count that a mark, a line end or a next sentence proves: the last words of
+    a text without a mark may be broken off themselves.  Keys are 64-bit hashes, counted
+    by a partial aggregation in the JVM.
+    """
+    text = F.regexp_replace(F.lower("t"), r"\d+", "#")
+    t = records.select(F.explode("segments.content").alias("t")).where("t is not null").select(text.alias("t"))
+    parts = F.filter(F.split("t", J_END), lambda x: x.rlike(r"[\p{L}\p{N}]"))
+    s = t.select(parts.alias("p")).select(F.posexplode("p").alias("i", "s"), F.size("p").alias("of"))
+    s = s.select("s", ((F.col("i") + 1 < F.col("of")) | F.col("s").rlike(J_MARKED)).alias("sure"))
+    words = F.regexp_extract_all("s", F.lit(J_TOKEN), F.lit(0))
+    s = s.select("sure", F.regexp_replace("s", r"[^\p{L}]+", "").alias("flat"), words.alias("w")).where("size(w) > 0")
+    dense = F.size(F.filter("w", lambda x: x.rlike(J_DENSE))) * 2 > F.size("w")
+    place = lambda text, last: F.struct(F.xxhash64(text).alias("key"), last.alias("last"))
+    none = F.array().cast("array<struct<key:bigint,last:boolean>>")
+    runs = lambda n: F.transform(F.sequence(n, F.length("flat")), lambda i: place(F.substring(F.col("flat"), i - n + 1, n), i == F.length("flat")))
+    grams = F.flatten(F.transform(F.array(*map(F.lit, RUNS)), lambda n: F.when(F.length("flat") >= n, runs(n)).otherwise(none)))
+    one = F.transform("w", lambda x, i: place(x, i + 1 == F.size("w")))
+    two = F.transform("w", lambda x, i: place(F.concat(F.when(i > 0, F.get("w", i - 1)).otherwise("^"), F.lit(" "), x), i + 1 == F.size("w")))
+    k = s.select("sure", F.explode(F.when(dense, grams).otherwise(F.concat(one, two))).alias("k"))
+    return k.groupBy("k.key").agg(F.count_if(F.col("k.last") & F.col("sure")).alias("ends"), F.count(F.lit(1)).alias("n"))
+
+
+#: A context that ends a sentence in `SHARE` of its places may end a text; it must have been seen `SEEN` times to tell.
+SHARE, SEEN = 0.06, 5
+#: An answer without a final mark that so many different questions get is a stock phrase and breaks off nowhere.
+STOCK = 3
 
 
 class Endings:
-    """How often contexts end a sentence: {key: (ends, all)}."""
+    """Endings in memory, for fixtures and for use without Spark: {context: (ends, n)}."""
 
-    def __init__(self, counts: dict[str, tuple[int, int]], least: int = 3, share: float = 0.06):
-        self.counts, self.least, self.share = counts, least, share
+    def __init__(self, counts: dict[str, tuple[int, int]]):
+        self.counts = counts
 
-    def can_end(self, sentence: str) -> bool:
-        """Whether a sentence may end so: judged by the longest context seen often enough."""
-        for key in ending_keys(sentence):
-            ends, total = self.counts.get(key, (0, 0))
-            if total >= self.least + 2 or ends >= self.least:
-                return ends >= self.least and ends >= self.share * total
+    def can_end(self, keys: list[str]) -> bool:
+        """Judged by the longest context seen `SEEN` times; nothing ends on words never seen."""
+        for k in keys:
+            ends, n = self.counts.get(k, (0, 0))
+            if n >= SEEN:
+                return ends >= SHARE * n
         return False
 
 
-def is_truncated(answer: str, endings: Endings) -> bool:
-    """Whether an answer breaks off."""
+def last_sentence(t: str) -> str:
+    """The last sentence-like part of a text, found from its end."""
+    at = len(t)
+    for m in re.finditer(r"[\n\r]|[.!?…]\s|[。！？｡…]|(?<=[฀-๿])\s(?=[฀-๿])", t[::-1]):
+        if m.start() > 0 and t[len(t) - m.start() :].strip():
+            at = m.start()
+            break
+    return t[len(t) - at :].strip() or t
+
+
+def breaks_off(answer: str) -> bool | list[str]:
+    """Whether an answer breaks off; where only its last words can tell, their `ending_keys`."""
     t = answer.rstrip()
     if t.count("```") % 2:
         return True
     if t.endswith("```"):
         return False
-    if BARE_MARKER.search(t):
+    head, _, last_line = t.rpartition("\n")
+    if head.strip() and BARE_MARKER.fullmatch(last_line):
         return True
-    last_line = t.rsplit("\n", 1)[-1].strip()
+    last_line = last_line.strip()
     if last_line.startswith("|"):
         return not last_line.endswith("|") or t.count("\n|---") + t.count("\n| ---") > 0 and last_line.count("|") != t[: t.find("\n|-")].rsplit("\n", 1)[-1].count("|")
     # Closing symbols and short foreign asides behind the text don't matter.
@@ -304,22 +460,24 @@ def is_truncated(answer: str, endings: Endings) -> bool:
         if u == t or not u:
             break
         t = u
+    if CALLS_ON.search(t):
+        return True
     if not t or TERMINAL.search(t.rstrip(",，、;；:： ")) and not t.endswith(("etc.,", "...,")):
         return False
     if t[-1] in "(（[【「『《«“„,，、;；:：-–—/&+=" or t.endswith((" \"", "\n\"")):
         return True
-    tail = t[-400:]
-    spans = split_sentences(tail)
-    last = tail[spans[-1][0] : spans[-1][1]] if spans else tail
     if TERMINAL.search(t):
         return False
+    last = last_sentence(t)
     for o, c in OPENERS.items():
         if last.count(o) > last.count(c):
             return True
     if last.count('"') % 2:
         return True
     last = last.rstrip("\"”’»」』）)]】*_~` ")
-    return not TERMINAL.search(last) and not endings.can_end(last)
+    if TERMINAL.search(last) or not LETTER.search(last) or MEASURE.fullmatch(last):
+        return False  # a number is complete, with or without a unit
+    return ending_keys(last)
 
 
 def asks_for(prompt: str, lang: str) -> bool:
@@ -328,9 +486,12 @@ def asks_for(prompt: str, lang: str) -> bool:
     return any(name in low for name in LANGUAGE_NAMES.get(lang, "").split())
 
 
-def judge(prompts: list[str], answers: list[str], systems: list[str], profiles: Profiles, endings: Endings) -> list[str | None]:
-    """Defect of each pair, or None; the first that applies of empty, copy, refusal, language and truncated."""
-    out: list[str | None] = [None] * len(prompts)
+def judge(prompts: list[str], answers: list[str], systems: list[str], profiles: Profiles, endings: Endings | None = None) -> list:
+    """Defect of each pair, or None; the first that applies of empty, copy, refusal, language and truncated.
+
+    Without `endings`, a pair whose last words must tell whether it breaks off has their keys, a list.
+    """
+    out: list = [None] * len(prompts)
     left = []
     for i, (p, a) in enumerate(zip(prompts, answers, strict=True)):
         if is_empty(a):
@@ -341,28 +502,35 @@ def judge(prompts: list[str], answers: list[str], systems: list[str], profiles:
             out[i] = "refusal"
         else:
             left.append(i)
+    for i in other_language(prompts, answers, systems, left, profiles):
+        out[i] = "language"
+    for i in left:
+        if out[i] is None:
+            t = breaks_off(answers[i])
+            if isinstance(t, list) and endings is not None:
+                t = not endings.can_end(t)
+            out[i] = "truncated" if t is True else t or None
+    return out
+
+
+def other_language(prompts: list[str], answers: list[str], systems: list[str], left: list[int], profiles: Profiles) -> list[int]:
+    """Places, of those in `left`, whose answer is wholly in another language than the question, though not asked for.
+
+    Answers and questions are compared as wholes; only those of different languages are looked at by their sentences.
+    """
     # Code and tables say nothing of an answer's language.
-    plain = {i: prose(answers[i]) for i in left}
-    said = segment_languages(profiles, [plain[i] for i in left])
-    asked = segment_languages(profiles, [prompts[i] for i in left])
-    # Only answers that share no language with their question are compared as wholes.
-    apart = []
-    for k in range(len(left)):
-        a, q = ({x[2] for x in st[k]} for st in (said, asked))
-        if len(a) == 1 and q and not a & q:
-            apart.append((k, next(iter(a)), q))
-    _, _, _, _, near_q = profiles.classify([prompts[left[k]] for k, _, _ in apart])
-    lang_a, _, letters, margin, near_a = profiles.classify([plain[left[k]] for k, _, _ in apart])
-    for n, (k, r, q) in enumerate(apart):
+    plain = [prose(answers[i]) for i in left]
+    lang_a, _, letters, margin, near_a = profiles.classify(plain)
+    _, _, _, _, near_q = profiles.classify([prompts[i] for i in left])
+    apart = [k for k in range(len(left)) if lang_a[k] >= 0 and letters[k] >= 6 and margin[k] >= CLOSE and not near_q[k] >> lang_a[k] & 1 and is_sentence(plain[k])]
+    said = segment_languages(profiles, [plain[k] for k in apart])
+    asked = segment_languages(profiles, [prompts[left[k]] for k in apart])
+    out = []
+    for n, k in enumerate(apart):
+        a, q = ({x[2] for x in st[n]} for st in (said, asked))
         i = left[k]
-        if (
-            r == lang_a[n] and is_sentence(plain[i]) and letters[n] >= 6 and margin[n] >= CLOSE and not near_q[n] >> r & 1
-            and not any(near_a[n] >> x & 1 for x in q) and not asks_for(prompts[i] + " " + systems[i], profiles.langs[r])
-        ):
-            out[i] = "language"
-    for i in left:
-        if out[i] is None and is_truncated(answers[i], endings):
-            out[i] = "truncated"
+        if a == {int(lang_a[k])} and q and not a & q and not any(near_a[k] >> x & 1 for x in q) and not asks_for(prompts[i] + " " + systems[i], profiles.langs[lang_a[k]]):
+            out.append(i)
     return out
 
 
@@ -380,33 +548,64 @@ def trained_pairs(records: DataFrame) -> DataFrame:
     )
 
 
-def fit_endings(records: DataFrame, sample_rows: int = 30_000, most: int = 200_000) -> Endings:
-    """Endings fitted on the `sample_rows` records with the smallest hashes, keeping the `most` frequent keys (both are bounds)."""
-    r = records.where("size(segments) > 0").select("id", "segments.content")
-    n = r.count()
-    if n > sample_rows:
-        r = r.where(F.xxhash64("id") < F.lit(int(2**64 * sample_rows / n) - 2**63))
-
-    def count(batches):
-        for pdf in batches:
-            c = count_endings([t for row in pdf["content"] for t in row])
-            yield pd.DataFrame([(k, e, a) for k, (e, a) in c.items()], columns=["key", "ends", "n"])
+def fit_endings(records: DataFrame) -> Endings:
+    """The endings of a fixture in memory.  `defective_pairs` never collects them."""
+    words: dict[str, None] = {}
+    for r in records.select(F.explode("segments.content").alias("t")).where("t is not null").collect():
+        flat = [re.sub(r"\d+", "#", x) for x in tokens(r["t"])]
+        for i, w in enumerate(flat):
+            words |= {w: None, "^ " + w: None, (flat[i - 1] if i else "^") + " " + w: None}
+        dense = re.sub(r"[\W\d_]+", "", r["t"].lower())
+        for n in RUNS:
+            words |= {dense[i : i + n]: None for i in range(len(dense) - n + 1)}
+    named = records.sparkSession.createDataFrame([(k,) for k in words], "word string").select("word", F.xxhash64("word").alias("key"))
+    return Endings({r["word"]: (r["ends"], r["n"]) for r in named.join(ending_counts(records), "key").collect()})
 
-    k = spread(r.select("content")).mapInPandas(count, "key string, ends bigint, n bigint").groupBy("key").agg(F.sum("ends").alias("ends"), F.sum("n").alias("n"))
-    rows = k.where("ends >= 2 or n >= 5").orderBy(F.desc("n"), "key").limit(most).collect()
-    return Endings({x["key"]: (x["ends"], x["n"]) for x in rows})
 
-
-def defective_pairs(records: DataFrame, profiles: Profiles, endings: Endings | None = None) -> DataFrame:
-    """(id, seg_idx, defect) of the defective pairs, each once however often its record was delivered."""
-    ends = endings if endings is not None else fit_endings(records)
-    shared = records.sparkSession.sparkContext.broadcast((profiles, ends))
+def judged_pairs(pairs: DataFrame, profiles: Profiles) -> DataFrame:
+    """(h, defect, keys, said): the defect of each distinct pair, or the keys of the last words that must tell and a hash of the answer."""
+    shared = pairs.sparkSession.sparkContext.broadcast(profiles)
 
     def run(batches):
-        p, e = shared.value
         for pdf in batches:
-            d = judge(pdf["prompt"].tolist(), pdf["answer"].tolist(), pdf["system"].tolist(), p, e)
-            out = pdf[["id", "seg_idx"]].assign(defect=d)
-            yield out[out["defect"].notna()]
+            d = judge(pdf["prompt"].tolist(), pdf["answer"].tolist(), pdf["system"].tolist(), shared.value)
+            out = pdf[["h", "asked", "said"]].assign(defect=[x if isinstance(x, str) else None for x in d], keys=[x if isinstance(x, list) else None for x in d])
+            yield out[out["defect"].notna() | out["keys"].notna()]
+
+    return pairs.mapInPandas(run, "h binary, asked bigint, said bigint, defect string, keys array<string>")
+
 
-    return spread(trained_pairs(records)).mapInPandas(run, "id string, seg_idx int, defect string").distinct()
+def broken_off(open_pairs: DataFrame, records: DataFrame) -> DataFrame:
+    """The `h` of those pairs (h, asked, said, keys) whose last words don't end sentences elsewhere.
+
+    Distinct keys are looked up in the counts over all records; the longest one seen
+    often enough decides.  Answers that many questions get are no fragments.
+    """
+    o = open_pairs.withColumn("k", F.xxhash64("keys"))
+    distinct = cut_lineage(o.groupBy("k").agg(F.first("keys").alias("keys"), F.count(F.lit(1)).alias("n")))
+    places = distinct.select("k", F.posexplode("keys").alias("i", "word")).select("k", "i", F.xxhash64("word").alias("key"))
+    seen = places.join(ending_counts(records), "key").where(F.col("n") >= SEEN)  # one row per key on the right; on the left one per distinct ending
+    told = seen.groupBy("k").agg(F.min_by(F.col("ends") >= SHARE * F.col("n"), "i").alias("ok"))
+    bad = cut_lineage(distinct.select("k", "n").join(told, "k", "left").where(~F.coalesce("ok", F.lit(False))).select("k", "n", F.lit(True).alias("bad")))
+    stock = cut_lineage(o.groupBy("said").agg(F.countDistinct("asked").alias("questions"), F.count(F.lit(1)).alias("n")).where(F.col("questions") >= STOCK).select("said", "n", F.lit(True).alias("stock")))
+    total = o.count()
+    found = join_unique(o.select("h", "said", "k"), bad, ["k"], "n", total).where("bad")
+    return join_unique(found.select("h", "said"), stock, ["said"], "n", total).where("stock is null").select("h")
+
+
+def defective_pairs(records: DataFrame, profiles: Profiles) -> DataFrame:
+    """(id, seg_idx, defect) of the defective pairs, each once however often its record was delivered.
+
+    Equal pairs are judged once, by the hash of their texts, and the defects joined
+    back.  None of the tables reaches the driver or is broadcast beyond the hot keys
+    of `join_unique`.
+    """
+    p = trained_pairs(records).withColumn("h", F.unhex(F.md5(F.to_json(F.struct("prompt", "answer", "system")))))
+    once = p.groupBy("h").agg(F.first("prompt").alias("prompt"), F.first("answer").alias("answer"), F.first("system").alias("system"))
+    once = once.select("*", F.xxhash64("prompt").alias("asked"), F.xxhash64(F.regexp_replace(F.regexp_replace(F.lower("answer"), r"\d+", "0"), r"[^\p{L}\p{N}]+", "")).alias("said"))
+    found = cut_lineage(judged_pairs(once, profiles))
+    late = broken_off(found.where("keys is not null").select("h", "asked", "said", "keys"), records).select("h", F.lit("truncated").alias("defect"))
+    defects = found.where("defect is not null").select("h", "defect").unionByName(late)
+    ids = cut_lineage(p.select("id", "seg_idx", "h"))
+    right = cut_lineage(defects.join(ids.groupBy("h").agg(F.count(F.lit(1)).alias("n")), "h"))
+    return join_unique(ids, right, ["h"], "n", ids.count()).where("defect is not null").select("id", "seg_idx", "defect").distinct()

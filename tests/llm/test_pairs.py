@@ -1,3 +1,5 @@
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -6,7 +8,10 @@ from corpusloom.llm import pairs
 
 @pytest.fixture(scope="module")
 def endings(spark, sf):
-    return pairs.fit_endings(spark.read.parquet("/root/testdata/sf0.01/training_records.parquet"))
+    folder = "/root/testdata/sf0.01/training_records.parquet"
+    if not os.path.exists(folder):
+        pytest.skip("no test data")
+    return pairs.fit_endings(spark.read.parquet(folder))
 
 
 Q = "Which problems does data mixing cause, and how can they be avoided?"
@@ -26,6 +31,29 @@ def test_cases(profiles, endings):
     assert [(c[1], g) for c, g in zip(CASES, got, strict=True)] == [(c[1], c[2]) for c in CASES]
 
 
+AGAIN = [
+    (Q, f"{Q} {Q}", "copy"), (Q, f"{Q}\n\n{Q}\n\n{Q}", "copy"), (f"(Ref abc1234) {Q}", f"Question: {Q}\nAnswer: {Q}", "copy"), (Q, f"Okay. {Q}", "copy"), ("Why is it that the reader drops the last row?", "Why is it that this reader drops this last row?", "copy"),
+    (Q, f"{Q} " + "The tokenizer counts every token. " * 3, None), (Q, "That's not a topic I can comment on. Is there anything else I can do for you?", "refusal"), (Q, "Hmm. My guidelines prevent me from responding to this.", "refusal"),
+    (Q, "The tokenizer counts every token. Use it for many things, e.g.", "truncated"), (Q, "The tokenizer counts every token in order to", "truncated"), (Q, "4711", None), (Q, "The reader keeps the l", "truncated"),
+    (Q, "I'm sorry, but I can't help with that request. " + "Please ask something else. " * 7, "refusal"), (Q, "\u201c The loss mask counts every token.\n\u201d", None), (Q, "[ no  answer " + "-" * 60 + " ]", "empty"),
+]
+
+
+def test_repeats_and_open_ends(profiles, endings):
+    got = pairs.judge([c[0] for c in AGAIN], [c[1] for c in AGAIN], [""] * len(AGAIN), profiles, endings)
+    assert [(c[1], g) for c, g in zip(AGAIN, got, strict=True)] == [(c[1], c[2]) for c in AGAIN]
+
+
+def test_stock_phrases_and_fragments(spark, profiles):
+    """An ending is judged by the counts over all records, a phrase that many questions get by itself; copies of one pair don't make it one."""
+    body = "The reader keeps the last row. The tool drops a blank row. "
+    rows = [(f"n{i}", [("user", f"{i} why?", None), ("assistant", body + f"Part {i} keeps the last row.", None)]) for i in range(30)]
+    rows += [(f"s{i}", [("user", f"what is part {i}?", None), ("assistant", "Sure thing", None)]) for i in range(4)]
+    rows += [(f"c{i}", [("user", "what is it?", None), ("assistant", body + "The tool drops", None)]) for i in range(6)]
+    df = spark.createDataFrame(rows, "id string, segments array<struct<role string, content string, train boolean>>")
+    assert {r["id"] for r in pairs.defective_pairs(df, profiles).where("defect = 'truncated'").collect()} == {f"c{i}" for i in range(6)}
+
+
 LATE = [
     (Q, "Hmm. No. I am unable to fulfil this request.", "refusal"), (Q, "Hmm. No. I am unable to fulfil this request. Perhaps a specialist could help you.", "refusal"),
     (Q, "I am sorry. I cannot help with that. My guidelines do not let me. They hold for everyone. They are strict. They were set long ago. Please ask something else.", "refusal"),
@@ -58,7 +86,7 @@ def test_which_pairs(spark, profiles, endings):
     s = [("prompter", "q", False), ("gpt", "", None), ("assistant", "", True), ("user", "why is that so", None), ("bot", None, True), ("user", "x y z", None), ("assistant", "", False)]
     rows = [("a", s), ("a", s), ("b", None), ("c", []), ("d", [("assistant", "", True)]), (None, s)]
     df = spark.createDataFrame(rows, "id string, segments array<struct<role string, content string, train boolean>>").withColumn("defect", F.lit("clash"))
-    assert sorted((r["id"], r["seg_idx"], r["defect"]) for r in pairs.defective_pairs(df, profiles, endings).collect()) == [("a", 1, "empty"), ("a", 4, "empty")]
+    assert sorted((r["id"], r["seg_idx"], r["defect"]) for r in pairs.defective_pairs(df, profiles).collect()) == [("a", 1, "empty"), ("a", 4, "empty")]
 
 
 def test_long_texts(profiles, endings):
