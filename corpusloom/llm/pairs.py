@@ -378,57 +378,51 @@ def ending_keys(sentence: str) -> list[str]:
     return [(words[-2] if len(words) > 1 else "^") + " " + words[-1], words[-1]]
 
 
-# The same in the JVM: where sentences end, for counting only, and their tokens.
-J_TOKEN = r"[぀-ヿ㐀-鿿฀-๿]|[\p{L}\p{N}#]+(?:['’][\p{L}\p{N}#]+)*"
-J_END = r"[\n\r]+|(?<=[.!?…][\"”’»」』）)\]]{0,3})\s+|(?<=[。！？｡…][\"”’»」』）)\]]{0,3})(?![。！？｡…\"”’»」』）)\]])|(?<=[฀-๿])\s+(?=[฀-๿])"
-J_MARKED = r"[.!?。！？…｡][\"”’»」』）)\]】*_~`\s]*$"
-J_DENSE = r"[぀-ヿ㐀-鿿฀-๿]"
+# The same in the JVM: what ends a sentence there, and the last one or two words of a piece.
+J_CUT = r"[。！？｡…]+|[.!?][.!?\"”’»」』）)\]]*(?=\s|$)|\s+(?=[฀-๿])"
+J_WORD = r"[\p{L}\p{N}#]+(?:['’][\p{L}\p{N}#]+)*"
+J_LAST = rf"(?:({J_WORD})[^\p{{L}}\p{{N}}#]+)?({J_WORD})[^\p{{L}}\p{{N}}#]*$"
+J_DENSE_END = r"[぀-ヿ㐀-鿿฀-๿][^\p{L}\p{N}#]*$"
+J_THAI_END = r"[฀-๿]$"
 
 
 def ending_counts(records: DataFrame) -> DataFrame:
-    """(key, ends, n): how often each context of `ending_keys` stands at a sentence's end, and anywhere, in all segments of all records.
+    """(key, ends): how often each context of `ending_keys` ends a sentence, in all segments of all records.
 
-    Only ends count that a mark, a line end or a next sentence proves: the last words of
-    a text without a mark may be broken off themselves.  Keys are 64-bit hashes, counted
-    by a partial aggregation in the JVM.
+    Only ends count that a mark or, in Thai, a next sentence proves: a line may be
+    wrapped, and the last words of a text without a mark may be broken off themselves.  Keys are 64-bit hashes,
+    counted by a partial aggregation in the JVM.
     """
-    text = F.regexp_replace(F.lower("t"), r"\d+", "#")
-    t = records.select(F.explode("segments.content").alias("t")).where("t is not null").select(text.alias("t"))
-    parts = F.filter(F.split("t", J_END), lambda x: x.rlike(r"[\p{L}\p{N}]"))
-    s = t.select(parts.alias("p")).select(F.posexplode("p").alias("i", "s"), F.size("p").alias("of"))
-    s = s.select("s", ((F.col("i") + 1 < F.col("of")) | F.col("s").rlike(J_MARKED)).alias("sure"))
-    words = F.regexp_extract_all("s", F.lit(J_TOKEN), F.lit(0))
-    s = s.select("sure", F.regexp_replace("s", r"[^\p{L}]+", "").alias("flat"), words.alias("w")).where("size(w) > 0")
-    dense = F.size(F.filter("w", lambda x: x.rlike(J_DENSE))) * 2 > F.size("w")
-    place = lambda text, last: F.struct(F.xxhash64(text).alias("key"), last.alias("last"))
-    none = F.array().cast("array<struct<key:bigint,last:boolean>>")
-    runs = lambda n: F.transform(F.sequence(n, F.length("flat")), lambda i: place(F.substring(F.col("flat"), i - n + 1, n), i == F.length("flat")))
-    grams = F.flatten(F.transform(F.array(*map(F.lit, RUNS)), lambda n: F.when(F.length("flat") >= n, runs(n)).otherwise(none)))
-    one = F.transform("w", lambda x, i: place(x, i + 1 == F.size("w")))
-    two = F.transform("w", lambda x, i: place(F.concat(F.when(i > 0, F.get("w", i - 1)).otherwise("^"), F.lit(" "), x), i + 1 == F.size("w")))
-    k = s.select("sure", F.explode(F.when(dense, grams).otherwise(F.concat(one, two))).alias("k"))
-    return k.groupBy("k.key").agg(F.count_if(F.col("k.last") & F.col("sure")).alias("ends"), F.count(F.lit(1)).alias("n"))
-
-
-#: A context that ends a sentence in `SHARE` of its places may end a text; it must have been seen `SEEN` times to tell.
-SHARE, SEEN = 0.06, 5
+    t = records.select(F.explode("segments.content").alias("t")).where("t is not null").select(F.split(F.lower("t"), J_CUT).alias("p"))
+    # The last piece is what no mark follows; where one does, it is empty.
+    s = t.select(F.explode(F.slice("p", F.lit(1), F.size("p") - 1)).alias("s")).select(F.regexp_replace(F.substring("s", -60, 60), r"\d+", "#").alias("s"))
+    s = s.where(F.col("s").rlike(r"[\p{L}#]"))
+    dense = F.col("s").rlike(J_DENSE_END)
+    flat = F.regexp_replace("s", r"[^\p{L}]+", "")
+    first, last = F.regexp_extract("s", J_LAST, 1), F.regexp_extract("s", J_LAST, 2)
+    runs = F.array(*[F.when(F.length("flat") >= n, F.substring("flat", -n, n)) for n in RUNS])
+    words = F.array(F.concat(F.when(first == "", "^").otherwise(first), F.lit(" "), last), last)
+    k = s.select("s", dense.alias("dense"), flat.alias("flat")).select(F.explode(F.when(F.col("dense"), runs).otherwise(words)).alias("k"))
+    return k.where("k is not null").groupBy(F.xxhash64("k").alias("key")).agg(F.count(F.lit(1)).alias("ends"))
+
+
+#: A context tells if so many texts or sentences end in it.
+SEEN = 5
+#: It can end a text if it ends this many sentences for every text that it ends without a mark.
+SHARE = 1.0
 #: An answer without a final mark that so many different questions get is a stock phrase and breaks off nowhere.
 STOCK = 3
 
 
 class Endings:
-    """Endings in memory, for fixtures and for use without Spark: {context: (ends, n)}."""
+    """Endings in memory, for fixtures and for use without Spark: {context: ends}."""
 
-    def __init__(self, counts: dict[str, tuple[int, int]]):
+    def __init__(self, counts: dict[str, int]):
         self.counts = counts
 
     def can_end(self, keys: list[str]) -> bool:
-        """Judged by the longest context seen `SEEN` times; nothing ends on words never seen."""
-        for k in keys:
-            ends, n = self.counts.get(k, (0, 0))
-            if n >= SEEN:
-                return ends >= SHARE * n
-        return False
+        """Whether one of the contexts, the longest or a shorter one, ended sentences often enough to tell."""
+        return any(self.counts.get(k, 0) >= SEEN for k in keys)
 
 
 def last_sentence(t: str) -> str:
@@ -559,7 +553,7 @@ def fit_endings(records: DataFrame) -> Endings:
         for n in RUNS:
             words |= {dense[i : i + n]: None for i in range(len(dense) - n + 1)}
     named = records.sparkSession.createDataFrame([(k,) for k in words], "word string").select("word", F.xxhash64("word").alias("key"))
-    return Endings({r["word"]: (r["ends"], r["n"]) for r in named.join(ending_counts(records), "key").collect()})
+    return Endings({r["word"]: r["ends"] for r in named.join(ending_counts(records), "key").collect()})
 
 
 def judged_pairs(pairs: DataFrame, profiles: Profiles) -> DataFrame:
@@ -578,14 +572,17 @@ def judged_pairs(pairs: DataFrame, profiles: Profiles) -> DataFrame:
 def broken_off(open_pairs: DataFrame, records: DataFrame) -> DataFrame:
     """The `h` of those pairs (h, asked, said, keys) whose last words don't end sentences elsewhere.
 
-    Distinct keys are looked up in the counts over all records; the longest one seen
-    often enough decides.  Answers that many questions get are no fragments.
+    Distinct keys are looked up in the counts over all records, and counted over the
+    pairs themselves; the longest one seen often enough decides.  Answers that many
+    questions get are no fragments.
     """
     o = open_pairs.withColumn("k", F.xxhash64("keys"))
     distinct = cut_lineage(o.groupBy("k").agg(F.first("keys").alias("keys"), F.count(F.lit(1)).alias("n")))
-    places = distinct.select("k", F.posexplode("keys").alias("i", "word")).select("k", "i", F.xxhash64("word").alias("key"))
-    seen = places.join(ending_counts(records), "key").where(F.col("n") >= SEEN)  # one row per key on the right; on the left one per distinct ending
-    told = seen.groupBy("k").agg(F.min_by(F.col("ends") >= SHARE * F.col("n"), "i").alias("ok"))
+    places = distinct.select("k", "n", F.posexplode("keys").alias("i", "word")).select("k", "i", "n", F.xxhash64("word").alias("key"))
+    loose = places.groupBy("key").agg(F.sum("n").alias("texts"))
+    table = cut_lineage(loose.join(ending_counts(records), "key", "left").na.fill(0, ["ends"]).where(F.col("ends") + F.col("texts") >= SEEN).select("key", (F.col("ends") >= SHARE * F.col("texts")).alias("ok")))
+    seen = places.join(table, "key")  # one row per key on the right; on the left one per distinct ending
+    told = seen.groupBy("k").agg(F.min_by("ok", "i").alias("ok"))
     bad = cut_lineage(distinct.select("k", "n").join(told, "k", "left").where(~F.coalesce("ok", F.lit(False))).select("k", "n", F.lit(True).alias("bad")))
     stock = cut_lineage(o.groupBy("said").agg(F.countDistinct("asked").alias("questions"), F.count(F.lit(1)).alias("n")).where(F.col("questions") >= STOCK).select("said", "n", F.lit(True).alias("stock")))
     total = o.count()
