@@ -381,7 +381,6 @@ def ending_keys(sentence: str) -> list[str]:
 # The same in the JVM: what ends a sentence there, and the last one or two words of a piece.
 J_CUT = r"[。！？｡…]+|[.!?][.!?\"”’»」』）)\]]*(?=\s|$)|\s+(?=[฀-๿])"
 J_WORD = r"[\p{L}\p{N}#]+(?:['’][\p{L}\p{N}#]+)*"
-J_LAST = rf"(?:({J_WORD})[^\p{{L}}\p{{N}}#]+)?({J_WORD})[^\p{{L}}\p{{N}}#]*$"
 J_DENSE_END = r"[぀-ヿ㐀-鿿฀-๿][^\p{L}\p{N}#]*$"
 J_THAI_END = r"[฀-๿]$"
 
@@ -395,14 +394,14 @@ def ending_counts(records: DataFrame) -> DataFrame:
     """
     t = records.select(F.explode("segments.content").alias("t")).where("t is not null").select(F.split(F.lower("t"), J_CUT).alias("p"))
     # The last piece is what no mark follows; where one does, it is empty.
-    s = t.select(F.explode(F.slice("p", F.lit(1), F.size("p") - 1)).alias("s")).select(F.regexp_replace(F.substring("s", -60, 60), r"\d+", "#").alias("s"))
-    s = s.where(F.col("s").rlike(r"[\p{L}#]"))
+    s = t.select(F.explode(F.slice("p", F.lit(1), F.size("p") - 1)).alias("s")).select(F.regexp_replace(F.substring("s", -200, 200), r"\d+", "#").alias("s"))
     dense = F.col("s").rlike(J_DENSE_END)
     flat = F.regexp_replace("s", r"[^\p{L}]+", "")
-    first, last = F.regexp_extract("s", J_LAST, 1), F.regexp_extract("s", J_LAST, 2)
+    s = s.select(dense.alias("dense"), F.when(dense, flat).alias("flat"), F.when(~dense, F.regexp_extract_all("s", F.lit(J_WORD), F.lit(0))).alias("w"))
+    last = F.try_element_at("w", F.lit(-1))
     runs = F.array(*[F.when(F.length("flat") >= n, F.substring("flat", -n, n)) for n in RUNS])
-    words = F.array(F.concat(F.when(first == "", "^").otherwise(first), F.lit(" "), last), last)
-    k = s.select("s", dense.alias("dense"), flat.alias("flat")).select(F.explode(F.when(F.col("dense"), runs).otherwise(words)).alias("k"))
+    words = F.array(F.concat(F.coalesce(F.try_element_at("w", F.lit(-2)), F.lit("^")), F.lit(" "), last), last)
+    k = s.select(F.explode(F.when(F.col("dense"), runs).otherwise(words)).alias("k"))
     return k.where("k is not null").groupBy(F.xxhash64("k").alias("key")).agg(F.count(F.lit(1)).alias("ends"))
 
 
