@@ -10,6 +10,7 @@ sentence elsewhere, counted over all records; the language by the rank-order pro
 from __future__ import annotations
 
 import re
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -177,7 +178,10 @@ def _slot_pattern(phrases: str, dense: bool) -> re.Pattern:
 SLOT_PATTERNS = {k: _slot_pattern(v, False) for k, v in SLOTS.items()} | {k: _slot_pattern(v, True) for k, v in DENSE_SLOTS.items()}
 #: The rarest slot of each template; a text without any of them follows none.
 TRIGGERS = ("cannot", "not", "bound", "off", "prevent", "de not", "de refuse", "de unable", "fr ne", "fr refuse", "es no", "es refuse", "pt no", "pt refuse", "ru not", "ru refuse", "zh cannot", "zh unable", "ja cannot", "ja refuse", "th cannot", "th not", "th refuse")
-TRIGGER = re.compile("|".join(SLOT_PATTERNS[k].pattern for k in TRIGGERS))
+_PHRASES = [x for k in TRIGGERS for x in (SLOTS | DENSE_SLOTS)[k].split("|")]
+#: The longest word of each of their phrases, those that may go on within a word, and those of scripts without blanks.
+TRIGGER_WORDS = frozenset(max(x.split(), key=len) for k in TRIGGERS if k in SLOTS for x in SLOTS[k].split("|") if not x.endswith("*"))
+TRIGGER_PARTS = tuple(x.rstrip("*") for x in _PHRASES if x.endswith("*")) + tuple(x for k in TRIGGERS if k in DENSE_SLOTS for x in DENSE_SLOTS[k].split("|"))
 
 
 def aligned(text: str) -> list[tuple[int, int]]:
@@ -245,8 +249,14 @@ def visible_text(text: str) -> str:
     return re.sub(r"[\W_]+", "", MARKUP_TOKENS.sub("", text))
 
 
+#: Letters and digits of the longest placeholder.
+LONGEST = max(sum(map(str.isalnum, x)) for x in PLACEHOLDERS)
+
+
 def is_empty(text: str) -> bool:
     """Nothing visible, marks only, or a placeholder."""
+    if "<" not in text and "[" not in text and sum(1 for _ in islice(filter(str.isalnum, text), LONGEST + 1)) > LONGEST:
+        return False  # more letters than any placeholder has
     core = visible_text(text)
     if not core:
         return not re.search("[←-⇿⌀-➿⬀-⯿\U0001f000-\U0001faff]", text)
@@ -272,22 +282,22 @@ def shingles(words: list[str]) -> set[tuple[str, ...]]:
     return {tuple(words[i : i + SHINGLE]) for i in range(len(words) - SHINGLE + 1)}
 
 
-def is_copy(prompt: str, answer: str) -> bool:
+def is_copy(prompt: str, answer: str, words: list[str] | None = None) -> bool:
     """Whether the answer gives back the question, once or several times, and nothing else, though not asked to repeat.
 
-    Shingles come first: an answer whose five-word shingles are contained in the
-    question (`CONTAINED` of them) is aligned; so is one that shares most of its
-    words, as a changed word breaks up to five shingles.  The longest common
-    subsequence of the tokens then decides.
+    Only an answer that shares `WORDS` of its words is looked at, as every word of a
+    contained shingle is shared.  The longest common subsequence of the tokens then
+    decides, or the five-word shingles (`CONTAINED` of the question's) where words were
+    put in.
     """
-    p, a = tokens(prompt), tokens(answer)
+    a = tokens(answer) if words is None else words
+    p = tokens(prompt)
     if not p or not a or len(a) < WORDS * min(len(p), SHINGLE):
         return False
-    sa, sp = shingles(a), shingles(p)
-    held = len(sa & sp)
     known = set(p)
-    if not (sa and held >= CONTAINED * len(sa)) and sum(x in known for x in a) < WORDS * len(a):
-        return False
+    if sum(map(known.__contains__, a)) < WORDS * len(a):
+        return False  # nor can enough shingles be contained
+    held = len(shingles(a) & shingles(p))
     # Where the answer starts in the prompt: the head before it may only be a reference or label.
     start = next((i for i in range(len(p)) if any(p[i : i + 2] == a[k : k + 2] for k in range(3))), 0)
     unit = p[start:]
@@ -321,24 +331,29 @@ def topics(text: str) -> set[str]:
     return {w for w in tokens(low) if len(w) >= 6} | grams
 
 
+def may_refuse(low: str, words: list[str] | None = None) -> bool:
+    """Whether a lower-case text holds a trigger of any template, as a word or, in scripts without blanks, anywhere."""
+    return not TRIGGER_WORDS.isdisjoint(tokens(low) if words is None else words) or any(x in low for x in TRIGGER_PARTS)
+
+
 def refusing(plain: str, spans: list[tuple[int, int]]) -> list[bool]:
     """Which sentences align with a refusal template; Thai ones may be cut at blanks, so there a template may reach over several."""
     low = plain.lower() if len(plain.lower()) == len(plain) else plain
-    out = [TRIGGER.search(low, a, b) is not None and bool(aligned(low[a:b])) for a, b in spans]
+    out = [may_refuse(low[a:b]) and bool(aligned(low[a:b])) for a, b in spans]
     if any("฀" <= c <= "๿" for c in plain):
         for x, y in aligned(low):
             out = [o or (a < y and x < b) for o, (a, b) in zip(out, spans, strict=True)]
     return out
 
 
-def is_refusal(answer: str, prompt: str = "") -> bool:
+def is_refusal(answer: str, prompt: str = "", words: list[str] | None = None) -> bool:
     """Whether a sentence aligns with a refusal template and the others answer nothing.
 
     Every sentence is aligned.  Another one answers if it takes up something the prompt is about
     and neither excuses, explains the refusal nor points elsewhere; so do code and rows of a table,
     and whatever fills more words ahead of the refusal than the refusal has, as it can't explain it yet.
     """
-    if not TRIGGER.search(answer.replace("’", "'").lower()):
+    if not may_refuse(answer.replace("’", "'").lower(), words if words is None or "’" not in answer else None):
         return False
     plain = without_quotes(answer)
     spans = split_sentences(plain)
@@ -489,9 +504,11 @@ def judge(prompts: list[str], answers: list[str], systems: list[str], profiles:
     for i, (p, a) in enumerate(zip(prompts, answers, strict=True)):
         if is_empty(a):
             out[i] = "empty"
-        elif is_copy(p, a):
+            continue
+        words = tokens(a)
+        if is_copy(p, a, words):
             out[i] = "copy"
-        elif is_refusal(a, p):
+        elif is_refusal(a, p, words):
             out[i] = "refusal"
         else:
             left.append(i)
