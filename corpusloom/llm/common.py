@@ -14,6 +14,10 @@ TOKENIZERS = "/opt/tokenizers"
 #: Split pattern of the byte-level BPE vocabularies, in Java's notation.
 PRETOKEN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\p{IsWhite_Space}\p{L}\p{N}]+|\p{IsWhite_Space}+(?!\P{IsWhite_Space})|\p{IsWhite_Space}+"
 
+# What may be one pre-token with a character that Java's Unicode tables lack: the runs of one class on both sides of it.
+_RUN = r"(?:\p{L}+|\p{N}+|[^\p{IsWhite_Space}\p{L}\p{N}\p{Cn}]+)"
+UNASSIGNED = rf" ?{_RUN}?(?:\p{{Cn}}+(?:{_RUN}(?:(?<=')\p{{L}}+)?)?)+"
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

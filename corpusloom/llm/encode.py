@@ -12,19 +12,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusloom.llm.common import PRETOKEN, TOKENIZERS, byte_encoder, read_ranks
-from corpusloom.operators.skew import cut_lineage, join_unique
+from corpusloom.llm.common import PRETOKEN, TOKENIZERS, UNASSIGNED, byte_encoder, read_ranks
+from corpusloom.operators.skew import cut_lineage
 
 
 def pretokens(text: Column) -> Column:
     """The pre-tokens of a text, in order; none for null and empty texts.
 
-    A text with characters that this JVM's Unicode tables lack stays whole: the
-    encoder splits it by its own, newer tables.
+    Where a character is missing from this JVM's Unicode tables, the runs on both sides
+    of it stay together with it: the encoder splits them by its own, newer tables.
     """
     return (
         F.when(F.coalesce(text, F.lit("")) == "", F.array().cast("array<string>"))
-        .when(text.rlike(r"\p{Cn}"), F.array(text))
+        .when(text.rlike(r"\p{Cn}"), F.regexp_extract_all(text, F.lit(f"{UNASSIGNED}|{PRETOKEN}"), F.lit(0)))
         .otherwise(F.regexp_extract_all(text, F.lit(PRETOKEN), F.lit(0)))
     )
 
@@ -44,28 +44,35 @@ def word_table(words: DataFrame, folder: str = TOKENIZERS, name: str = "byte_bpe
     return cut_lineage(counted.select("word", "n", encode_udf(folder, name)(F.col("word")).alias("ids")))
 
 
-def in_order(pairs: Column) -> DataFrame:
-    """Sorted array of (pos, …) structs without repeated positions."""
-    return F.filter(pairs, lambda x, i: (i == 0) | (F.get(pairs, i - 1)["pos"] != x["pos"]))
-
-
-def encode_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folder: str = TOKENIZERS, name: str = "byte_bpe_50k") -> DataFrame:
+def encode_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folder: str = TOKENIZERS, name: str = "byte_bpe_50k", hot_parts: int = 65_536) -> DataFrame:
     """(id_col, ids): the token ids of each text, without special tokens.
 
     Null and empty texts have an empty list.  Strings of special tokens are
     ordinary text.  Equal rows (id and text) give one row; an id with several texts
-    gives a row for each; null ids are kept.  Very frequent words are joined by
-    broadcast, at most 2,000 of them (see `join_unique`), so no word is a hot key.
+    gives a row for each; null ids are kept.
+
+    Documents are partitioned once, by (id, text).  Words with more than 1/`hot_parts`
+    of all places, at most `hot_parts` of them, are broadcast and put in place without
+    a further shuffle; the rest is shuffled by word, where none is hot any more, and
+    back to its document, whose parts are merged by position.
     """
-    d = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    words = d.select("_id", F.xxhash64("_text").alias("_h"), F.posexplode(pretokens(F.col("_text"))).alias("pos", "word"))
-    vocabulary = word_table(words.select("word"), folder, name)
+    # Both branches read the same partitioned documents, so that Spark shuffles them once: the key is never null, and both use all columns.
+    key = F.coalesce(F.unhex(F.md5(F.to_json(F.struct(F.col(id_col).alias("i"), F.col(text_col).alias("t"))))), F.lit(b""))
+    d = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), key.alias("_k"))
+    one = d.groupBy("_k").agg(F.first("_id").alias("_id"), F.first("_text").alias("_text"))
+    vocabulary = word_table(d.select(F.explode(pretokens(F.col("_text"))).alias("word")), folder, name)
     total = vocabulary.agg(F.sum("n")).first()[0] or 0
-    placed = join_unique(words, vocabulary, ["word"], "n", total)
-    rows = placed.groupBy("_id", "_h").agg(F.array_sort(F.collect_list(F.struct("pos", "ids"))).alias("w"))
-    full = rows.select("_id", F.flatten(F.transform(in_order(F.col("w")), lambda x: x["ids"])).alias("ids"))
-    none = d.where(F.coalesce("_text", F.lit("")) == "").select("_id").distinct().select("_id", F.array().cast("array<int>").alias("ids"))
-    return full.unionByName(none).select(F.col("_id").alias(id_col), "ids")
+    least = max(1, total // hot_parts)
+    hot = F.broadcast(vocabulary.where(F.col("n") > least).select("word", "ids"))
+    words = one.select("_k", "_id", F.posexplode_outer(pretokens(F.col("_text"))).alias("pos", "word")).join(hot, "word", "left")
+    part = F.struct("pos", "ids")
+    near = words.groupBy("_k").agg(F.first("_id").alias("_id"), F.collect_list(F.when(F.col("ids").isNotNull(), part)).alias("near"))
+    cold = vocabulary.where(F.col("n") <= least).select("word", F.col("ids").alias("rare"))
+    far = words.where("ids is null and word is not null").select("_k", "_id", "pos", "word").join(cold, "word")
+    far = far.groupBy("_k").agg(F.first("_id").alias("_same"), F.collect_list(F.struct("pos", F.col("rare").alias("ids"))).alias("far"))
+    placed = F.array_sort(F.concat("near", F.coalesce("far", F.array().cast("array<struct<pos:int,ids:array<int>>>"))))
+    own = F.coalesce("_id", "_same").alias(id_col)
+    return near.join(far, "_k", "left").select(own, F.flatten(F.transform(placed, lambda x: x["ids"])).alias("ids"))
 
 
 def token_bytes(spark, folder: str = TOKENIZERS, name: str = "byte_bpe_50k") -> DataFrame:
