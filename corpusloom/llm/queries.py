@@ -87,6 +87,11 @@ def p6_conversations(spark: SparkSession, d: str) -> DataFrame:
     return threads.conversations(table(spark, d, "oasst1"))
 
 
+def p6_rebuilt(spark: SparkSession, d: str) -> DataFrame:
+    """Kept conversations when the likeliest parents stand in for lost ones."""
+    return threads.conversations(table(spark, d, "oasst1"), hours=None, inferred=True)
+
+
 def p6_links(spark: SparkSession, d: str) -> DataFrame:
     """Likeliest parent of every reply, however long after it."""
     return threads.likely_parents(table(spark, d, "oasst1"), hours=None)
@@ -127,6 +132,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         f.__name__: f
         for f in (
             p1_found, p1_shares, p1_mix, p2_found, p2_documents, p2_stretches, p3_found, p3_records, p4_found, p5_budget, p5_documents,
-            p6_found, p6_conversations, p6_links, p7_ids, p7_decoded, p8_containers, p8_report, p9_found, p9_sentences,
+            p6_found, p6_conversations, p6_rebuilt, p6_links, p7_ids, p7_decoded, p8_containers, p8_report, p9_found, p9_sentences,
         )
     }

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions.text import normalize_role, strip, visible
-from corpusloom.operators.skew import cut_lineage
+from corpusloom.operators.skew import cut_lineage, join_unique
 
 #: Weight of a stated parent; above what the other parts of a score can reach together.
 STATED = 10.0
@@ -41,9 +41,12 @@ def words(text: Column) -> Column:
 
 
 def link_score(child: Column, parent: Column, hours: float) -> Column:
-    """Likelihood score in 0..3 of a reply link from time, mentions and lexical overlap."""
+    """Likelihood score in 0..3 of a reply link from time, mentions and lexical overlap.
+
+    A parent dated after its reply, as clocks and imports may have it, counts as twice as far away.
+    """
     gap = (F.unix_micros(child["created_date"]) - F.unix_micros(parent["created_date"])) / 3.6e9
-    time = F.exp(-gap / (hours / 4))
+    time = F.exp(-F.when(gap >= 0, gap).otherwise(-2 * gap) / (hours / 4))
     a, b = words(child["text"]), words(parent["text"])
     overlap = F.size(F.array_intersect(a, b)) / F.greatest(F.lit(1), F.least(F.size(a), F.size(b)))
     said = F.regexp_extract_all(F.coalesce(child["text"], F.lit("")), F.lit(MENTION), F.lit(0))
@@ -55,12 +58,13 @@ def _hour() -> Column:
     return F.floor(F.unix_micros("created_date") / 3.6e9).cast("bigint")
 
 
-def reply_window(live: DataFrame, least: float = 6.0) -> float:
-    """Whole hours that cover the gap of every stated reply link, `least` at least; one row reaches the driver."""
+def reply_window(live: DataFrame, least: float = 6.0) -> tuple[float, float]:
+    """Whole hours that cover how long after (`least` at least) and how long before its parent any stated reply is dated; one row reaches the driver."""
     above = live.select(F.col("message_id").alias("parent_id"), F.col("created_date").alias("before"))
     gap = F.unix_micros("created_date") - F.unix_micros("before")
-    longest = live.select("parent_id", "created_date").join(above, "parent_id").agg(F.max(gap)).first()[0]
-    return max(least, float(-(-(longest or 0) // 3_600_000_000)))
+    late, early = live.select("parent_id", "created_date").join(above, "parent_id").agg(F.max(gap), F.max(-gap)).first()
+    hours = lambda x: float(-(-max(x or 0, 0) // 3_600_000_000))
+    return max(least, hours(late)), hours(early)
 
 
 def last_before(lost: DataFrame, live: DataFrame) -> DataFrame:
@@ -89,11 +93,11 @@ def reply_links(live: DataFrame, hours: float | None = 6.0) -> DataFrame:
     `parent` is null where neither the stated parent exists nor the channel offers a
     candidate: a message of the other speaker in the same message tree, dated up to
     `hours` before.  Candidates are met by (tree, hour), never as all pairs of a tree;
-    ties go to the later, then to the smaller id.  With `hours` None the window covers
-    the gaps of all stated links, and a message without a candidate inside it gets the
-    latest earlier one of its tree.
+    ties go to the nearer, then to the smaller id.  With `hours` None the window covers
+    the gaps of all stated links, those of parents dated after their reply too, and a
+    message without a candidate inside it gets the latest earlier one of its tree.
     """
-    limit = reply_window(live) if hours is None else hours
+    limit, lead = reply_window(live) if hours is None else (hours, 0.0)
     child = live.where(F.col("parent_id").isNotNull())
     ids = live.select(F.col("message_id").alias("parent_id"), F.lit(True).alias("known"))
     c = child.join(ids, "parent_id", "left")
@@ -103,12 +107,12 @@ def reply_links(live: DataFrame, hours: float | None = 6.0) -> DataFrame:
     lost = c.where("known is null").select(*cols)
     if hours is None:
         lost = cut_lineage(lost)
-    seek = lost.select("message_tree_id", F.explode(F.sequence(hour - F.lit(int(limit) + 1), hour)).alias("hour"), F.struct(*cols).alias("child"))
+    seek = lost.select("message_tree_id", F.explode(F.sequence(hour - F.lit(int(limit) + 1), hour + F.lit(int(lead) + (lead > 0)))).alias("hour"), F.struct(*cols).alias("child"))
     offer = live.select("message_tree_id", hour.alias("hour"), F.struct(*cols).alias("cand"))
     a, b = F.col("child"), F.col("cand")
     gap = F.unix_micros(a["created_date"]) - F.unix_micros(b["created_date"])
-    met = seek.join(offer, ["message_tree_id", "hour"]).where((gap >= 0) & (gap <= int(limit * 3.6e9)) & (a["role"] != b["role"]) & (a["message_id"] != b["message_id"]))
-    scored = met.select(a["message_id"].alias("message_id"), link_score(a, b, limit).alias("score"), (-gap).alias("near"), b["message_id"].alias("parent"))
+    met = seek.join(offer, ["message_tree_id", "hour"]).where((gap >= -int(lead * 3.6e9)) & (gap <= int(limit * 3.6e9)) & (a["role"] != b["role"]) & (a["message_id"] != b["message_id"]))
+    scored = met.select(a["message_id"].alias("message_id"), link_score(a, b, limit).alias("score"), (-F.abs(gap)).alias("near"), b["message_id"].alias("parent"))
     best = scored.groupBy("message_id").agg(F.max_by(F.struct("parent", "score"), F.struct("score", "near", "parent")).alias("best"))
     if hours is None:
         best = cut_lineage(best)
@@ -121,87 +125,93 @@ def reply_links(live: DataFrame, hours: float | None = 6.0) -> DataFrame:
 
 
 def resolve_trees(nodes: DataFrame) -> DataFrame:
-    """Follow the links of (id, parent, good, seen) to the top by pointer jumping.
-
-    Adds `end` — 'root', 'missing' (the top's parent doesn't exist) or 'cycle' —
-    `good` and `seen` over the whole path, `depth` and `on_cycle`.  `parent` null
-    marks a root; a parent that is no id is missing.  Each round doubles the
-    distance, so a tree of depth d takes log2(d) joins; rows that are done leave the
-    left side.  Loop counts are read to the driver, rows never are.
+    """Follow the links of (id, ptr, end, good, seen) to the top by pointer jumping.
+
+    `ptr` is the parent, null at a top; `end` says what a top is, 'root' or 'missing'
+    (its parent doesn't exist), and is null elsewhere.  Adds `depth` and `on_cycle`; `good`
+    and `seen` then hold for the whole path and `end` may be 'cycle'.  Each round
+    doubles the distance, so a tree of depth d takes log2(d) joins.  Rows that are done
+    are written once and only looked up.  When a round finishes none, what is open leads
+    to cycles (an open row of a tree has one above it that this round would have
+    finished); it jumps among itself until its images no longer shrink, which then are
+    the cycles.  Loop counts are read to the driver, rows never are.
     """
-    up = nodes.select(F.col("id").alias("parent"), F.lit(True).alias("known"))
-    s = nodes.join(up, "parent", "left").select(
-        "id",
-        F.when(F.col("known"), F.col("parent")).alias("ptr"),
-        F.when(F.col("parent").isNull(), "root").when(F.col("known").isNull(), "missing").alias("end"),
-        "good", "seen", F.lit(1).cast("bigint").alias("depth"),
-    )
-    s = cut_lineage(s)
-    open_before, image_before = -1, -1
-    while True:
-        n = s.where("end is null").agg(F.count(F.lit(1)), F.countDistinct("ptr")).first()
-        if n[0] == 0 or (n[0] == open_before and n[1] == image_before):
-            break
-        open_before, image_before = n
-        top = s.select(F.col("id").alias("ptr"), F.struct(F.col("ptr").alias("p"), "end", "good", "seen", "depth").alias("t"))
-        moved = s.where("end is null").join(top, "ptr").select(
+    s = cut_lineage(nodes.select("id", "ptr", "end", "good", "seen", F.lit(1).cast("bigint").alias("depth")))
+    done, open_ = [s.where("end is not null")], s.where("end is null")
+    before, n = -1, open_.count()
+    while n and n != before:
+        every = open_
+        for part in done:
+            every = every.unionByName(part)
+        top = every.select(F.col("id").alias("ptr"), F.struct(F.col("ptr").alias("p"), "end", "good", "seen", "depth").alias("t"))
+        moved = cut_lineage(open_.join(top, "ptr").select(
             "id", F.col("t.p").alias("ptr"), F.col("t.end").alias("end"), (F.col("good") & F.col("t.good")).alias("good"),
             (F.col("seen") & F.col("t.seen")).alias("seen"), (F.col("depth") + F.col("t.depth")).alias("depth"),
-        )
-        s = cut_lineage(s.where("end is not null").unionByName(moved))
-    if n[0] == 0:
-        return s.select("id", "end", "good", "seen", "depth", F.lit(False).alias("on_cycle"))
-    ring = s.where("end is null").select(F.col("ptr").alias("id"), F.lit(True).alias("on_cycle")).distinct()
-    return s.join(ring, "id", "left").select("id", F.coalesce("end", F.lit("cycle")).alias("end"), "good", "seen", "depth", F.coalesce("on_cycle", F.lit(False)).alias("on_cycle"))
-
-
-def judged_messages(messages: DataFrame, hours: float = 6.0) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Live messages, their chosen links, and one row per message with its verdict.
-
-    Verdict columns: message_id, leaf, reason (null: keep) and depth.  A path with a link
-    that isn't the stated one never reaches a root by its own ids: it is broken.
+        ))
+        done.append(moved.where("end is not null"))
+        open_ = moved.where("end is null")
+        before, n = n, open_.count()
+    cols = ["id", "end", "good", "seen", "depth"]
+    out = done[0].select(*cols, F.lit(False).alias("on_cycle"))
+    for part in done[1:]:
+        out = out.unionByName(part.select(*cols, F.lit(False).alias("on_cycle")))
+    if not n:
+        return out
+    before, images = -1, open_.select("ptr").distinct().count()
+    while images != before:
+        open_ = cut_lineage(open_.join(open_.select(F.col("id").alias("ptr"), F.col("ptr").alias("p")), "ptr").select("id", F.col("p").alias("ptr"), "good", "seen", "depth"))
+        before, images = images, open_.select("ptr").distinct().count()
+    ring = open_.select(F.col("ptr").alias("id"), F.lit(True).alias("on_cycle")).distinct()
+    lost = open_.join(ring, "id", "left").select("id", F.lit("cycle").alias("end"), "good", "seen", "depth", F.coalesce("on_cycle", F.lit(False)).alias("on_cycle"))
+    return out.unionByName(lost)
+
+
+def judged_messages(messages: DataFrame, hours: float | None = 6.0, inferred: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Live messages, the links of their trees, and one row per message with its verdict.
+
+    Verdict columns: message_id, leaf, on_cycle, reason (null: keep) and depth.  A path with a
+    link that isn't the stated one never reaches a root by its own ids: it is broken,
+    unless `inferred` lets the likeliest parents count as parents.
     """
     live = cut_lineage(latest_messages(messages))
     links = cut_lineage(reply_links(live, hours))
-    roots = live.where("parent_id is null").select("message_id", F.lit(None).cast("string").alias("parent"), F.lit(True).alias("stated"))
-    edges = roots.unionByName(links.select("message_id", "parent", "stated"))
-    own = live.select("message_id", "role", visible(F.col("text")).alias("seen"))
+    own = live.select("message_id", "role", visible(F.col("text")).alias("seen"), F.col("parent_id").isNull().alias("root"))
     above = live.select(F.col("message_id").alias("parent"), F.col("role").alias("above"))
-    e = own.join(edges, "message_id").join(above, "parent", "left")
-    turn = F.when(F.col("parent").isNull() & F.col("stated"), F.col("role") == "user").otherwise(
-        F.col("role").isin("user", "assistant") & F.col("above").isin("user", "assistant") & (F.col("role") != F.col("above"))
-    )
-    nodes = e.select(F.col("message_id").alias("id"), F.when(F.col("stated"), F.col("parent")).when(F.col("parent").isNull(), F.lit("")).otherwise(F.col("parent")).alias("parent"), (F.coalesce(turn, F.lit(False)) & F.col("stated")).alias("good"), "seen")
-    nodes = cut_lineage(nodes)
-    ends = resolve_trees(nodes)
-    replied = links.where("stated").select(F.col("parent").alias("id")).distinct().withColumn("replied", F.lit(True))
-    last = live.select(F.col("message_id").alias("id"), "role")
-    v = ends.join(replied, "id", "left").join(last, "id")
+    e = own.join(links.select("message_id", "parent", "stated"), "message_id", "left").join(above, "parent", "left")
+    speakers = F.col("role").isin("user", "assistant") & F.col("above").isin("user", "assistant")
+    turn = F.when(F.col("root"), F.col("role") == "user").otherwise(F.coalesce(speakers & (F.col("role") != F.col("above")), F.lit(False)))
+    end = F.when(F.col("root"), "root").when(F.col("above").isNull(), "missing")
+    good = turn if inferred else turn & (F.col("root") | F.coalesce("stated", F.lit(False)))
+    e = cut_lineage(e.select(F.col("message_id").alias("id"), F.col("parent").alias("ptr"), end.alias("end"), good.alias("good"), "seen", "role", "stated"))
+    chosen = e.where("ptr is not null" if inferred else "ptr is not null and stated").select("id", "ptr")
+    ends = resolve_trees(e)
+    replied = chosen.select(F.col("ptr").alias("id")).distinct().withColumn("replied", F.lit(True))
+    v = ends.join(replied, "id", "left").join(e.select("id", "role"), "id")
     reason = (
-        F.when((F.col("end") != "root") | ~F.col("good"), "broken")
+        F.when(F.col("on_cycle") | (F.col("end") != "root") | ~F.col("good"), "broken")
         .when(~F.col("seen"), "empty")
         .when(F.col("role") == "user", "no_reply")
     )
-    verdict = v.select(F.col("id").alias("message_id"), F.col("replied").isNull().alias("leaf"), "on_cycle", F.when(F.col("on_cycle"), "broken").otherwise(reason).alias("reason"), "depth")
-    return live, links, verdict
+    verdict = v.select(F.col("id").alias("message_id"), F.col("replied").isNull().alias("leaf"), "on_cycle", reason.alias("reason"), "depth")
+    return live, chosen, verdict
 
 
-def dropped_conversations(messages: DataFrame, hours: float = 6.0) -> DataFrame:
+def dropped_conversations(messages: DataFrame, hours: float | None = 6.0) -> DataFrame:
     """(message_id, reason): conversations to drop, named by their last message, and messages on cycles."""
     _, _, v = judged_messages(messages, hours)
     return v.where((F.col("leaf") | F.col("on_cycle")) & F.col("reason").isNotNull()).select("message_id", "reason")
 
 
-def conversations(messages: DataFrame, hours: float = 6.0) -> DataFrame:
-    """(message_id, turns, ranks): the kept conversations with ordered turns.
+def conversations(messages: DataFrame, hours: float | None = 6.0, inferred: bool = False) -> DataFrame:
+    """(message_id, turns, ranks): the kept conversations with ordered turns; `inferred` ones also run over the likeliest parents of messages that lost theirs.
 
     `turns` is an array of (message_id, role, content) from root to last message and
     `ranks` the ranks along it (null as 2147483647), by which siblings are ordered.
     Paths are walked by doubling: the ancestors 1, 2, 4, … steps up give all of them.
     """
-    live, links, v = judged_messages(messages, hours)
+    live, chosen, v = judged_messages(messages, hours, inferred)
     keep = v.where("leaf and reason is null").select("message_id", "depth")
-    up = links.where("stated").select(F.col("message_id").alias("at"), F.col("parent").alias("to"))
+    up = chosen.select(F.col("id").alias("at"), F.col("ptr").alias("to"))
     most = keep.agg(F.max("depth")).first()[0] or 0
     reach = keep.select("message_id", F.col("message_id").alias("at"), F.lit(0).cast("bigint").alias("steps"))
     jump, step = up, 1
@@ -213,7 +223,8 @@ def conversations(messages: DataFrame, hours: float = 6.0) -> DataFrame:
         step *= 2
     said = live.select(F.col("message_id").alias("at"), "role", F.col("text").alias("content"), F.coalesce("rank", F.lit(2147483647)).alias("rank"))
     turn = F.struct((-F.col("steps")).alias("k"), F.col("at").alias("message_id"), "role", "content", "rank")
-    path = reach.join(said, "at").groupBy("message_id").agg(F.array_sort(F.collect_list(turn)).alias("p"))
+    many = cut_lineage(said.join(reach.groupBy("at").agg(F.count(F.lit(1)).alias("n")), "at"))  # a root of many conversations is a hot key
+    path = join_unique(reach, many, ["at"], "n", reach.count()).groupBy("message_id").agg(F.array_sort(F.collect_list(turn)).alias("p"))
     return path.select(
         "message_id",
         F.transform("p", lambda t: F.struct(t["message_id"].alias("message_id"), t["role"].alias("role"), t["content"].alias("content"))).alias("turns"),
