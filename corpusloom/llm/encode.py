@@ -1,32 +1,23 @@
 """Encoding of a corpus by a public byte-level tokenizer through its distinct words.
 
-Texts are cut into pre-tokens in the JVM, each distinct pre-token is encoded
-once, and the ids go back to the positions.  Decoding joins the vocabulary's
+Texts are cut into pre-tokens, each distinct pre-token is encoded once for the whole
+corpus, and the ids go back to the positions.  Decoding joins the vocabulary's
 token-byte table.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+from itertools import chain
+
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusloom.llm.common import PRETOKEN, TOKENIZERS, UNASSIGNED, byte_encoder, read_ranks
-from corpusloom.operators.skew import cut_lineage
-
-
-def pretokens(text: Column) -> Column:
-    """The pre-tokens of a text, in order; none for null and empty texts.
-
-    Where a character is missing from this JVM's Unicode tables, the runs on both sides
-    of it stay together with it: the encoder splits them by its own, newer tables.
-    """
-    return (
-        F.when(F.coalesce(text, F.lit("")) == "", F.array().cast("array<string>"))
-        .when(text.rlike(r"\p{Cn}"), F.regexp_extract_all(text, F.lit(f"{UNASSIGNED}|{PRETOKEN}"), F.lit(0)))
-        .otherwise(F.regexp_extract_all(text, F.lit(PRETOKEN), F.lit(0)))
-    )
+from corpusloom.llm.common import TOKENIZERS, byte_encoder, pretokenizer, read_ranks
+from corpusloom.operators.skew import cut_lineage, spread
 
 
 def encode_udf(folder: str = TOKENIZERS, name: str = "byte_bpe_50k"):
@@ -38,9 +29,19 @@ def encode_udf(folder: str = TOKENIZERS, name: str = "byte_bpe_50k"):
     return encode
 
 
-def word_table(words: DataFrame, folder: str = TOKENIZERS, name: str = "byte_bpe_50k") -> DataFrame:
-    """(word, n, ids): each distinct word with its number of occurrences, encoded once."""
-    counted = words.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+def word_table(texts: DataFrame, text_col: str, folder: str = TOKENIZERS, name: str = "byte_bpe_50k") -> DataFrame:
+    """(word, n, ids): each distinct pre-token with its number of occurrences, encoded once."""
+
+    def count(batches):
+        cut = pretokenizer(folder)
+        for b in batches:
+            c = Counter()
+            for t in b.column(text_col).to_pylist():
+                if t:
+                    c.update(cut(t))
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()), pa.array(list(c.values()), pa.int64())], ["word", "n"])
+
+    counted = spread(texts.select(text_col)).mapInArrow(count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
     return cut_lineage(counted.select("word", "n", encode_udf(folder, name)(F.col("word")).alias("ids")))
 
 
@@ -52,27 +53,60 @@ def encode_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     gives a row for each; null ids are kept.
 
     Documents are partitioned once, by (id, text).  Words with more than 1/`hot_parts`
-    of all places, at most `hot_parts` of them, are broadcast and put in place without
-    a further shuffle; the rest is shuffled by word, where none is hot any more, and
-    back to its document, whose parts are merged by position.
+    of all places, so at most `hot_parts` of them, go to every worker and are put in
+    place there; what lies between the others stays in runs.  The others are shuffled
+    by word, where none is hot any more, to meet their ids, and by document to fill
+    the gaps between the runs.
     """
-    # Both branches read the same partitioned documents, so that Spark shuffles them once: the key is never null, and both use all columns.
-    key = F.coalesce(F.unhex(F.md5(F.to_json(F.struct(F.col(id_col).alias("i"), F.col(text_col).alias("t"))))), F.lit(b""))
-    d = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), key.alias("_k"))
+    # Both branches read the same partitioned documents, so that Spark shuffles them once.
+    key = F.unhex(F.md5(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("\x01")), F.lit("\x00"), F.coalesce(F.col(text_col), F.lit("")))))
+    d = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"), key.alias("_k"))
     one = d.groupBy("_k").agg(F.first("_id").alias("_id"), F.first("_text").alias("_text"))
-    vocabulary = word_table(d.select(F.explode(pretokens(F.col("_text"))).alias("word")), folder, name)
+    vocabulary = word_table(d, "_text", folder, name)
     total = vocabulary.agg(F.sum("n")).first()[0] or 0
     least = max(1, total // hot_parts)
-    hot = F.broadcast(vocabulary.where(F.col("n") > least).select("word", "ids"))
-    words = one.select("_k", "_id", F.posexplode_outer(pretokens(F.col("_text"))).alias("pos", "word")).join(hot, "word", "left")
-    part = F.struct("pos", "ids")
-    near = words.groupBy("_k").agg(F.first("_id").alias("_id"), F.collect_list(F.when(F.col("ids").isNotNull(), part)).alias("near"))
-    cold = vocabulary.where(F.col("n") <= least).select("word", F.col("ids").alias("rare"))
-    far = words.where("ids is null and word is not null").select("_k", "_id", "pos", "word").join(cold, "word")
-    far = far.groupBy("_k").agg(F.first("_id").alias("_same"), F.collect_list(F.struct("pos", F.col("rare").alias("ids"))).alias("far"))
-    placed = F.array_sort(F.concat("near", F.coalesce("far", F.array().cast("array<struct<pos:int,ids:array<int>>>"))))
-    own = F.coalesce("_id", "_same").alias(id_col)
-    return near.join(far, "_k", "left").select(own, F.flatten(F.transform(placed, lambda x: x["ids"])).alias("ids"))
+    hot = {r["word"]: r["ids"] for r in vocabulary.where(F.col("n") > least).select("word", "ids").collect()}  # at most hot_parts rows
+    shared = docs.sparkSession.sparkContext.broadcast(hot)
+
+    def runs(text: str) -> list[list[int]]:
+        """The ids of a text's hot words, cut at every other word."""
+        words, known = pretokenizer(folder)(text), shared.value
+        try:
+            return [list(chain.from_iterable(map(known.__getitem__, words)))]
+        except KeyError:
+            out = [[]]
+            for w in words:
+                ids = known.get(w)
+                if ids is None:
+                    out.append([])
+                else:
+                    out[-1].extend(ids)
+            return out
+
+    def near(batches):
+        kind = pa.list_(pa.list_(pa.int32()))
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column("_k"), b.column("_id"), pa.array([runs(t) for t in b.column("_text").to_pylist()], kind)], ["_k", "_id", "runs"])
+
+    def far(batches):
+        cut, known = pretokenizer(folder), shared.value
+        for b in batches:
+            keys, at, words = [], [], []
+            for k, t in zip(b.column("_k").to_pylist(), b.column("_text").to_pylist(), strict=True):
+                rare = [w for w in cut(t) if w not in known]
+                keys += [k] * len(rare)
+                at += range(len(rare))
+                words += rare
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(at, pa.int32()), pa.array(words, pa.string())], ["_k", "at", "word"])
+
+    kind = T.StructType([T.StructField("_k", T.BinaryType()), T.StructField("_id", docs.schema[id_col].dataType), T.StructField("runs", T.ArrayType(T.ArrayType(T.IntegerType())))])
+    whole = one.select("_k", "_id", "_text").mapInArrow(near, kind)
+    cold = vocabulary.where(F.col("n") <= least).select("word", "ids")
+    rare = one.select("_k", "_id", "_text").mapInArrow(far, "_k binary, at int, word string").join(cold, "word")
+    rare = rare.groupBy("_k").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "ids"))), lambda x: x["ids"]).alias("rare"))
+    none = F.array().cast("array<int>")
+    ids = F.flatten(F.zip_with("runs", F.coalesce("rare", F.array().cast("array<array<int>>")), lambda a, b: F.concat(a, F.coalesce(b, none))))
+    return whole.join(rare, "_k", "left").select(F.col("_id").alias(id_col), ids.alias("ids"))
 
 
 def token_bytes(spark, folder: str = TOKENIZERS, name: str = "byte_bpe_50k") -> DataFrame:
