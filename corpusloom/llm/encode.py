@@ -68,45 +68,41 @@ def encode_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     hot = {r["word"]: r["ids"] for r in vocabulary.where(F.col("n") > least).select("word", "ids").collect()}  # at most hot_parts rows
     shared = docs.sparkSession.sparkContext.broadcast(hot)
 
-    def runs(text: str) -> list[list[int]]:
-        """The ids of a text's hot words, cut at every other word."""
+    def place(text: str) -> tuple[list[list[int]], list[str]]:
+        """The ids of a text's hot words, cut at every other word, and those other words."""
         words, known = pretokenizer(folder)(text), shared.value
         try:
-            return [list(chain.from_iterable(map(known.__getitem__, words)))]
+            return [list(chain.from_iterable(map(known.__getitem__, words)))], []
         except KeyError:
-            out = [[]]
+            runs, rare = [[]], []
             for w in words:
                 ids = known.get(w)
                 if ids is None:
-                    out.append([])
+                    runs.append([])
+                    rare.append(w)
                 else:
-                    out[-1].extend(ids)
-            return out
+                    runs[-1].extend(ids)
+            return runs, rare
 
-    def near(batches):
-        kind = pa.list_(pa.list_(pa.int32()))
+    def run(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("_k"), b.column("_id"), pa.array([runs(t) for t in b.column("_text").to_pylist()], kind)], ["_k", "_id", "runs"])
-
-    def far(batches):
-        cut, known = pretokenizer(folder), shared.value
-        for b in batches:
-            keys, at, words = [], [], []
-            for k, t in zip(b.column("_k").to_pylist(), b.column("_text").to_pylist(), strict=True):
-                rare = [w for w in cut(t) if w not in known]
-                keys += [k] * len(rare)
-                at += range(len(rare))
-                words += rare
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(at, pa.int32()), pa.array(words, pa.string())], ["_k", "at", "word"])
-
-    kind = T.StructType([T.StructField("_k", T.BinaryType()), T.StructField("_id", docs.schema[id_col].dataType), T.StructField("runs", T.ArrayType(T.ArrayType(T.IntegerType())))])
-    whole = one.select("_k", "_id", "_text").mapInArrow(near, kind)
+            placed = [place(t) for t in b.column("_text").to_pylist()]
+            runs = pa.array([x[0] for x in placed], pa.list_(pa.list_(pa.int32())))
+            yield pa.RecordBatch.from_arrays([b.column("_k"), b.column("_id"), runs, pa.array([x[1] for x in placed], pa.list_(pa.string()))], ["_k", "_id", "runs", "words"])
+
+    ints = T.ArrayType(T.ArrayType(T.IntegerType()))
+    kind = T.StructType([T.StructField("_k", T.BinaryType()), T.StructField("_id", docs.schema[id_col].dataType), T.StructField("runs", ints), T.StructField("words", T.ArrayType(T.StringType()))])
+    # Read by both branches with all its columns, so that it is made and shuffled once.
+    whole = one.select("_k", "_id", "_text").mapInArrow(run, kind).repartition(F.col("_k"))
     cold = vocabulary.where(F.col("n") <= least).select("word", "ids")
-    rare = one.select("_k", "_id", "_text").mapInArrow(far, "_k binary, at int, word string").join(cold, "word")
-    rare = rare.groupBy("_k").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "ids"))), lambda x: x["ids"]).alias("rare"))
+    rare = whole.select("_k", "_id", F.size("runs").alias("_n"), F.posexplode_outer("words").alias("at", "word")).join(cold, "word")
+    rare = rare.groupBy("_k").agg(F.first("_id").alias("_same"), F.first("_n").alias("_n"), F.transform(F.array_sort(F.collect_list(F.struct("at", "ids"))), lambda x: x["ids"]).alias("rare"))
     none = F.array().cast("array<int>")
-    ids = F.flatten(F.zip_with("runs", F.coalesce("rare", F.array().cast("array<array<int>>")), lambda a, b: F.concat(a, F.coalesce(b, none))))
-    return whole.join(rare, "_k", "left").select(F.col("_id").alias(id_col), ids.alias("ids"))
+    filled = F.flatten(F.zip_with("runs", F.coalesce("rare", F.array().cast("array<array<int>>")), lambda a, b: F.concat(a, F.coalesce(b, none))))
+    # A gap without ids would be an error of the method, not a result.
+    met = (F.size("words") == F.coalesce("_n", F.lit(1)) - 1) & (F.size("words") == F.coalesce(F.size("rare"), F.lit(0)))
+    checked = F.when(met, filled).otherwise(F.raise_error(F.lit("a word has no ids")).cast("array<int>"))
+    return whole.join(rare, "_k", "left").select(F.coalesce("_id", "_same").alias(id_col), checked.alias("ids"))
 
 
 def token_bytes(spark, folder: str = TOKENIZERS, name: str = "byte_bpe_50k") -> DataFrame:

@@ -2,10 +2,13 @@
 
 Characters are tagged as boundary or inside by a linear-chain model and Viterbi
 decoding.  Emission scores are log odds: for marks with a meaning of their own they
-come from the mark, its neighbours and lists of abbreviations; where a mark says
-nothing (ellipses, blanks in scripts without marks) they come from the contexts of
-sentence ends and starts, counted on text stripped of its punctuation.  Only a
-sequence with letters or digits in every sentence is allowed.
+are weights of the mark, its neighbours and lists of abbreviations; where a mark says
+nothing (ellipses, blanks in scripts without marks) they are log likelihood ratios of
+the letters before and behind, counted on text stripped of its punctuation: letters at
+proven ends and starts of sentences against letters inside.  How often such a place is
+a boundary, and how often after another one, is not known from labels; both are
+estimated by expectation maximisation over all places of the documents and are the
+chain's transitions.  Only a sequence with letters or digits in every sentence is allowed.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusloom.operators.skew import spread
+from corpusloom.operators.skew import cut_lineage, spread
 
 # Abbreviations that never end a sentence before a capital letter.
 NEVER = frozenset(
@@ -55,16 +58,31 @@ BREAK = re.compile(r"\r\n|[\n\r\u2028\u2029\x0b\x0c\x85]")
 PARTICLES = frozenset("とってはがをのにもで、，,；;：:—–-")
 
 
+BLANK, DOTS = "blank", "dots"
+DENSE_TWO = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff]{2}")
+#: Without a fitted model blanks between letters of scripts without marks are cut.
+UNFITTED = {BLANK: 4.0, DOTS: 0.5}
+
+
 class Contexts:
-    """Log likelihood ratios of the characters before and after a boundary, for scripts without blanks."""
+    """Emissions and transitions of places without a mark that tells.
+
+    `left` and `right` hold log likelihood ratios of the letters before and behind a
+    boundary, `other` those of letters not in them (by side and number of letters).
+    `chain` gives, for each kind of place, the log odds of a boundary after a place
+    that is one and after one that isn't; a kind without an entry is even.
+    """
 
-    def __init__(self, left: dict[str, float], right: dict[str, float]):
-        self.left, self.right = left, right
+    def __init__(self, left: dict[str, float], right: dict[str, float], other: dict[str, float] | None = None, chain: dict[str, tuple[float, float]] | None = None):
+        self.left, self.right, self.other, self.chain = left, right, other or {}, chain or {}
 
     def score(self, before: str, after: str) -> float:
-        """Positive when `before` tends to end and `after` to start sentences."""
-        a = next((self.left[before[-n:]] for n in (3, 2) if before[-n:] in self.left), -1.0 if self.left else 0.0)
-        b = next((self.right[after[:n]] for n in (3, 2) if after[:n] in self.right), -1.0 if self.right else 0.0)
+        """Positive when `before` tends to end and `after` to start sentences; fewer than two letters of these scripts say nothing."""
+        a = b = 0.0
+        if DENSE_TWO.match(before[-2:]):
+            a = next((self.left[before[-n:]] for n in (3, 2) if before[-n:] in self.left), self.other.get("l", 0.0))
+        if DENSE_TWO.match(after):
+            b = next((self.right[after[:n]] for n in (3, 2) if after[:n] in self.right), self.other.get("r", 0.0))
         return a + b
 
 
@@ -230,8 +248,11 @@ def mark_score(text: str, m: re.Match, closed: dict[int, int], fresh) -> float:
     return 9.0 if not wrap or starts else 8.0
 
 
-def candidates(text: str, contexts: Contexts | None = None) -> list[tuple[int, float]]:
-    """(place behind the last character, log odds) of every possible boundary, in order."""
+def candidates(text: str, contexts: Contexts | None = None, kinds: dict[int, str] | None = None) -> list[tuple[int, float]]:
+    """(place behind the last character, log odds) of every possible boundary, in order.
+
+    `kinds` takes the kind of those places whose mark doesn't tell.
+    """
     ends, blocks = line_breaks(text)
     shut = pairs(text, blocks)
     closed = {b: a for a, b in shut}
@@ -248,7 +269,7 @@ def candidates(text: str, contexts: Contexts | None = None) -> list[tuple[int, f
 
     def fresh(o: int) -> bool:
         """Whether a bracket opens at the beginning of a sentence."""
-        head = text[:o][-80:].rstrip(" \t\xa0\u202f　\ufeff")
+        head = text[max(0, o - 80) : o].rstrip(" \t\xa0\u202f　\ufeff")
         if not head or head[-1] in "\n\r\u2028\u2029":
             k = bisect_left(blocks, o + 1) - 1
             if not head or k < 0 or not text[blocks[k] : o].strip("\ufeff \t　\xa0"):
@@ -276,17 +297,18 @@ def candidates(text: str, contexts: Contexts | None = None) -> list[tuple[int, f
         if item and m2.start() < item.end():
             continue
         s = mark_score(text, m2, closed, fresh)
-        if s == 0.0 and contexts is not None:
-            s = 0.5 + contexts.score(letters_before(text, m2.start()), letters_after(text, m2.end()))
         place = m2.end()
+        if s == 0.0:
+            s = UNFITTED[DOTS] if contexts is None else contexts.score(letters_before(text, m2.start()), letters_after(text, m2.end()))
+            if kinds is not None:
+                kinds[place] = DOTS
         tail = re.compile(f"[ \xa0]?[{EMOJI}]+(?=\\s|$)").match(text, place)
         found[tail.end() if tail and s > 0 else place] = s
     for m in DENSE_BLANK.finditer(text):
         if not inside(m.start()):
-            s = 4.0
-            if contexts is not None:
-                s += max(-3.0, min(3.0, contexts.score(text[max(0, m.start() - 3) : m.start()], text[m.end() : m.end() + 3])))
-            found[m.start()] = s
+            found[m.start()] = UNFITTED[BLANK] if contexts is None else contexts.score(text[max(0, m.start() - 3) : m.start()], text[m.end() : m.end() + 3])
+            if kinds is not None:
+                kinds[m.start()] = BLANK
     for a in line_ends:
         found[a] = 20.0
     return sorted(found.items())
@@ -311,50 +333,44 @@ def letters_after(text: str, i: int) -> str:
     return re.sub(r"\W+", "", text[i : i + 8])[:3]
 
 
-def decode(text: str, marks: list[tuple[int, float]]) -> list[int]:
+def decode(text: str, marks: list[tuple[int, float]], kinds: dict[int, str] | None = None, chain: dict[str, tuple[float, float]] | None = None) -> list[int]:
     """Viterbi decoding of the tags boundary and inside over the candidates: the chosen places.
 
     A boundary may only follow another if a letter or digit lies between them; line
-    ends (which are certain) are exempt.
+    ends (which are certain) are exempt.  Places of a kind in `chain` add its log odds
+    after a boundary or after an inside place.
     """
     n = len(marks)
     if not n:
         return []
-    # State of a candidate: the index of the last boundary before it matters only through
-    # whether there has been anything wordy since; so two states suffice.
-    wordy = []
+    kinds, chain = kinds or {}, chain or {}
+    # A state is (whether something wordy has come since the last boundary, whether the last candidate is a boundary).
+    best = {(0, 1): 0.0}
+    trail: list[dict[tuple[int, int], tuple[tuple[int, int], bool]]] = []
     at = 0
-    for place, _ in marks:
-        wordy.append(WORDY.search(text, at, place) is not None)
+    for place, score in marks:
+        wordy = WORDY.search(text, at, place) is not None
         at = place
-    # best[s]: s = 1 if something wordy has been seen since the last boundary
-    best = {0: (0.0, None), 1: (-1e18, None)}
-    trail: list[dict[int, tuple[int, bool]]] = []
-    for (_, score), w in zip(marks, wordy, strict=True):
-        new: dict[int, tuple[float, None]] = {0: (-1e18, None), 1: (-1e18, None)}
-        step: dict[int, tuple[int, bool]] = {}
-        for s in (0, 1):
-            value = best[s][0]
-            if value <= -1e17:
-                continue
-            seen = 1 if (s or w) else 0
-            for cut in (False, True):
-                if cut and not seen and score < 20:
-                    continue
-                v = value + (score if cut else 0.0)
-                t = 0 if cut else seen
-                if v > new[t][0]:
-                    new[t] = (v, None)
+        step_odds = chain.get(kinds.get(place, ""), (0.0, 0.0))
+        new: dict[tuple[int, int], float] = {}
+        step: dict[tuple[int, int], tuple[tuple[int, int], bool]] = {}
+        for s, value in best.items():
+            seen = 1 if s[0] or wordy else 0
+            options = [((seen, 0), value, False)]
+            if seen or score >= 20:
+                options.append(((0, 1), value + score + (step_odds[0] if s[1] else step_odds[1]), True))
+            for t, v, cut in options:
+                if t not in new or v > new[t]:
+                    new[t] = v
                     step[t] = (s, cut)
         best = new
         trail.append(step)
-    s = 0 if best[0][0] >= best[1][0] else 1
+    s = max(best, key=lambda k: (best[k], -k[1]))
     out = []
     for k in range(n - 1, -1, -1):
-        s_prev, cut = trail[k][s]
+        s, cut = trail[k][s]
         if cut:
             out.append(marks[k][0])
-        s = s_prev
     return out[::-1]
 
 
@@ -364,7 +380,9 @@ def split_sentences(text: str | None, contexts: Contexts | None = None) -> list[
         return []
     out: list[tuple[int, int]] = []
     at = 0
-    for cut in [*decode(text, candidates(text, contexts)), len(text)]:
+    kinds: dict[int, str] = {}
+    places = candidates(text, contexts, kinds)
+    for cut in [*decode(text, places, kinds, contexts.chain if contexts is not None else None), len(text)]:
         a, b = at, cut
         while a < b and (text[a].isspace() or text[a] == "\ufeff"):
             a += 1
@@ -380,58 +398,161 @@ def split_sentences(text: str | None, contexts: Contexts | None = None) -> list[
     return out
 
 
-def count_contexts(texts: list[str]) -> dict[tuple[str, str], list[int]]:
-    """Counts [at boundaries, inside] of letter groups before ('l') and behind ('r') each place of unpunctuated scripts.
+# Proven boundaries for counting: marks of their own, and empty lines.
+PROOF = re.compile(r"[。！？｡!?]+|\n[ \t\r　]*\n|\r\n[ \t　]*\r\n")
+SIDES = ("l", "r")
+#: Places a context must hold of all proven boundaries to be kept, so at most 1/`KEPT` of each side and length are.
+KEPT = 2e-5
+
+
+def is_dense(a: np.ndarray) -> np.ndarray:
+    return ((a >= 0x0E00) & (a <= 0x0EFF)) | ((a >= 0x1000) & (a <= 0x109F)) | ((a >= 0x1780) & (a <= 0x17FF)) | ((a >= 0x3040) & (a <= 0x30FF)) | ((a >= 0x3400) & (a <= 0x9FFF))
 
-    Boundaries come from marks and line ends that leave no doubt; then the
-    punctuation is stripped and every other place between letters counts as inside.
-    """
-    dense = re.compile("[฀-๿぀-ヿ㐀-鿿]")
-    out: dict[tuple[str, str], list[int]] = {}
 
-    def add(side: str, gram: str, k: int) -> None:
-        if len(gram) >= 2:
-            out.setdefault((side, gram), [0, 0])[k] += 1
+def count_contexts(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(key, ends, inside) of the groups of two and three letters before (odd keys) and behind places in scripts without blanks.
 
+    The text is stripped of its punctuation: what lies between two letters only tells
+    whether the place is proven, open (blanks and other signs) or inside.  Open places
+    are left out.
+    """
+    flat = "\x00".join("\x00".join(PROOF.split(t)) for t in texts if t) + "\x00"
+    a = np.frombuffer(flat.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64)
+    cut = a == 0
+    letter = is_dense(a)
+    other = ~letter & ~cut & (a > 0x7F) & np.fromiter(map(str.isalnum, flat), bool, len(flat)) | (~letter & (a < 0x80) & np.isin(a, _ASCII_WORD))
+    keep = np.flatnonzero(letter | other | cut)
+    code, is_cut, ok = a[keep], cut[keep], letter[keep]
+    near = np.diff(keep, append=len(a)) == 1  # nothing between this one and the next
+    keys, ends, inside = [], [], []
+    for n in (2, 3):
+        if len(code) <= n + 1:
+            break
+        gram = np.zeros(len(code) - n + 1, dtype=np.int64)
+        good = np.ones(len(gram), dtype=bool)
+        for k in range(n):
+            gram = (gram << 16) | (code[k : len(code) - n + 1 + k] & 0xFFFF)
+            good &= ok[k : len(code) - n + 1 + k]
+            if k:
+                good &= near[k - 1 : len(code) - n + k]
+        first, last = np.arange(len(gram)), np.arange(n - 1, len(code))
+        after, before = np.minimum(last + 1, len(code) - 1), np.maximum(first - 1, 0)
+        for side, end, within in (
+            (1, is_cut[after], near[last] & ok[after]),
+            (0, is_cut[before] | (first == 0), near[before] & ok[before] & (first > 0)),
+        ):
+            for flags, out, zero in ((good & end, ends, inside), (good & ~end & within, inside, ends)):
+                k, c = np.unique(gram[flags] * 8 + (n - 2) * 2 + side, return_counts=True)
+                keys.append(k)
+                out.append(c)
+                zero.append(np.zeros(len(c), dtype=np.int64))
+    if not keys:
+        return (np.zeros(0, np.int64),) * 3
+    return np.concatenate(keys), np.concatenate(ends), np.concatenate(inside)
+
+
+_ASCII_WORD = np.array([i for i in range(128) if chr(i).isalnum()])
+
+
+def open_scores(texts: list[str], contexts: Contexts) -> list[tuple[str, int, int, int]]:
+    """(kind, score before, score, n): how often places whose mark doesn't tell follow each other with these rounded scores; 999 without one before."""
+    out: dict[tuple[str, int, int], int] = {}
     for t in texts:
-        if not t or not dense.search(t):
+        if not t:
             continue
-        cuts = [p for p, s in candidates(t) if s >= 8.0 or (s >= 4.0 and t[p : p + 1] in " 　")]
-        sentences = [re.sub(r"[\W_]+", "", t[a:b]) for a, b in zip([0, *cuts], [*cuts, len(t)], strict=True)]
-        for s in sentences:
-            if len(s) < 6 or not dense.match(s[-1]):
-                continue
-            for n in (2, 3):
-                add("l", s[-n:], 0)
-                add("r", s[:n], 0)
-                for i in range(3, len(s) - 3):
-                    add("l", s[i - n : i], 1)
-                    add("r", s[i : i + n], 1)
+        kinds: dict[int, str] = {}
+        before = 999
+        for place, score in open_places(t, contexts, kinds):
+            s = max(-80, min(80, round(2 * score)))
+            key = (kinds[place], before, s)
+            out[key] = out.get(key, 0) + 1
+            before = s
+    return [(*k, n) for k, n in out.items()]
+
+
+ELLIPSIS = re.compile(r"(?<=[぀-ヿ㐀-鿿])(?:…+|\.{2,})(?=[぀-ヿ㐀-鿿])")
+
+
+def open_places(text: str, contexts: Contexts, kinds: dict[int, str]) -> list[tuple[int, float]]:
+    """The places whose mark doesn't tell, in order, outside of what `candidates` looks at besides."""
+    found = []
+    for m in DENSE_BLANK.finditer(text):
+        found.append((m.start(), contexts.score(text[max(0, m.start() - 3) : m.start()], text[m.end() : m.end() + 3])))
+        kinds[m.start()] = BLANK
+    for m in ELLIPSIS.finditer(text):
+        found.append((m.end(), contexts.score(letters_before(text, m.start()), letters_after(text, m.end()))))
+        kinds[m.end()] = DOTS
+    return sorted(found)
+
+
+def fit_chain(rows: list[tuple[str, int, int, int]], rounds: int = 50) -> dict[str, tuple[float, float]]:
+    """Log odds of a boundary after a boundary and after an inside place, of each kind, by expectation maximisation over `open_scores`.
+
+    Scores are log likelihood ratios, so a place's posterior follows from them and the
+    transition; the expected transitions give the next ones.
+    """
+    out = {}
+    for kind in sorted({r[0] for r in rows}):
+        own = [(0.0 if b == 999 else b / 2, b != 999, s / 2, n) for k, b, s, n in rows if k == kind]
+        prev, has, cur, n = (np.array(x, dtype=float) for x in zip(*own, strict=True))
+        p, after_b, after_i = 0.5, 0.5, 0.5
+        sig = lambda x: 1 / (1 + np.exp(-np.clip(x, -60, 60)))
+        odds = lambda x: np.log(x / (1 - x))
+        for _ in range(rounds):
+            before = np.where(has > 0, sig(odds(p) + prev), 1.0)  # a text begins with a sentence
+            b, i = sig(odds(after_b) + cur), sig(odds(after_i) + cur)
+            now = before * b + (1 - before) * i
+            total = n.sum() + 2
+            p = float(np.clip(((n * now).sum() + 1) / total, 1e-4, 1 - 1e-4))
+            after_b = float(np.clip(((n * before * b).sum() + 1) / ((n * before).sum() + 2), 1e-4, 1 - 1e-4))
+            after_i = float(np.clip(((n * (1 - before) * i).sum() + p) / ((n * (1 - before)).sum() + 1), 1e-4, 1 - 1e-4))
+        out[kind] = (float(odds(after_b)), float(odds(after_i)))
     return out
 
 
-def fit_contexts(docs: DataFrame, text_col: str = "text", sample_rows: int = 4_000, least: int = 3, most: int = 50_000) -> Contexts:
-    """Contexts fitted on the `sample_rows` texts with the smallest hashes (a bound; all texts if there are fewer)."""
-    t = docs.where(F.col(text_col).rlike("[฀-๿぀-ヿ㐀-鿿]")).select(F.col(text_col).alias("t"))
-    n = t.count()
-    if n > sample_rows:
-        t = t.where(F.xxhash64("t") < F.lit(int(2**64 * sample_rows / n) - 2**63))
+def fit_contexts(docs: DataFrame, text_col: str = "text", kept: float = KEPT) -> Contexts:
+    """Contexts and transitions fitted on all texts of scripts without blanks.
+
+    The tables that reach the driver hold at most 1/`kept` groups of letters a side and
+    length, and one row per pair of rounded scores.
+    """
+    t = docs.where(F.col(text_col).rlike("[฀-๿຀-໿က-႟ក-៿぀-ヿ㐀-鿿]")).select(F.col(text_col).alias("t"))
 
     def count(batches):
         for pdf in batches:
-            c = count_contexts(pdf["t"].tolist())
-            yield pd.DataFrame([(side, g, a, b) for (side, g), (a, b) in c.items()], columns=["side", "gram", "ends", "inside"])
-
-    rows = spread(t).mapInPandas(count, "side string, gram string, ends bigint, inside bigint").groupBy("side", "gram").agg(F.sum("ends").alias("ends"), F.sum("inside").alias("inside"))
-    got = rows.where(F.col("ends") + F.col("inside") >= least).orderBy(F.desc(F.col("ends") + F.col("inside")), "side", "gram").limit(most).collect()
+            k, e, i = count_contexts(pdf["t"].tolist())
+            yield pd.DataFrame({"key": k, "ends": e, "inside": i})
+
+    rows = cut_lineage(spread(t).mapInPandas(count, "key bigint, ends bigint, inside bigint").groupBy("key").agg(F.sum("ends").alias("ends"), F.sum("inside").alias("inside")))
+    group = F.col("key") % 8
+    sums = {r["g"]: (r["e"], r["i"]) for r in rows.groupBy(group.alias("g")).agg(F.sum("ends").alias("e"), F.sum("inside").alias("i")).collect()}
+    least = F.lit(0)
+    for g, (e, _) in sums.items():
+        least = F.when(group == g, F.lit(max(1.0, kept * e))).otherwise(least)
+    got = rows.where((F.col("ends") > 0) & (F.col("ends") >= least)).collect()
     tables: dict[str, dict[str, float]] = {"l": {}, "r": {}}
-    for side in ("l", "r"):
-        for size in (2, 3):
-            own = [r for r in got if r["side"] == side and len(r["gram"]) == size]
-            e, i = sum(r["ends"] for r in own) + 1, sum(r["inside"] for r in own) + 1
-            for r in own:
-                tables[side][r["gram"]] = float(np.log((r["ends"] + 0.3) / e) - np.log((r["inside"] + 0.3) / i))
-    return Contexts(tables["l"], tables["r"])
+    rest = {g: list(v) for g, v in sums.items()}
+    once = dict.fromkeys(sums, 0)
+    for r in got:
+        g = r["key"] % 8
+        e, i = sums[g]
+        gram, n = r["key"] // 8, 2 + g // 2
+        rest[g][0] -= r["ends"]
+        once[g] += r["ends"] == 1
+        rest[g][1] -= r["inside"]
+        tables["l" if g % 2 else "r"]["".join(chr(gram >> 16 * (n - 1 - j) & 0xFFFF) for j in range(n))] = float(np.log((r["ends"] + 0.3) / (e + 1)) - np.log((r["inside"] + 0.3) / (i + 1)))
+    # Ends never seen are as likely as those seen once.
+    other = {side: float(np.log((max(rest[g][0], once[g]) + 0.3) / (sums[g][0] + 1)) - np.log((rest[g][1] + 0.3) / (sums[g][1] + 1))) for side, g in (("l", 1), ("r", 0)) if g in sums}
+    model = Contexts(tables["l"], tables["r"], other)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def scores(batches):
+        for pdf in batches:
+            yield pd.DataFrame(open_scores(pdf["t"].tolist(), shared.value), columns=["kind", "before", "score", "n"])
+
+    seen = spread(t).mapInPandas(scores, "kind string, before int, score int, n bigint").groupBy("kind", "before", "score").agg(F.sum("n").alias("n")).collect()
+    model.chain = fit_chain([tuple(r) for r in seen])
+    return model
 
 
 SENTENCES = T.StructType([T.StructField("start_char", T.LongType()), T.StructField("end_char", T.LongType())])

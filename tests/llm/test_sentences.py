@@ -66,3 +66,27 @@ def test_operator(spark):
     got = S.sentences(df, contexts=S.Contexts({}, {})).collect()
     assert sorted(((r["doc_id"] or 0), r["start_char"], r["end_char"]) for r in got) == [(0, 0, 5), (1, 0, 4), (1, 5, 9)]
     assert S.sentences(df.limit(0)).count() == 0
+
+
+def test_chain_decides():
+    """Blanks of scripts without marks are cut by the model: no evidence, or evidence against, and they aren't."""
+    th = "ตัวตัดคำนับคำทุกคำ ป้ายภาษาอ่านไฟล์สองครั้ง"
+    even = S.Contexts({}, {})
+    assert parts(th, even) == [th]
+    assert len(parts(th, S.Contexts({}, {}, chain={"blank": (2.0, 2.0)}))) == 2
+    assert parts(th, S.Contexts({"คำ": -100.0}, {}, chain={"blank": (2.0, 2.0)})) == [th]
+    assert len(parts(th, S.Contexts({"คำ": 3.0}, {}))) == 2
+
+
+def test_transitions_by_expectation_maximisation():
+    """Half of the places have boundary contexts; nearly all of another kind have."""
+    chain = S.fit_chain([("dots", 999, 12, 500), ("dots", 999, -12, 500), ("blank", 999, 10, 990), ("blank", 10, 10, 900), ("blank", 999, -10, 10)])
+    assert abs(chain["dots"][0]) < 0.3 and chain["blank"][0] > 3
+
+
+def test_contexts_on_stripped_text(spark):
+    """Letters at proven ends score above letters inside; every text counts, whatever the sample."""
+    rows = [(i, f"เราอ่านหนังสือเล่ม{'กขคงจ'[i % 5]}แล้วนะ\n\nเขาเขียนจดหมายยาวแล้วนะ\n\n") for i in range(50)]
+    c = S.fit_contexts(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    assert c.score("วนะ", "เขา") > 2 > c.score("อ่า", "จดห")
+    assert S.fit_contexts(spark.createDataFrame([], "doc_id bigint, text string")).chain == {}
