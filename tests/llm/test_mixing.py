@@ -21,6 +21,11 @@ def test_pivotal_keeps_sums_and_probabilities():
         hits += full
     assert np.abs(hits / 4000 - p).max() < 0.04
     assert mixing.pivotal(np.array([]), np.array([]))[1] == -1
+    # Tiny masses add up: 20,000 records of 7e-10 copies each, in units of 1/10^12.
+    out, held, mass = mixing.pivotal(np.full(20_000, 700, dtype=np.int64), rng.random(20_000), 10**12)
+    assert out.sum() == 0 and held >= 0 and mass == 20_000 * 700
+    out, held, mass = mixing.pivotal(np.full(4_000, 10**9, dtype=np.int64), rng.random(4_000), 10**12)
+    assert out.sum() == 4 and held == -1
     assert mixing.pivotal(np.array([1.0, 0.0]), np.array([0.5, 0.5]))[0].tolist() == [1, 0]
 
 
