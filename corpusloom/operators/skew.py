@@ -2,29 +2,39 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write `df` to the shared checkpoint folder and read it back from there.
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The shared folder for written tables and checkpoints: the session's `spark.checkpoint.dir`.
 
-    The folder is the session's `spark.checkpoint.dir`.  Only a local session
-    without that setting gets a folder of its own; on a cluster a missing
-    setting is an error, since a machine-local folder would not survive the loss
-    of its machine.
+    Only a local session without that setting gets a folder of its own, which goes
+    with the process; on a cluster a missing setting is an error, since a
+    machine-local folder would not survive the loss of its machine.
     """
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
+    sc = spark.sparkContext
+    current = sc._jsc.sc().getCheckpointDir()
+    if current.isEmpty():
         folder = sc.getConf().get("spark.checkpoint.dir")
         if folder is None:
             if not sc.master.startswith("local[") and sc.master != "local":
                 raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
             folder = os.path.join(tempfile.gettempdir(), f"corpusloom-{os.getpid()}")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
         sc.setCheckpointDir(folder)
+        current = sc._jsc.sc().getCheckpointDir()
+    return current.get()
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Write `df` to the shared checkpoint folder and read it back from there."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
