@@ -33,11 +33,42 @@ UNION SELECT id, 'broken' FROM ring
 """
 
 
+FOLD = "replace(replace(replace(replace(replace(replace(replace(replace(lower(upper(replace({0}, 'ß', 'ss'))), 'ſ', 's'), 'ς', 'σ'), 'ﬀ', 'ff'), 'ﬁ', 'fi'), 'ﬂ', 'fl'), 'ﬃ', 'ffi'), 'ﬄ', 'ffl'), 'ﬆ', 'st')"
+FLAT = "regexp_replace(" + FOLD + ", '[\\p{{P}}\\p{{Z}}\\p{{Cc}}\\p{{Cf}}]+', '', 'g')"
+
+
+def canonical(source: str, segments: str, role: str, content: str) -> str:
+    """The canonical text of a record, for comparison."""
+    k = f"lower(trim(coalesce({role}, '')))"
+    name = f"CASE {k} WHEN 'human' THEN 'user' WHEN 'prompter' THEN 'user' WHEN 'gpt' THEN 'assistant' WHEN 'bot' THEN 'assistant' ELSE {k} END"
+    said = FLAT.format(f"coalesce({content}, '')")
+    return FLAT.format(f"coalesce({source}, '')") + f" || chr(2) || array_to_string(list_transform(coalesce({segments}, []), lambda s: ({name}) || chr(1) || {said}), chr(3))"
+
+
+P3 = f"""
+WITH raw AS (SELECT raw_id, loaded_at, CASE WHEN json_valid(line) THEN line::JSON END AS j FROM raw_records),
+k AS (SELECT 'training_records' AS tbl, id, ingested_at AS arrived, {canonical("source", "segments", "s['role']", "s['content']")} AS k FROM training_records WHERE id IS NOT NULL
+  UNION ALL SELECT 'raw_records', raw_id, loaded_at, {canonical("j->>'$.source'", "CASE WHEN json_type(j->'$.segments') = 'ARRAY' THEN (j->'$.segments')::JSON[] END", "s->>'$.role'", "s->>'$.content'")} FROM raw WHERE json_type(j) = 'OBJECT'),
+d AS (SELECT tbl, id, min(arrived) AS arrived, min_by(k, arrived) AS k FROM k GROUP BY ALL)
+"""
+
+P6_KEPT = P6.split("leaf AS (")[0] + """leaf AS (SELECT id FROM m WHERE id NOT IN (SELECT parent FROM m WHERE parent IS NOT NULL)),
+kept AS (SELECT l.id FROM leaf l JOIN down d USING (id) WHERE d.good AND d.seen AND d.role = 'assistant'),
+txt AS (SELECT message_id AS id, text, coalesce(rank, 2147483647) AS rank FROM r WHERE n = 1),
+path AS (SELECT id AS leaf, id, 0 AS steps FROM kept UNION ALL SELECT p.leaf, m.parent, p.steps + 1 FROM path p JOIN m ON m.id = p.id WHERE m.parent IS NOT NULL)
+SELECT p.leaf AS conversation, (max(p.steps) OVER (PARTITION BY p.leaf) - p.steps)::INT AS turn, m.id AS message_id, m.role, t.text AS content, t.rank::INT AS rank
+FROM path p JOIN m ON m.id = p.id JOIN txt t ON t.id = p.id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "p1_found": P1 + "SELECT name AS source FROM p WHERE t > 0 AND a * m * weight < total * t",
         "p1_shares": P1 + """SELECT name AS source, a AS available, planned::BIGINT AS planned, planned::BIGINT AS copies, least(planned, a)::BIGINT AS used,
             CASE WHEN planned > 0 THEN ((planned + a - 1) // a)::INT ELSE 0 END AS most, round(t / weight, 9) AS target_share,
             round(planned / (SELECT sum(planned) FROM p), 9) AS share FROM p""",
+        "p3_found": P3 + ", g AS (SELECT *, min(id) OVER (PARTITION BY tbl, k) AS id_a FROM d) SELECT tbl, id_a, id AS id_b FROM g WHERE id <> id_a",
+        "p3_records": P3 + "SELECT tbl, min_by(id, (arrived, id)) AS id, count(*) AS copies FROM d GROUP BY tbl, k",
         "p6_found": P6,
+        "p6_turns": P6_KEPT,
     }

@@ -87,6 +87,12 @@ def p6_conversations(spark: SparkSession, d: str) -> DataFrame:
     return threads.conversations(table(spark, d, "oasst1"))
 
 
+def p6_turns(spark: SparkSession, d: str) -> DataFrame:
+    """The turns of the kept conversations, one a row."""
+    c = threads.conversations(table(spark, d, "oasst1")).select(F.col("message_id").alias("conversation"), F.posexplode(F.arrays_zip("turns", "ranks")).alias("turn", "t"))
+    return c.select("conversation", "turn", "t.turns.message_id", "t.turns.role", "t.turns.content", F.col("t.ranks").alias("rank"))
+
+
 def p6_rebuilt(spark: SparkSession, d: str) -> DataFrame:
     """Kept conversations when the likeliest parents stand in for lost ones."""
     return threads.conversations(table(spark, d, "oasst1"), hours=None, inferred=True)
@@ -132,6 +138,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         f.__name__: f
         for f in (
             p1_found, p1_shares, p1_mix, p2_found, p2_documents, p2_stretches, p3_found, p3_records, p4_found, p5_budget, p5_documents,
-            p6_found, p6_conversations, p6_rebuilt, p6_links, p7_ids, p7_decoded, p8_containers, p8_report, p9_found, p9_sentences,
+            p6_found, p6_conversations, p6_turns, p6_rebuilt, p6_links, p7_ids, p7_decoded, p8_containers, p8_report, p9_found, p9_sentences,
         )
     }

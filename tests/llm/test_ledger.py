@@ -30,19 +30,34 @@ def test_raw_lines(spark):
     assert [(r["id_a"], r["id_b"]) for r in ledger.hidden_duplicates(ledger.keyed_raw(df)).orderBy("id_a").collect()] == [("r0", "r1"), ("r8", "r9")]
 
 
-def test_incremental_equals_whole_with_hot_key(spark):
+def test_incremental_equals_whole_with_hot_key(spark, tmp_path):
     rnd = random.Random(2)
-    rows = [("t", f"{i:04d}", ("hot" if rnd.random() < 0.4 else f"k{rnd.randrange(200)}").encode(), T[rnd.randrange(8)]) for i in range(2000)]
-    df = spark.createDataFrame([(t, i, bytearray(k), a) for t, i, k, a in rows], "tbl string, id string, key binary, at timestamp")
-    led = None
-    for d in range(8):
-        led = ledger.update_ledger(led, df.where(F.col("at") == T[d]), 16)
-    got = {bytes(r["key"]): (r["copies"], r["first"]["id"], r["least_id"]) for r in led.collect()}
+    rows = [("t", f"{i:04d}", ("hot" if rnd.random() < 0.4 else f"k{rnd.randrange(200)}").encode(), T[rnd.randrange(4)]) for i in range(2000)]
+    again = [(t, i, k, T[5]) for t, i, k, _ in rows[:700]]  # delivered again in a later batch
+    df = spark.createDataFrame([(t, i, bytearray(k), a) for t, i, k, a in rows + again], "tbl string, id string, key binary, at timestamp")
+    book = ledger.Ledger(spark, str(tmp_path / "book"), 16)
+    for d in (0, 1, 2, 3, 5):
+        book.update(df.where(F.col("at") == T[d]))
+    book.update(df.where(F.col("at") == T[7]))  # an empty batch
+    got = {bytes(r["key"]): (r["copies"], r["first"]["id"], r["least_id"]) for r in book.table().collect()}
     want = {}
     for _, i, k, a in rows:
         n, f, m = want.get(k, (0, (a, i), i))
         want[k] = (n + 1, min(f, (a, i)), min(m, i))
     assert got == {k: (n, f[1], m) for k, (n, f, m) in want.items()}
+    assert book.members().count() == len(rows)
+    # Only the buckets asked for are read.
+    one = book.table({3})
+    assert {r["bucket"] for r in one.collect()} == {3} and all("bucket=3/" in f for f in one.inputFiles())
+
+
+def test_unfinished_batch_is_not_read(spark, tmp_path):
+    book = ledger.Ledger(spark, str(tmp_path / "book"), 2)
+    df = spark.createDataFrame([("t", "a", bytearray(b"k"), T[0])], "tbl string, id string, key binary, at timestamp")
+    book._write(df.withColumn("bucket", F.lit(1)), "members", 1)
+    assert book.members().count() == 0
+    book.update(df)
+    assert [r["copies"] for r in book.table().collect()] == [1]
 
 
 def test_whole_tables_like_brute_force(spark, sf):
