@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions.text import name_key, normalize_role
 from corpusloom.llm.common import TOKENIZERS, byte_encoder
+from corpusloom.llm.containers import count_udf
 from corpusloom.llm.language import Profiles
+from corpusloom.operators.skew import cut_lineage, join_unique
 
 
 def text_key(c: Column) -> Column:
@@ -55,6 +57,15 @@ def measure(texts: DataFrame, profiles: Profiles, folder: str = TOKENIZERS, name
     return texts.select("h", "text").mapInPandas(run, "h binary, tokens bigint, lang string")
 
 
+def document_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folder: str = TOKENIZERS, name: str = "byte_bpe_50k") -> DataFrame:
+    """(id_col, tokens) of every row; each distinct text is tokenized once, null and empty ones have 0 tokens."""
+    keyed = docs.select(id_col, F.coalesce(text_col, F.lit("")).alias("_t")).withColumn("_h", text_key(F.col("_t")))
+    once = keyed.groupBy("_h").agg(F.first("_t").alias("_t"), F.count(F.lit(1)).alias("_n"))
+    table = cut_lineage(once.select("_h", "_n", count_udf(folder, name)(F.col("_t")).alias("tokens")))
+    total = table.agg(F.sum("_n")).first()[0] or 0
+    return join_unique(keyed.select(id_col, "_h"), table, ["_h"], "_n", total).select(id_col, "tokens")
+
+
 def token_budget(slices: DataFrame, profiles: Profiles, folder: str = TOKENIZERS, name: str = "byte_bpe_50k") -> DataFrame:
     """(tbl, source, lang, role, domain, texts, tokens): totals over `slices`.
 

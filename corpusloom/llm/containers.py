@@ -2,11 +2,12 @@
 
 The global histogram of item lengths has at most capacity+1 classes whatever the
 size of the corpus.  Dynamic programming over it chooses length buckets that
-minimise padding.  Token-budget batches then form bucket by bucket, from the
-longest: a batch takes items of its own bucket while they fit, and what stays
-free is topped up from the buckets below.  All of that happens on counts; the
-items only learn their rank within their length, in shards, and from it their
-container.
+minimise padding.  Token-budget batches then form inside each bucket: a batch takes
+items of its bucket, the longest first, while they fit.  As an option, what stays
+free is topped up from the buckets below, which goes beyond buckets: it fills nearly
+everything, but a container then holds short and long items.  All of that happens on
+counts; the items only learn their rank within their length, in shards, and from it
+their container.
 """
 
 from __future__ import annotations
@@ -65,10 +66,11 @@ def length_buckets(hist: dict[int, int], k: int) -> list[int]:
     return sorted({*bounds, int(lens[j])})
 
 
-def batch_shapes(hist: dict[int, int], bounds: list[int], capacity: int) -> list[tuple[int, dict[int, int]]]:
+def batch_shapes(hist: dict[int, int], bounds: list[int], capacity: int, top_up: bool = True) -> list[tuple[int, dict[int, int]]]:
     """Batches as (how many, {length: items of it in each}); together they use up the histogram.
 
-    Each shape exhausts at least one length, so there are no more shapes than lengths.
+    A batch holds items of one bucket, with `top_up` also of lower ones.  Each shape
+    exhausts at least one length, so there are no more shapes than lengths.
     """
     left = {x: c for x, c in hist.items() if c > 0 and x > 0}
     order = sorted(left)
@@ -77,7 +79,7 @@ def batch_shapes(hist: dict[int, int], bounds: list[int], capacity: int) -> list
         free, shape = capacity, {}
         bucket_of = bisect_right(bounds, order[-1] - 1)
         low = bounds[bucket_of - 1] if bucket_of > 0 else 0
-        for inside in (True, False):  # first the bucket itself, then the ones below
+        for inside in (True, False) if top_up else (True,):  # first the bucket itself, then the ones below
             i = bisect_right(order, free) - 1
             while i >= 0 and free > 0:
                 x = order[i]
@@ -109,7 +111,20 @@ def split_oversize(lengths: DataFrame, capacity: int) -> DataFrame:
     )
 
 
-def fill_containers(items: DataFrame, key: list[str], capacity: int = 2048, buckets: int = 16, shard_rows: int = 100_000) -> DataFrame:
+def place_table(hist: dict[int, int], ranges: list[tuple[int, int, int, int, int, int]]) -> tuple[list[tuple[int, int]], list[tuple[int, ...]]]:
+    """(length, block size) and (length, block, *range) of the ranges of ranks (length, lo, hi, base, each, bucket).
+
+    The ranks of a length are cut into as many blocks as it has ranges, so a rank's
+    block meets about two of them, and the range is found by an equal join.
+    """
+    many: dict[int, int] = {}
+    for r in ranges:
+        many[r[0]] = many.get(r[0], 0) + 1
+    size = {x: max(1, -(-hist.get(x, 1) // m)) for x, m in many.items()}
+    return list(size.items()), [(x, b, lo, *rest) for x, lo, *rest in ranges for b in range(lo // size[x], (rest[0] - 1) // size[x] + 1)]
+
+
+def fill_containers(items: DataFrame, key: list[str], capacity: int = 2048, buckets: int = 3, top_up: bool = False, shard_rows: int = 100_000) -> DataFrame:
     """Add `bucket` (upper bound of its length bucket) and `container` to rows with `n_tokens` ≤ capacity.
 
     The number of containers follows from the histogram alone.  Items without
@@ -121,32 +136,34 @@ def fill_containers(items: DataFrame, key: list[str], capacity: int = 2048, buck
     hist = {r[0]: r[1] for r in items.groupBy("n_tokens").count().collect()}
     bounds = length_buckets({x: c for x, c in hist.items() if x > 0}, buckets)
     rows, base, used = [(0, 0, max(1, hist.get(0, 0)), 0, max(1, hist.get(0, 0)), 0)], 0, {}
-    for times, shape in batch_shapes(hist, bounds, capacity):
+    for times, shape in batch_shapes(hist, bounds, capacity, top_up):
         for x, c in shape.items():
             at = used.get(x, 0)
             rows.append((x, at, at + times * c, base, c, bounds[bisect_right(bounds, x - 1)]))
             used[x] = at + times * c
         base += times
-    places = items.sparkSession.createDataFrame(rows, "n_tokens int, lo bigint, hi bigint, base bigint, each bigint, bucket int")
+    sizes, blocks = place_table(hist, rows)
+    size = F.broadcast(items.sparkSession.createDataFrame(sizes, "n_tokens int, _size bigint"))
+    places = F.broadcast(items.sparkSession.createDataFrame(blocks, "n_tokens int, _block bigint, lo bigint, hi bigint, base bigint, each bigint, bucket int"))
     shards = max(1, -(-sum(hist.values()) // shard_rows))
     sharded = items.withColumn("_shard", F.pmod(F.xxhash64(*key), F.lit(shards)).cast("int"))
     counts = sharded.groupBy("n_tokens", "_shard").agg(F.count(F.lit(1)).alias("c"))
     before = counts.select("n_tokens", "_shard", (F.sum("c").over(Window.partitionBy("n_tokens").orderBy("_shard")) - F.col("c")).alias("_before"))
     inner = F.row_number().over(Window.partitionBy("n_tokens", "_shard").orderBy(*key))
     ranked = sharded.withColumn("_r", inner).join(before, ["n_tokens", "_shard"]).withColumn("_r", F.col("_r") - 1 + F.col("_before"))
-    p = F.broadcast(places.withColumnRenamed("n_tokens", "_n"))
-    hit = ranked.join(p, (F.col("n_tokens") == F.col("_n")) & (F.col("_r") >= F.col("lo")) & (F.col("_r") < F.col("hi")))
+    placed = ranked.join(size, "n_tokens").withColumn("_block", F.expr("_r div _size")).join(places, ["n_tokens", "_block"])
+    hit = placed.where((F.col("_r") >= F.col("lo")) & (F.col("_r") < F.col("hi")))
     return hit.select(*items.columns, "bucket", (F.col("base") + F.floor((F.col("_r") - F.col("lo")) / F.col("each"))).cast("bigint").alias("container"))
 
 
-def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 2048, buckets: int = 16, folder: str = TOKENIZERS, name: str = "byte_bpe_50k") -> DataFrame:
+def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 2048, buckets: int = 3, top_up: bool = False, folder: str = TOKENIZERS, name: str = "byte_bpe_50k") -> DataFrame:
     """(id_col, part, start_token, n_tokens, bucket, container) of every document.
 
     A document up to the capacity is one item; a longer one is split into full
     pieces and a rest.  Null and empty texts are items of 0 tokens in container 0.
     """
     n = spread(docs.select(id_col, text_col)).select(F.col(id_col), count_udf(folder, name)(F.col(text_col)).alias("n"))
-    return fill_containers(split_oversize(n, capacity), [id_col, "part"], capacity, buckets)
+    return fill_containers(split_oversize(n, capacity), [id_col, "part"], capacity, buckets, top_up)
 
 
 def container_report(packed: DataFrame, capacity: int = 2048) -> DataFrame:

@@ -74,7 +74,7 @@ def p5_budget(spark: SparkSession, d: str) -> DataFrame:
 
 def p5_documents(spark: SparkSession, d: str) -> DataFrame:
     """Tokens of every document."""
-    return table(spark, d, "documents").select("doc_id", containers.count_udf()(F.col("text")).alias("tokens"))
+    return budget.document_tokens(table(spark, d, "documents"))
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
@@ -119,8 +119,10 @@ def p8_containers(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_report(spark: SparkSession, d: str) -> DataFrame:
-    """How full the containers are."""
-    return containers.container_report(containers.pack_documents(table(spark, d, "documents")))
+    """How full the containers are, inside buckets and topped up."""
+    docs = table(spark, d, "documents")
+    rows = [containers.container_report(containers.pack_documents(docs, top_up=t)).withColumn("top_up", F.lit(t)) for t in (False, True)]
+    return rows[0].unionByName(rows[1])
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:

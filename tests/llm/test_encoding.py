@@ -55,7 +55,7 @@ def test_containers(spark):
     rnd = random.Random(6)
     rows = [(i, rnd.choice([7, 7, 7, rnd.randrange(0, 300)])) for i in range(3000)] + [(9001, 250), (9001, 250)]
     items = containers.split_oversize(spark.createDataFrame(rows, "doc_id bigint, n bigint"), 100)
-    out = containers.fill_containers(items, ["doc_id", "part"], 100, 6).collect()
+    out = containers.fill_containers(items, ["doc_id", "part"], 100, 6, top_up=True).collect()
     assert sum(r["n_tokens"] for r in out) == sum(n for _, n in rows)
     load = {}
     for r in out:
@@ -64,12 +64,27 @@ def test_containers(spark):
     assert max(load.values()) <= 100
     full = -(-sum(load.values()) // 100)
     assert len([c for c, t in load.items() if t]) <= full * 1.02 + 1
+    inside = containers.fill_containers(items, ["doc_id", "part"], 100, 6).collect()
+    held, mixed = {}, {}
+    for r in inside:
+        held[r["container"]] = held.get(r["container"], 0) + r["n_tokens"]
+        if r["n_tokens"]:
+            mixed.setdefault(r["container"], set()).add(r["bucket"])
+    assert len(inside) == len(out) and sum(held.values()) == sum(load.values()) and max(held.values()) <= 100
+    assert all(len(b) == 1 for b in mixed.values())  # token-budget batches form inside each bucket
     split = {r["doc_id"] for r in out if r["part"] > 0}
     assert split == {i for i, n in rows if n > 100}
     assert containers.pack_documents(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
     assert containers.container_report(containers.pack_documents(spark.createDataFrame([(1, None), (2, "a b")], "doc_id bigint, text string"))).first()["containers"] == 1
 
 
+def test_document_tokens(spark, sf):
+    d = spark.read.parquet(f"{sf}/documents.parquet")
+    enc = byte_encoder(TOKENIZERS, "byte_bpe_50k")
+    want = sorted((r["doc_id"], len(enc.encode_ordinary(r["text"] or ""))) for r in d.collect())
+    assert sorted(map(tuple, budget.document_tokens(d).collect())) == want
+
+
 def test_budget_like_brute_force(spark, sf, profiles):
     t, d = spark.read.parquet(f"{sf}/training_records.parquet"), spark.read.parquet(f"{sf}/documents.parquet")
     s = budget.record_slices(t).unionByName(budget.document_slices(d))
