@@ -123,9 +123,15 @@ class Profiles:
             self.place[where, [at[g[0]] for g in grams]] = [g[2] for g in grams]
         self.keys = keys
         self.slots = np.zeros((max(ORDERS) + 1, SLOTS), dtype=np.int32)
+        self.extra: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for n in ORDERS:
             own = np.flatnonzero((keys >> 32) == n)
-            self.slots[n][(keys[own] & 0xFFFFFFFF) % SLOTS] = own + 1
+            low = keys[own] & 0xFFFFFFFF
+            self.slots[n][low % SLOTS] = own + 1
+            # N-grams whose slot another one holds are found by search.
+            lost = self.slots[n][low % SLOTS] != own + 1
+            order = np.argsort(low[lost])
+            self.extra[n] = (low[lost][order].astype(np.uint32), own[lost][order])
         self.allowed = np.zeros((7, len(langs)), dtype=bool)
         for i, s in enumerate(self.scripts):
             for k in SCRIPT_CLASSES.get(s, (OTHER,)):
@@ -203,6 +209,12 @@ class Profiles:
             at = at[pos] - 1
             same = low[at] == h[pos]
             found.append(unit[pos[same]] * (g + 1) + at[same])
+            names, index = self.extra[order]
+            if len(names):
+                rest = pos[~same]
+                k = np.minimum(np.searchsorted(names, h[rest]), len(names) - 1)
+                hit = names[k] == h[rest]
+                found.append(unit[rest[hit]] * (g + 1) + index[k[hit]])
         keys = np.concatenate(found) if found else np.zeros(0, np.int64)
         dist, seen = np.full((n, len(group)), FAR), np.zeros(n, int)
         if not len(keys):
@@ -210,14 +222,22 @@ class Profiles:
         keys = keys.astype(np.uint32) if (n + 1) * (g + 1) < 2**32 else keys
         keys.sort()
         first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-        times = np.minimum(np.diff(np.concatenate([first, [len(keys)]])), 1023)
+        times = np.diff(np.concatenate([first, [len(keys)]]))
         keys = keys[first].astype(np.int64)
         u = keys // (g + 1)
+        gram = keys - u * (g + 1)
         # By text, then the most frequent n-grams first.
-        packed = (((u << 10) | (1023 - times)) << 32) | (keys - u * (g + 1))
-        packed.sort()
-        u, gram = packed >> 42, packed & 0xFFFFFFFF
-        top = packed >> 32  # text and frequency
+        most = int(times.max())
+        bits, wide = most.bit_length(), int(g + 1).bit_length()
+        if n.bit_length() + bits + wide < 63:
+            packed = (((u << bits) | (most - times)) << wide) | gram
+            packed.sort()
+            u, gram = packed >> bits + wide, packed & ((1 << wide) - 1)
+            top = packed >> wide  # text and frequency
+        else:
+            order = np.lexsort((gram, -times, u))
+            u, gram, times = u[order], gram[order], times[order]
+            top = u * (most + 1) + most - times
         k = np.arange(len(u))
         new = np.concatenate([[True], u[1:] != u[:-1]])
         start = np.flatnonzero(new)
@@ -361,13 +381,13 @@ def fit_profiles(labelled: DataFrame, codes: list[tuple[str, str, str]], sample_
     if n > sample_rows:
         least = int(2**64 * sample_rows / n) - 2**63
         ok = ok.where(F.xxhash64("text") < F.lit(least))
+    ok = ok.distinct()  # a text with a third of the rows is one text
 
     def grams(batches):
         for pdf in batches:
             for lang, part in pdf.groupby("lang"):
                 keys, times = count_grams(part["text"].tolist())
-                most = np.argsort(-times, kind="stable")[: 20 * size]
-                yield pd.DataFrame({"lang": lang, "key": keys[most], "n": times[most]})
+                yield pd.DataFrame({"lang": lang, "key": keys, "n": times})
 
     counted = spread(ok).mapInPandas(grams, "lang string, key bigint, n bigint").groupBy("lang", "key").agg(F.sum("n").alias("n"))
     first = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "key"))

@@ -1,3 +1,5 @@
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -50,7 +52,10 @@ def test_places_cover_everything():
 
 
 def test_ellipsis_by_contexts(spark):
-    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    folder = "/root/testdata/sf0.01/documents.parquet"
+    if not os.path.exists(folder):
+        pytest.skip("no test data")
+    docs = spark.read.parquet(folder)
     c = S.fit_contexts(docs)
     assert parts("损失掩码……其实把文件读了两次。", c) == ["损失掩码……其实把文件读了两次。"]
     assert parts("每周快照与旧格式一致……总之，质量分数忽略空消息。", c) == ["每周快照与旧格式一致……", "总之，质量分数忽略空消息。"]
