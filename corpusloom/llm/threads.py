@@ -87,6 +87,15 @@ def last_before(lost: DataFrame, live: DataFrame) -> DataFrame:
     return met.groupBy("message_id").agg(F.max("last").alias("last")).select("message_id", F.col("last.message_id").alias("parent"))
 
 
+#: Keys up to this number, counted first, are broadcast to pick their rows; more are joined by shuffle.
+FEW = 200_000
+
+
+def picked(df: DataFrame, keys: DataFrame, on: str) -> DataFrame:
+    """The rows of `df` whose `on` is among the distinct `keys`, which should be cheap to read twice."""
+    return df.join(F.broadcast(keys) if keys.count() <= FEW else keys, on, "left_semi")
+
+
 def reply_links(live: DataFrame, hours: float | None = 6.0) -> DataFrame:
     """(message_id, parent, stated, score): the likeliest parent of each message that isn't a root.
 
@@ -98,17 +107,18 @@ def reply_links(live: DataFrame, hours: float | None = 6.0) -> DataFrame:
     message without a candidate inside it gets the latest earlier one of its tree.
     """
     limit, lead = reply_window(live) if hours is None else (hours, 0.0)
-    child = live.where(F.col("parent_id").isNotNull())
+    # Only ids are joined; texts are read for the messages that lost their parents, and for their trees.
+    child = live.where(F.col("parent_id").isNotNull()).select("message_id", "parent_id")
     ids = live.select(F.col("message_id").alias("parent_id"), F.lit(True).alias("known"))
-    c = child.join(ids, "parent_id", "left")
+    c = cut_lineage(child.join(ids, "parent_id", "left"))
     stated = c.where("known").select("message_id", F.col("parent_id").alias("parent"), F.lit(True).alias("stated"), F.lit(STATED).alias("score"))
     cols = ["message_id", "message_tree_id", "role", "text", "created_date"]
     hour = _hour()
-    lost = c.where("known is null").select(*cols)
-    if hours is None:
-        lost = cut_lineage(lost)
+    lost = cut_lineage(picked(live.select(*cols), c.where("known is null").select("message_id"), "message_id"))
+    trees = cut_lineage(lost.select("message_tree_id").distinct())
+    near = picked(live, trees, "message_tree_id")
     seek = lost.select("message_tree_id", F.explode(F.sequence(hour - F.lit(int(limit) + 1), hour + F.lit(int(lead) + (lead > 0)))).alias("hour"), F.struct(*cols).alias("child"))
-    offer = live.select("message_tree_id", hour.alias("hour"), F.struct(*cols).alias("cand"))
+    offer = near.select("message_tree_id", hour.alias("hour"), F.struct(*cols).alias("cand"))
     a, b = F.col("child"), F.col("cand")
     gap = F.unix_micros(a["created_date"]) - F.unix_micros(b["created_date"])
     met = seek.join(offer, ["message_tree_id", "hour"]).where((gap >= -int(lead * 3.6e9)) & (gap <= int(limit * 3.6e9)) & (a["role"] != b["role"]) & (a["message_id"] != b["message_id"]))
