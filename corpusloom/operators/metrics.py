@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions.numeric import let, log_softmax, smoothed_nll
+from corpusloom.operators.dedup import in_ranges
 from corpusloom.operators.skew import cut_lineage, join_unique, plan_bytes
 
 
@@ -98,3 +99,23 @@ def draw_index(probs: Column, u: Column) -> Column:
 def ema(values: Column, keep: float = 0.9) -> Column:
     """Exponential moving average along an ordered array, begun with its first value."""
     return F.aggregate(values, F.lit(None).cast("double"), lambda a, x: F.coalesce(a * keep + x * (1 - keep), x))
+
+
+def ema_by(df: DataFrame, key: str, order: list[str], value: str, keep: float = 0.9, out: str = "ema") -> DataFrame:
+    """(key, out): each key's exponential moving average along `order`, begun with its first value; null values don't count.
+
+    A row weighs (1 - keep) · keep^later, the first one keep^later.  Rows lie in range
+    partitions; each gives one partial sum a key, which the rows of later partitions
+    damp, so no task holds all rows of a key.
+    """
+    s = in_ranges(df.where(F.col(value).isNotNull()).select(key, *[c for c in order if c != key], value), [key, *order])
+    own = Window.partitionBy("_p", key)
+    ranked = s.withColumn("_i", F.row_number().over(own.orderBy(*order))).withColumn("_n", F.count(F.lit(1)).over(own))
+    damped = F.col(value) * F.pow(F.lit(keep), F.col("_n") - F.col("_i"))
+    first = F.max(F.when(F.col("_i") == 1, damped))
+    parts = ranked.groupBy(key, "_p").agg(F.sum(damped).alias("_s"), first.alias("_f"), F.max("_n").alias("_n"))  # one row per key and partition it meets
+    later = F.coalesce(F.sum("_n").over(Window.partitionBy(key).orderBy(F.desc("_p")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    begin = F.row_number().over(Window.partitionBy(key).orderBy("_p")) == 1
+    p = parts.select(key, "_s", "_f", later.alias("_later"), begin.alias("_begin"))
+    share = F.col("_s") * (1 - keep) + F.when(F.col("_begin"), F.col("_f") * keep).otherwise(0.0)
+    return p.groupBy(key).agg(F.sum(share * F.pow(F.lit(keep), F.col("_later"))).alias(out))

@@ -378,8 +378,8 @@ def full_batches(spark, d):
 
 
 def value_ema(spark, d):
-    e = table(spark, d, "events").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("event_id", "value"))).alias("v"))
-    return e.select("user_id", F.round(M.ema(F.transform("v", lambda x: x["value"])), 6).alias("ema"))
+    e = M.ema_by(table(spark, d, "events"), "user_id", ["event_id"], "value")
+    return e.select("user_id", F.round("ema", 6).alias("ema"))
 
 
 def softmax_draws(spark, d):

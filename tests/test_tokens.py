@@ -82,3 +82,14 @@ def test_metrics(spark):
     assert abs(spark.createDataFrame([([1.0, 2.0],)], "v array<double>").select(M.ema(F.col("v")).alias("e")).first()["e"] - 1.1) < 1e-12
     g = M.gather_embeddings(spark.createDataFrame([(1, [5, 9])], "k int, ids array<int>"), "k", "ids", spark.createDataFrame([(5, [1.0])], "id int, v array<double>"), "id", "v", 2.0).collect()
     assert [tuple(r) for r in g] == [(1, 0, [2.0])]
+
+
+def test_ema_over_ranges(spark):
+    rows = [("hot", i, float(i % 7)) for i in range(500)] + [("one", 1, 2.5), ("gap", 1, None), ("gap", 2, 4.0), ("gap", 3, 1.0)]
+    df = spark.createDataFrame(rows, "k string, o int, v double").repartition(6)
+    want = {}
+    for k, _, v in rows:
+        if v is not None:
+            want[k] = v if k not in want else want[k] * 0.9 + v * 0.1
+    got = {r["k"]: r["ema"] for r in M.ema_by(df, "k", ["o"], "v").collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
