@@ -72,6 +72,12 @@ def single_turn_pairs(spark, d):
     return _shown(D.single_turns(base(spark, d)))
 
 
+def short_dialogs(spark, d):
+    """Which windows of three turns a short dialogue corpus would take."""
+    w = D.context_windows(base(spark, d), [3])
+    return w.select("id", "turn", Q.short_dialog_ok(F.col("window"), 2, (0, 900), (1, 300)).alias("ok"))
+
+
 def full_dialog(spark, d):
     return _shown(D.expand(base(spark, d), "full"))
 
@@ -465,7 +471,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
         for f in (
-            dialog_segments, prefix_windows, context_windows_2_4_6, sliding_window_3, single_turn_pairs, full_dialog, prompt_dedup_first_valid, dedup_counters,
+            dialog_segments, prefix_windows, context_windows_2_4_6, sliding_window_3, single_turn_pairs, short_dialogs, full_dialog, prompt_dedup_first_valid, dedup_counters,
             skip_reason_hist, daily_reason_hist, chinese_reason_hist, logic_reason_hist, source_quota, merge_fold, english_ratio, cjk_ratio, bad_prompts, language_gate, message_filter,
             text_records, char_budget, doc_chunks, word_freq_topk, vocab_prune, token_counts, packed_records, sampled_windows, record_spans, draw_lookup, preference_pairs,
             canonical_records, raw_payloads, role_hist, reply_tree_paths, children_lists, line_id_join, persona_reset, speaker_roles, label_parse, html_articles, news_articles, category_accuracy,

@@ -208,6 +208,11 @@ def oracle_sql() -> dict[str, str]:
     sql["sliding_window_3"] = f"WITH {TURNS}, {CONTEXT.format(sizes='[3]')} " + SHOW.format(extra="").replace("GROUP BY ALL", "WHERE w.lo IS NOT NULL GROUP BY ALL")
     sql["single_turn_pairs"] = f"""WITH {TURNS}, w AS (SELECT a.id, a.turn AS t, a.turn - 1 AS lo FROM turns a JOIN turns u ON u.id = a.id AND u.turn = a.turn - 1 AND u.role = 'user' WHERE a.role = 'assistant')
         """ + SHOW.format(extra="")
+    sql["short_dialogs"] = f"""WITH {TURNS}, {CONTEXT.format(sizes='[3]')},
+        p AS (SELECT w.id, w.t AS turn, count(*) FILTER (WHERE x.role <> 'system') AS k, bool_or(x.role = 'user') AS u, length({strip(f"string_agg({RENDERED}, '' ORDER BY x.turn)")}) AS total,
+          length({strip(f"coalesce(string_agg({RENDERED}, '' ORDER BY x.turn) FILTER (WHERE {TARGET}), '')")}) AS target, max(length(x.content)) FILTER (WHERE x.role = 'assistant') AS longest
+          FROM w JOIN turns x ON x.id = w.id AND x.turn BETWEEN w.lo AND w.t WHERE w.lo IS NOT NULL GROUP BY ALL)
+        SELECT id, turn, k >= 2 AND u AND total <= 900 AND target BETWEEN 1 AND 300 AND longest <= 300 AS ok FROM p"""
     sql["full_dialog"] = f"""WITH {TURNS},
         s AS (SELECT id, coalesce(min(turn) FILTER (WHERE role <> 'system'), 1000000) AS n FROM turns GROUP BY id),
         rest AS (SELECT t.*, row_number() OVER (PARTITION BY t.id ORDER BY turn) - 1 AS i FROM turns t JOIN s USING (id) WHERE turn >= n AND role <> 'system'),

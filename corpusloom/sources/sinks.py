@@ -2,21 +2,25 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import os
+import time
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def write_records(records: DataFrame, path: str, stats: DataFrame | None = None, config: dict | None = None, mode: str = "overwrite") -> None:
-    """JSON lines, committed as a whole by the output committer, and `<path>.meta` with config and statistics.
+    """JSON lines, committed as a whole by the output committer, and `<path>.meta` with config, seconds taken and statistics.
 
     Null `rejected_segments` are left out of the lines.
     """
+    begun = time.monotonic()
     records.write.mode(mode).option("ignoreNullFields", True).json(path)
     spark = records.sparkSession
-    meta = spark.createDataFrame([(json.dumps(config or {}, ensure_ascii=False, sort_keys=True),)], "config string")
+    meta = spark.createDataFrame([(json.dumps(config or {}, ensure_ascii=False, sort_keys=True), round(time.monotonic() - begun, 3))], "config string, elapsed_sec double")
     if stats is not None:
         rows = stats.select(F.to_json(F.struct(*stats.columns)).alias("s")).agg(F.array_sort(F.collect_list("s")).alias("stats"))  # one row per source
         meta = meta.crossJoin(rows)
@@ -70,3 +74,17 @@ def save_tokenizer(tokens: list[str], path: str, config: dict | None = None) ->
     with open(f"{path}.tmp", "w", encoding="utf-8") as f:
         json.dump({"id_to_token": tokens, "config": config or {}}, f, ensure_ascii=False)
     os.replace(f"{path}.tmp", path)
+
+
+def tokenizer_for(path: str, source_hash: str, build: Callable[[], list[str]], rebuild: bool = False) -> list[str]:
+    """The tokens of a saved tokenizer if it was built from `source_hash` and is whole, else those of `build`, saved with it."""
+    digest = lambda tokens: hashlib.sha256("\n".join(tokens).encode()).hexdigest()
+    if not rebuild and os.path.exists(path):
+        with open(path, encoding="utf-8") as f:
+            saved = json.load(f)
+        c = saved.get("config", {})
+        if c.get("source") == source_hash and c.get("tokens") == digest(saved["id_to_token"]):
+            return saved["id_to_token"]
+    tokens = build()
+    save_tokenizer(tokens, path, {"source": source_hash, "tokens": digest(tokens)})
+    return tokens

@@ -123,6 +123,12 @@ def test_sinks(spark, tmp_path):
     assert K.read_token_cache(spark, str(tmp_path / "cache"), {"sha": "2"}) is None and K.read_token_cache(spark, str(tmp_path / "none"), {}) is None
     K.save_tokenizer(["a"], str(tmp_path / "t.json"))
     assert S.token_list(str(tmp_path / "t.json")) == ["a"]
+    built = []
+    make = lambda: built.append(1) or ["a", "b"]
+    for h, n in (("x", 1), ("x", 1), ("y", 2)):
+        assert K.tokenizer_for(str(tmp_path / "g.json"), h, make) == ["a", "b"] and len(built) == n
+    (tmp_path / "g.json").write_text((tmp_path / "g.json").read_text().replace('"b"', '"c"'))
+    assert K.tokenizer_for(str(tmp_path / "g.json"), "y", make) == ["a", "b"] and len(built) == 3
     t = spark.createDataFrame([(1, "a"), (2, None)], "o int, t string")
     assert K.content_hash(t, "o", "t").first() == K.content_hash(t.orderBy(F.desc("o")), "o", "t").first()
 
