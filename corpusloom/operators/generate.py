@@ -17,6 +17,28 @@ ANIMALS = ("猫", "狗", "鸟", "马", "鱼", "兔")
 PLACES = ("仓库", "教室", "城堡", "花园", "码头", "图书馆")
 LETTERS = tuple("abcdefgxyz")
 TASKS = ("arithmetic", "word_problem", "compare", "sort", "rule_transform", "table_lookup", "relation_logic", "set_logic", "path_reasoning", "string_reasoning")
+# The wording of the tasks.
+SUM = ("计算：{} + {} + {} = ?", "先算 {}+{}={}，再加 {}，得到 {}。")
+DIFFERENCE = ("计算：{} - {} - {} = ?", "先算 {}-{}={}，再减 {}，得到 {}。")
+PRODUCT = ("计算：{} * {} + {} = ?", "先乘法：{}*{}={}，再加 {}，得到 {}。")
+BRACKETS = ("计算：({} + {}) * {} = ?", "括号优先：{}+{}={}，再乘 {}，得到 {}。")
+STORY = ("{}原来有{}个{}，后来得到{}个，又用掉{}个。现在还有多少个{}？", "先把得到的加上：{}+{}={}；再减去用掉的 {}，所以剩下 {}。")
+AMOUNT = ("{}个{}",)
+COMPARE = ("数字列表：{}。请找出{}的数。", "比较这些数，最大的数是 {}。", "比较这些数，最小的数是 {}。", "先从大到小排序为 {}，第二大是 {}。")
+EXTREMES = ("最大", "最小", "第二大")
+SORT = ("把这些数字{}排序：{}", "按{}逐个排列，得到 {}。")
+WAYS = ("从小到大", "从大到小")
+DOUBLE = ("按规则 f(x)=2x+1 转换列表：{}", "对每个数先乘 2 再加 1，得到新列表。")
+SQUARE = ("按规则 f(x)=x*x-1 转换列表：{}", "对每个数先平方再减 1，得到新列表。")
+PARITY = ("判断列表中每个数的奇偶：{}", "能被 2 整除的是偶数，否则是奇数。", "偶", "奇")
+TABLE = ("成绩表：{}。{}的成绩是多少？", "在成绩表中查找 {}，对应的值是 {}。")
+RELATION = ("{}有{}个{}。{}比{}多{}个。{}比{}少{}个。{}有多少个{}？", "{}有 {}+{}={} 个；{}比{}少 {} 个，所以 {}-{}={}。")
+SETS = ("A={}，B={}。求{}。", "交集", "交集表示同时在 A 和 B 中的元素，所以结果是 ", "并集", "并集表示属于 A 或 B 的所有元素，所以结果是 ", "只在A中", "只在 A 中表示属于 A 但不属于 B 的元素，所以结果是 ", "空集")
+ROUTE = ("从{}到{}，直接距离{}。从{}到{}是{}，从{}到{}是{}。选择更短路线。", "经过{}的距离是 {}+{}={}，直接走是 {}，", "{} 更短。", "{} 不更长。", "经过", "直接走")
+REVERSE = ("把序列反转：{}", "反转就是从最后一个元素开始依次写回到第一个元素。")
+COUNT = ("序列：{}。字母 {} 出现了几次？", "逐个统计 {}，它在序列中出现 {} 次。")
+UNIQUE = ("按首次出现顺序去重：{}", "从左到右保留第一次出现的元素，得到 {}。")
+REPLY = ("思考：{}\n答案：{}",)
 
 
 class _Draws:
@@ -87,10 +109,10 @@ def _arithmetic(d: _Draws):
     x, y, z = d.number(10, 99), d.number(2, 20), d.number(1, 50)
     return _choose(
         d.number(0, 3),
-        (_say("计算：{} + {} + {} = ?", a, b, c), _say("先算 {}+{}={}，再加 {}，得到 {}。", a, b, a + b, c, a + b + c), (a + b + c).cast("string")),
-        (_say("计算：{} - {} - {} = ?", e, f, g), _say("先算 {}-{}={}，再减 {}，得到 {}。", e, f, e - f, g, e - f - g), (e - f - g).cast("string")),
-        (_say("计算：{} * {} + {} = ?", h, i, j), _say("先乘法：{}*{}={}，再加 {}，得到 {}。", h, i, h * i, j, h * i + j), (h * i + j).cast("string")),
-        (_say("计算：({} + {}) * {} = ?", x, y, z), _say("括号优先：{}+{}={}，再乘 {}，得到 {}。", x, y, x + y, z, (x + y) * z), ((x + y) * z).cast("string")),
+        (_say(SUM[0], a, b, c), _say(SUM[1], a, b, a + b, c, a + b + c), (a + b + c).cast("string")),
+        (_say(DIFFERENCE[0], e, f, g), _say(DIFFERENCE[1], e, f, e - f, g, e - f - g), (e - f - g).cast("string")),
+        (_say(PRODUCT[0], h, i, j), _say(PRODUCT[1], h, i, h * i, j, h * i + j), (h * i + j).cast("string")),
+        (_say(BRACKETS[0], x, y, z), _say(BRACKETS[1], x, y, x + y, z, (x + y) * z), ((x + y) * z).cast("string")),
     )
 
 
@@ -99,37 +121,37 @@ def _word_problem(d: _Draws):
     lose = d.number(1, F.least(start + gain - 1, F.lit(40)))
     left = start + gain - lose
     return (
-        _say("{}原来有{}个{}，后来得到{}个，又用掉{}个。现在还有多少个{}？", name, start, item, gain, lose, item),
-        _say("先把得到的加上：{}+{}={}；再减去用掉的 {}，所以剩下 {}。", start, gain, start + gain, lose, left), _say("{}个{}", left, item),
+        _say(STORY[0], name, start, item, gain, lose, item),
+        _say(STORY[1], start, gain, start + gain, lose, left), _say(AMOUNT[0], left, item),
     )
 
 
 def _compare(d: _Draws):
     nums = d.many(1, 999, d.number(4, 7))
     down = F.sort_array(nums, asc=False)
-    shown = lambda target: _say("数字列表：{}。请找出{}的数。", _numbers(nums), F.lit(target))
+    shown = lambda target: _say(COMPARE[0], _numbers(nums), F.lit(target))
     top, low, second = F.array_max(nums), F.array_min(nums), F.get(down, F.lit(1))
     return _choose(
         d.number(0, 2),
-        (shown("最大"), _say("比较这些数，最大的数是 {}。", top), top.cast("string")),
-        (shown("最小"), _say("比较这些数，最小的数是 {}。", low), low.cast("string")),
-        (shown("第二大"), _say("先从大到小排序为 {}，第二大是 {}。", _numbers(down), second), second.cast("string")),
+        (shown(EXTREMES[0]), _say(COMPARE[1], top), top.cast("string")),
+        (shown(EXTREMES[1]), _say(COMPARE[2], low), low.cast("string")),
+        (shown(EXTREMES[2]), _say(COMPARE[3], _numbers(down), second), second.cast("string")),
     )
 
 
 def _sort(d: _Draws):
     nums = d.some(F.sequence(F.lit(1), F.lit(199)), d.number(5, 9))
-    way = lambda name, out: (_say("把这些数字{}排序：{}", F.lit(name), _numbers(nums)), _say("按{}逐个排列，得到 {}。", F.lit(name), _numbers(out)), _spaced(out))
-    return _choose(d.number(0, 1), way("从小到大", F.array_sort(nums)), way("从大到小", F.sort_array(nums, asc=False)))
+    way = lambda name, out: (_say(SORT[0], F.lit(name), _numbers(nums)), _say(SORT[1], F.lit(name), _numbers(out)), _spaced(out))
+    return _choose(d.number(0, 1), way(WAYS[0], F.array_sort(nums)), way(WAYS[1], F.sort_array(nums, asc=False)))
 
 
 def _rule_transform(d: _Draws):
     nums = d.many(1, 30, d.number(4, 7))
     return _choose(
         d.number(0, 2),
-        (_say("按规则 f(x)=2x+1 转换列表：{}", _numbers(nums)), F.lit("对每个数先乘 2 再加 1，得到新列表。"), _numbers(F.transform(nums, lambda n: 2 * n + 1))),
-        (_say("按规则 f(x)=x*x-1 转换列表：{}", _numbers(nums)), F.lit("对每个数先平方再减 1，得到新列表。"), _numbers(F.transform(nums, lambda n: n * n - 1))),
-        (_say("判断列表中每个数的奇偶：{}", _numbers(nums)), F.lit("能被 2 整除的是偶数，否则是奇数。"), F.array_join(F.transform(nums, lambda n: F.when(n % 2 == 0, "偶").otherwise("奇")), " ")),
+        (_say(DOUBLE[0], _numbers(nums)), F.lit(DOUBLE[1]), _numbers(F.transform(nums, lambda n: 2 * n + 1))),
+        (_say(SQUARE[0], _numbers(nums)), F.lit(SQUARE[1]), _numbers(F.transform(nums, lambda n: n * n - 1))),
+        (_say(PARITY[0], _numbers(nums)), F.lit(PARITY[1]), F.array_join(F.transform(nums, lambda n: F.when(n % 2 == 0, PARITY[2]).otherwise(PARITY[3])), " ")),
     )
 
 
@@ -139,7 +161,7 @@ def _table_lookup(d: _Draws):
     at = d.number(0, 3)
     who, score = F.get(people, at), F.get(F.array(*scores), at)
     table = F.concat(F.lit("{"), F.concat_ws(", ", *[_say("'{}': {}", F.get(people, F.lit(k)), s) for k, s in enumerate(scores)]), F.lit("}"))
-    return _say("成绩表：{}。{}的成绩是多少？", table, who), _say("在成绩表中查找 {}，对应的值是 {}。", who, score), score.cast("string")
+    return _say(TABLE[0], table, who), _say(TABLE[1], who, score), score.cast("string")
 
 
 def _relation_logic(d: _Draws):
@@ -147,8 +169,8 @@ def _relation_logic(d: _Draws):
     a, b, c = (F.get(three, F.lit(k)) for k in range(3))
     x, y, z, item = d.number(2, 30), d.number(1, 20), d.number(1, 20), d.one(ITEMS)
     return (
-        _say("{}有{}个{}。{}比{}多{}个。{}比{}少{}个。{}有多少个{}？", a, x, item, b, a, y, c, b, z, c, item),
-        _say("{}有 {}+{}={} 个；{}比{}少 {} 个，所以 {}-{}={}。", b, x, y, x + y, c, b, z, x + y, z, x + y - z), _say("{}个{}", x + y - z, item),
+        _say(RELATION[0], a, x, item, b, a, y, c, b, z, c, item),
+        _say(RELATION[1], b, x, y, x + y, c, b, z, x + y, z, x + y - z), _say(AMOUNT[0], x + y - z, item),
     )
 
 
@@ -158,13 +180,13 @@ def _set_logic(d: _Draws):
 
     def way(name: str, why: str, out: Column):
         r = F.array_sort(out)
-        return _say("A={}，B={}。求{}。", _quoted(a), _quoted(b), F.lit(name)), _say("{}{}。", F.lit(why), _quoted(r)), F.when(F.size(r) > 0, F.array_join(r, " ")).otherwise("空集")
+        return _say(SETS[0], _quoted(a), _quoted(b), F.lit(name)), _say("{}{}。", F.lit(why), _quoted(r)), F.when(F.size(r) > 0, F.array_join(r, " ")).otherwise(SETS[7])
 
     return _choose(
         d.number(0, 2),
-        way("交集", "交集表示同时在 A 和 B 中的元素，所以结果是 ", F.array_intersect(a, b)),
-        way("并集", "并集表示属于 A 或 B 的所有元素，所以结果是 ", F.array_union(a, b)),
-        way("只在A中", "只在 A 中表示属于 A 但不属于 B 的元素，所以结果是 ", F.array_except(a, b)),
+        way(SETS[1], SETS[2], F.array_intersect(a, b)),
+        way(SETS[3], SETS[4], F.array_union(a, b)),
+        way(SETS[5], SETS[6], F.array_except(a, b)),
     )
 
 
@@ -173,10 +195,10 @@ def _path_reasoning(d: _Draws):
     start, mid, end = (F.get(three, F.lit(k)) for k in range(3))
     p, q, direct = d.number(2, 30), d.number(2, 30), d.number(2, 60)
     via = p + q
-    ask = _say("从{}到{}，直接距离{}。从{}到{}是{}，从{}到{}是{}。选择更短路线。", start, end, direct, start, mid, p, mid, end, q)
-    sum_ = _say("经过{}的距离是 {}+{}={}，直接走是 {}，", mid, p, q, via, direct)
+    ask = _say(ROUTE[0], start, end, direct, start, mid, p, mid, end, q)
+    sum_ = _say(ROUTE[1], mid, p, q, via, direct)
     short = via < direct
-    return ask, F.concat(sum_, F.when(short, _say("{} 更短。", via)).otherwise(_say("{} 不更长。", direct))), F.when(short, F.concat(F.lit("经过"), mid)).otherwise("直接走")
+    return ask, F.concat(sum_, F.when(short, _say(ROUTE[2], via)).otherwise(_say(ROUTE[3], direct))), F.when(short, F.concat(F.lit(ROUTE[4]), mid)).otherwise(ROUTE[5])
 
 
 def _string_reasoning(d: _Draws):
@@ -187,9 +209,9 @@ def _string_reasoning(d: _Draws):
     n = F.size(F.filter(seq, lambda x: x == target))
     return _choose(
         d.number(0, 2),
-        (_say("把序列反转：{}", _spaced(letters)), F.lit("反转就是从最后一个元素开始依次写回到第一个元素。"), _spaced(F.reverse(letters))),
-        (_say("序列：{}。字母 {} 出现了几次？", _spaced(seq), target), _say("逐个统计 {}，它在序列中出现 {} 次。", target, n), n.cast("string")),
-        (_say("按首次出现顺序去重：{}", _spaced(seq)), _say("从左到右保留第一次出现的元素，得到 {}。", _spaced(F.array_distinct(seq))), _spaced(F.array_distinct(seq))),
+        (_say(REVERSE[0], _spaced(letters)), F.lit(REVERSE[1]), _spaced(F.reverse(letters))),
+        (_say(COUNT[0], _spaced(seq), target), _say(COUNT[1], target, n), n.cast("string")),
+        (_say(UNIQUE[0], _spaced(seq)), _say(UNIQUE[1], _spaced(F.array_distinct(seq))), _spaced(F.array_distinct(seq))),
     )
 
 
@@ -213,7 +235,7 @@ def reasoning_examples(spark: SparkSession, count: int, seed: int) -> DataFrame:
 def reasoning_records(spark: SparkSession, count: int, seed: int) -> DataFrame:
     """The examples as canonical records, numbered from 1 in their order: the task asked, and reasoning and answer as the trained reply."""
     e = number(reasoning_examples(spark, count, seed).withColumn("h", F.xxhash64(F.lit(seed), F.lit(99), "i")), "reasoning-%06d", ["h", "i"], start=1)
-    reply = _say("思考：{}\n答案：{}", F.col("reasoning"), F.col("answer"))
+    reply = _say(REPLY[0], F.col("reasoning"), F.col("answer"))
     s = F.array(segment(F.lit("user"), F.col("input")), segment(F.lit("assistant"), reply))
     return make_record(e, F.col("id"), F.lit("synthetic_reasoning"), s, F.to_json(F.struct("task", "reasoning", "answer")))
 
