@@ -403,6 +403,8 @@ PROOF = re.compile(r"[。！？｡!?]+|\n[ \t\r　]*\n|\r\n[ \t　]*\r\n")
 SIDES = ("l", "r")
 #: Places a context must hold of all proven boundaries to be kept, so at most 1/`KEPT` of each side and length are.
 KEPT = 2e-5
+#: Ends that the distribution inside stands for where proven ones are few.
+PRIOR = 50
 
 
 def is_dense(a: np.ndarray) -> np.ndarray:
@@ -510,6 +512,12 @@ def fit_chain(rows: list[tuple[str, int, int, int]], rounds: int = 50) -> dict[s
     return out
 
 
+def ratio(ends: int, all_ends: int, inside: int, all_inside: int) -> float:
+    """Log likelihood ratio of letters at proven ends against inside; what is known of them inside counts for `PRIOR` ends, so few ends prove little."""
+    p = (inside + 0.3) / (all_inside + 1)
+    return float(np.log((ends + PRIOR * p) / (all_ends + PRIOR)) - np.log(p))
+
+
 def fit_contexts(docs: DataFrame, text_col: str = "text", kept: float = KEPT) -> Contexts:
     """Contexts and transitions fitted on all texts of scripts without blanks.
 
@@ -532,17 +540,14 @@ def fit_contexts(docs: DataFrame, text_col: str = "text", kept: float = KEPT) ->
     got = rows.where((F.col("ends") > 0) & (F.col("ends") >= least)).collect()
     tables: dict[str, dict[str, float]] = {"l": {}, "r": {}}
     rest = {g: list(v) for g, v in sums.items()}
-    once = dict.fromkeys(sums, 0)
     for r in got:
         g = r["key"] % 8
         e, i = sums[g]
         gram, n = r["key"] // 8, 2 + g // 2
         rest[g][0] -= r["ends"]
-        once[g] += r["ends"] == 1
         rest[g][1] -= r["inside"]
-        tables["l" if g % 2 else "r"]["".join(chr(gram >> 16 * (n - 1 - j) & 0xFFFF) for j in range(n))] = float(np.log((r["ends"] + 0.3) / (e + 1)) - np.log((r["inside"] + 0.3) / (i + 1)))
-    # Ends never seen are as likely as those seen once.
-    other = {side: float(np.log((max(rest[g][0], once[g]) + 0.3) / (sums[g][0] + 1)) - np.log((rest[g][1] + 0.3) / (sums[g][1] + 1))) for side, g in (("l", 1), ("r", 0)) if g in sums}
+        tables["l" if g % 2 else "r"]["".join(chr(gram >> 16 * (n - 1 - j) & 0xFFFF) for j in range(n))] = ratio(r["ends"], e, r["inside"], i)
+    other = {side: ratio(rest[g][0], sums[g][0], rest[g][1], sums[g][1]) for side, g in (("l", 1), ("r", 0)) if g in sums}
     model = Contexts(tables["l"], tables["r"], other)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
